@@ -14,6 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value`` evaluated once, even where ``body`` uses it per element.
+
+    A plain column used inside an array lambda is evaluated again for every element
+    whenever the optimizer inlines its definition.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_starts(items: Column, size: Callable[[Column], Column], at: Callable[[Column], Column],
                 max_size: int, max_span: int | None, joiner: int = 0) -> Column:
     """Array of 1-based positions at which a new pack opens.

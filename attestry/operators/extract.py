@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.fold import pack_starts, take_while_fits
+from ..functions.fold import let, pack_starts, take_while_fits
 from .segment import explode_units, source_units, tokens_of, with_units
 
 
@@ -55,12 +57,8 @@ def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) ->
     count, sum and rank is keyed by the document and reuses that partitioning.
     """
     spread = with_units(docs, **options).select("doc_id", "units").repartition("doc_id")
-    units = spread.select("doc_id", F.explode("units").alias("u"))
-    tokens = units.select(
-        "doc_id",
-        F.col("u.unit_no").alias("unit_no"),
-        tokens_of(F.col("u.text")).alias("tokens"),
-        cue(F.col("u.text")).alias("cue"),
+    tokens = explode_units(spread).select(
+        "doc_id", "unit_no", tokens_of(F.col("text")).alias("tokens"), cue(F.col("text")).alias("cue")
     ).select(
         "doc_id",
         "unit_no",
@@ -158,12 +156,20 @@ def _labelled_size(u: Column) -> Column:
 
 def with_budget(df: DataFrame, *, budget: int = P.MODEL_BUDGET) -> DataFrame:
     """Cut ``units`` to the prefix that fits; ``truncated`` tells whether any is left out."""
-    fits = df.withColumn("_fit", take_while_fits(F.col("units"), _labelled_size, budget))
-    return (
-        fits.withColumn("truncated", F.col("_fit") < F.size("units"))
-        .withColumn("units", F.slice("units", F.lit(1), F.col("_fit")))
-        .drop("_fit")
+    kept = [c for c in df.columns if c != "units"]
+    cut = df.select(
+        *kept,
+        let(
+            F.col("units"),
+            lambda units: let(
+                take_while_fits(units, _labelled_size, budget),
+                lambda n: F.struct(
+                    (n < F.size(units)).alias("truncated"), F.slice(units, F.lit(1), n).alias("units")
+                ),
+            ),
+        ).alias("_cut"),
     )
+    return cut.select(*kept, "_cut.*")
 
 
 def char_budget(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, max_chars: int = P.MAX_CHARS,
@@ -171,24 +177,28 @@ def char_budget(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, max_chars: int
     """Units a model may see, with both truncation flags, one row per kept unit."""
     flagged = docs.withColumn("source_truncated", F.length("text") > max_chars)
     cut = with_budget(with_units(flagged, max_chars=max_chars, **options), budget=budget)
-    return cut.select(
-        "doc_id", "truncated", "source_truncated", F.explode("units").alias("u")
-    ).select("doc_id", "u.unit_no", "u.unit_id", "truncated", "source_truncated", "u.text")
+    return explode_units(cut.select("doc_id", "truncated", "source_truncated", "units")).drop("url")
 
 
-def cut_into_chunks(df: DataFrame, starts: Column) -> DataFrame:
-    """Explode ``units`` into (chunk_no, units) by an array of 1-based start positions."""
+def cut_into_chunks(df: DataFrame, starts: Callable[[Column], Column]) -> DataFrame:
+    """Explode ``units`` into (chunk_no, units); ``starts`` gives 1-based first positions."""
     kept = [c for c in df.columns if c != "units"]
-    placed = df.select(*kept, "units", starts.alias("_starts"))
-    chunks = F.transform(
-        F.col("_starts"),
-        lambda at, i: F.slice(
-            F.col("units"), at,
-            F.coalesce(F.get(F.col("_starts"), i + 1), F.size("units") + 1) - at,
+    chunks = let(
+        F.col("units"),
+        lambda units: let(
+            starts(units),
+            lambda cuts: F.transform(
+                cuts,
+                lambda at, i: F.slice(
+                    units, at, F.coalesce(F.get(cuts, i + 1), F.size(units) + 1) - at
+                ),
+            ),
         ),
     )
-    return placed.select(*kept, F.posexplode(chunks).alias("_c", "units")).select(
-        *kept, (F.col("_c") + 1).alias("chunk_no"), "units"
+    return (
+        df.select(*kept, F.posexplode_outer(chunks).alias("_c", "units"))
+        .filter(F.col("units").isNotNull())
+        .select(*kept, (F.col("_c") + 1).alias("chunk_no"), "units")
     )
 
 
@@ -196,8 +206,10 @@ def chunk_pack(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, chunk_chars: in
                **options) -> DataFrame:
     """Budgeted units packed in order into chunks, one row per chunk with its text."""
     cut = with_budget(with_units(docs, **options).select("doc_id", "units"), budget=budget)
-    starts = pack_starts(F.col("units"), _labelled_size, lambda u: F.lit(0.0), chunk_chars, None)
-    return cut_into_chunks(cut.drop("truncated"), starts).select(
+    return cut_into_chunks(
+        cut.drop("truncated"),
+        lambda units: pack_starts(units, _labelled_size, lambda u: F.lit(0.0), chunk_chars, None),
+    ).select(
         "doc_id",
         "chunk_no",
         F.size("units").alias("n_units"),

@@ -10,23 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.fold import let
 from ..functions.text import lines_of, numbered
 
 
+def _stamp(text: Column, other: Column) -> Column:
+    """The caption link inside the text, else ``other``; the pattern runs only where one can be."""
+    return F.when(
+        text.contains("https://www.youtube.com/watch?v="),
+        F.coalesce(F.nullif(F.regexp_extract(text, P.STAMP_LINK, 0), F.lit("")), other),
+    ).otherwise(other)
+
+
 def _sentences(line: Column, url: Column) -> Column:
-    stamp = F.regexp_extract(line, P.STAMP_LINK, 0)
-    inherited = F.when(stamp != "", stamp).otherwise(url)
-    return F.transform(
-        F.split(line, P.SENTENCE_BREAK),
-        lambda s: F.struct(F.trim(s, F.lit(" #*\t\r")).alias("text"), inherited.alias("url")),
+    return let(
+        _stamp(line, url),
+        lambda inherited: F.transform(
+            F.split(line, P.SENTENCE_BREAK),
+            lambda s: F.struct(F.trim(s, F.lit(" #*\t\r")).alias("text"), inherited.alias("url")),
+        ),
     )
 
 
 def _finish(item: Column) -> Column:
-    own = F.regexp_extract(item["text"], P.STAMP_LINK, 0)
     return F.struct(
         F.regexp_replace(item["text"], P.HTTP_LINK, "$1").alias("text"),
-        F.when(own != "", own).otherwise(item["url"]).alias("url"),
+        _stamp(item["text"], item["url"]).alias("url"),
     )
 
 
@@ -52,20 +61,19 @@ def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
         lambda s: F.length(s["text"]) >= 4,
     )
     # Keep-first per text: sorting by (text, position) puts the first copy in front.
-    ordered = docs.select(
-        *kept,
-        F.array_sort(
-            F.transform(
-                sentences,
-                lambda s, i: F.struct(s["text"].alias("text"), i.alias("i"), s["url"].alias("url")),
-            )
-        ).alias("_sorted"),
+    by_text = F.sort_array(
+        F.transform(
+            sentences,
+            lambda s, i: F.struct(s["text"].alias("text"), i.alias("i"), s["url"].alias("url")),
+        )
     )
-    firsts = F.filter(
-        F.col("_sorted"),
-        lambda s, i: (i == 0) | (F.get(F.col("_sorted"), i - 1)["text"] != s["text"]),
+    firsts = let(
+        by_text,
+        lambda every: F.filter(
+            every, lambda s, i: (i == 0) | (F.get(every, i - 1)["text"] != s["text"])
+        ),
     )
-    in_order = F.array_sort(
+    in_order = F.sort_array(
         F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["text"].alias("text"), s["url"].alias("url")))
     )
     finished = F.filter(F.transform(in_order, _finish), lambda s: s["text"].rlike(P.LETTERS_4))
@@ -79,12 +87,18 @@ def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
             u["url"].alias("url"),
         ),
     )
-    return ordered.select(*kept, units.alias("units"))
+    return docs.select(*kept, units.alias("units"))
 
 
 def explode_units(df: DataFrame) -> DataFrame:
     kept = [c for c in df.columns if c != "units"]
-    return df.select(*kept, F.explode("units").alias("_u")).select(*kept, "_u.*")
+    # An outer explode: the inner one makes the optimizer infer a size filter that
+    # evaluates the whole cut a second time.
+    return (
+        df.select(*kept, F.explode_outer("units").alias("_u"))
+        .filter(F.col("_u").isNotNull())
+        .select(*kept, "_u.*")
+    )
 
 
 def source_units(docs: DataFrame, **options) -> DataFrame:

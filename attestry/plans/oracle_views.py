@@ -60,3 +60,27 @@ facts as (
   select * from u where regexp_matches(text,
     '(?i)\b\d{4}[-/]\d{1,2}|\d+(?:\.\d+)?\s*(?:%|元|萬|億|美元|天|小時)|截止|報名|deadline|price|\$\d')
   qualify row_number() over (partition by doc_id order by unit_no) <= 8)"""
+
+LOG = """log as (
+  select 'https://example.com/u/' || user_id as url, user_id % 10 as run_id, event_id as attempt,
+    case when event_type in ('click', 'view') then 200 when event_type = 'signup' then 404
+      when event_type = 'purchase' then 429 when value > 10 then 503 end as status,
+    event_type in ('click', 'view') as ok,
+    case when event_type not in ('click', 'view', 'signup', 'purchase') and not value > 10 then 'timed out' else '' end as error_text
+  from events),
+last as (
+  select *, count(*) over (partition by url) as attempts from log
+  qualify row_number() over (partition by url order by attempt desc) = 1),
+outcome as (
+  select run_id, url, attempts, status,
+    ok and (status is null or status < 400) as success,
+    case when ok then '' when error_text <> '' then error_text else 'HTTP ' || status end as error,
+    not ok and (coalesce(status in (408, 500, 502, 503, 504), false) or status is null) as transient
+  from last)"""
+
+SAVED = D + """,
+saved as (
+  select d.doc_id, source, url, title, text as markdown, coalesce(toxic, 0) <> 1 as success,
+    case when coalesce(toxic, 0) = 1 then 'HTTP 404' else '' end as error, '' as summary,
+    case when quality is null then '尚未完成' when quality = 0 then '基本摘錄' else 'openai' end as summary_mode
+  from d left join labels on d.doc_id = labels.doc_id)"""

@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from . import documents
+from . import documents, runs
 
-MODULES = (documents,)
+MODULES = (runs, documents)
 
 
 def queries():

@@ -9,7 +9,7 @@ from ..sources.tables import load
 
 
 def plain_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select(
+    return load(spark, folder, "documents", spread_by="doc_id").select(
         "doc_id", "source",
         F.concat(F.lit("https://example.com/doc/"), F.col("doc_id").cast("string")).alias("url"),
         "text",
@@ -27,7 +27,7 @@ def documents_plus(spark: SparkSession, folder: str) -> DataFrame:
     title = F.element_at(
         F.array(*[F.lit(t) for t in ("=1+1", "+x", "-x", "@x", "plain")]), (n % 5 + 1).cast("int")
     )
-    return load(spark, folder, "documents").select(
+    return load(spark, folder, "documents", spread_by="doc_id").select(
         "doc_id", "lang", "source", title.alias("title"),
         F.concat(F.lit("https://example.com/doc/"), n.cast("string")).alias("url"),
         F.concat(
@@ -36,3 +36,38 @@ def documents_plus(spark: SparkSession, folder: str) -> DataFrame:
             F.when(n % 4 == 0, F.lit("\n[nav](https://example.com/)")).otherwise(F.lit("")),
         ).alias("text"),
     )
+
+
+def fetch_log(spark: SparkSession, folder: str) -> DataFrame:
+    """One fetch attempt per event, ordered by event id."""
+    kind, value = F.col("event_type"), F.col("value")
+    status = (
+        F.when(kind.isin("click", "view"), 200)
+        .when(kind == "signup", 404)
+        .when(kind == "purchase", 429)
+        .when(value > 10, 503)
+    )
+    return load(spark, folder, "events").select(
+        F.concat(F.lit("https://example.com/u/"), F.col("user_id").cast("string")).alias("url"),
+        (F.col("user_id") % 10).alias("run_id"),
+        F.col("event_id").alias("attempt"),
+        status.alias("status"),
+        (F.coalesce(status, F.lit(0)) == 200).alias("ok"),
+        F.when(status.isNull(), "timed out").otherwise("").alias("error_text"),
+    )
+
+
+def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows: documents with their label as outcome and summary state."""
+    labels = load(spark, folder, "labels")
+    docs = documents_plus(spark, folder)
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", "source", "url", "title", F.col("text").alias("markdown"),
+        (~toxic).alias("success"),
+        F.when(toxic, "HTTP 404").otherwise("").alias("error"),
+        F.lit("").alias("summary"),
+        F.when(F.col("quality").isNull(), "尚未完成")
+        .when(F.col("quality") == 0, "基本摘錄")
+        .otherwise("openai").alias("summary_mode"),
+    )

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def load(spark: SparkSession, folder: str, name: str, *, spread_by: str | None = None) -> DataFrame:
+    """Read a table. With ``spread_by``, one that comes in fewer splits than there are
+    cores is hashed over them; a table of many splits is left as scanned."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+    if zoneless:
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    if spread_by:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, spread_by)
+    return df
