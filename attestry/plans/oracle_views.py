@@ -84,3 +84,151 @@ saved as (
     case when coalesce(toxic, 0) = 1 then 'HTTP 404' else '' end as error, '' as summary,
     case when quality is null then '尚未完成' when quality = 0 then '基本摘錄' else 'openai' end as summary_mode
   from d left join labels on d.doc_id = labels.doc_id)"""
+
+C = """c as (
+  select conv_id as video_id, turn as pos, lpad(cast(conv_id as varchar), 11, '0') as code,
+    turn * 17 + (conv_id % 5) * 0.25 as start_s, cast(4 + turn % 3 as double) as duration_s, text
+  from conversations)"""
+
+S = C + """,
+s as (
+  select video_id, pos * 1000 + k as pos, cast(pos * 17 + k * 1.5 as double) as start_s, duration_s,
+    substring(text, cast(k * 30 + 1 as integer), 30) as text
+  from (select *, unnest(range(0, (length(text) - 1) // 30 + 1)) as k from c)
+  where regexp_matches(substring(text, cast(k * 30 + 1 as integer), 30), '\\S'))"""
+
+LINES = C + """,
+line as (
+  select video_id, pos, sec as seconds, '[' || lpad(cast(sec // 3600 as varchar), 2, '0') || ':'
+      || lpad(cast(sec // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(sec % 60 as varchar), 2, '0')
+      || '](https://www.youtube.com/watch?v=' || code || '&t=' || sec || 's) ' || t as line,
+    t as text, '[' || lpad(cast(sec // 3600 as varchar), 2, '0') || ':'
+      || lpad(cast(sec // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(sec % 60 as varchar), 2, '0') as stamp_open,
+    'https://www.youtube.com/watch?v=' || code || '&t=' || sec || 's' as url
+  from (select *, cast(floor(greatest(start_s, 0)) as bigint) as sec, trim(replace(text, chr(10), ' ')) as t from c)
+  where t <> '')"""
+
+BLOCKS = LINES + """,
+cap as (
+  select video_id, row_number() over (partition by video_id order by pos) as n,
+    substring(stamp_open, 2) as time, url, seconds, text from line
+  where lower(trim(text)) not in ('[music]', '[applause]', '(笑', '（笑')),
+bwalk as (
+  select video_id, n, 1 as block, seconds as begin_s, cast(length(text) as bigint) as size from cap where n = 1
+  union all
+  select video_id, next_n, case when o then block + 1 else block end,
+    case when o then seconds else begin_s end, case when o then len else size + len + 1 end
+  from (select w.video_id, x.n as next_n, w.block, w.begin_s, w.size, x.seconds, length(x.text) as len,
+      x.seconds - w.begin_s >= 35 or w.size + length(x.text) > 1000 as o
+    from bwalk w join cap x on x.video_id = w.video_id and x.n = w.n + 1)),
+b as (
+  select w.video_id, cast(block as integer) as unit_no,
+    'S' || case when block < 1000 then lpad(cast(block as varchar), 3, '0') else cast(block as varchar) end as unit_id,
+    string_agg(text, ' ' order by cap.n) as text, min_by(url, cap.n) as url, min_by(time, cap.n) as time,
+    min_by(seconds, cap.n) as seconds, cast(count(*) as integer) as n_captions
+  from bwalk w join cap on cap.video_id = w.video_id and cap.n = w.n group by w.video_id, block)"""
+
+CHUNKS = BLOCKS + """,
+cwalk as (
+  select video_id, unit_no, 1 as chunk, seconds as begin_s, cast(length(text) as bigint) as size from b where unit_no = 1
+  union all
+  select video_id, next_no, case when o then chunk + 1 else chunk end,
+    case when o then seconds else begin_s end, case when o then len else size + len end
+  from (select w.video_id, x.unit_no as next_no, w.chunk, w.begin_s, w.size, x.seconds, length(x.text) as len,
+      w.size + length(x.text) > 1200 or x.seconds - w.begin_s >= 105 as o
+    from cwalk w join b x on x.video_id = w.video_id and x.unit_no = w.unit_no + 1)),
+chunked as (
+  select b.*, cast(w.chunk as integer) as chunk_no
+  from b join cwalk w on w.video_id = b.video_id and w.unit_no = b.unit_no)"""
+
+FRAMES = """fr as (
+  select conv_id as video_id, 'F' || lpad(cast(turn as varchar), 3, '0') as frame_id, turn as pos,
+    lpad(cast(conv_id as varchar), 11, '0') as code, turn * 17 + 3 as seconds,
+    cast(case when conv_id % 4 <> 0 then turn * 17 + 3.04 end as double) as decoded_s,
+    case conv_id % 3 when 0 then text when 1 then 'Q' || turn || ' ' || turn * 5 else '訂閱 活動 ' || turn end as ocr,
+    case when conv_id % 7 = 0 then null when conv_id % 2 = 0 then 'hardware-verified' else 'software-fallback' end as decoder_status,
+    'frames/F' || lpad(cast(turn as varchar), 3, '0') || '.jpg' as file
+  from conversations),
+hint as (select video_id, frame_id,
+  '位置配對：Q' || pos || ' ↔ ' || pos * 5 || '、R' || pos || ' ↔ ' || pos as hints from fr where video_id % 3 = 1)"""
+
+CONTEXT = S + ", " + FRAMES + """,
+ctx as (
+  select f.video_id, f.frame_id, coalesce(decoded_s, cast(seconds as double)) as at_s, s.pos, s.start_s, s.duration_s,
+    s.text as caption, greatest(s.start_s - coalesce(decoded_s, seconds),
+      coalesce(decoded_s, seconds) - s.start_s - s.duration_s, 0.0::double) as distance
+  from fr f join s on s.video_id = f.video_id),
+near as (
+  select *, cast(row_number() over (partition by video_id, frame_id order by distance, pos) as integer) as rank
+  from ctx where distance <= 8 qualify rank <= 10)"""
+
+OCR = """ocr_raw as (
+  select *, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as n
+  from lineitem),
+ocr_all as (
+  select l_orderkey as frame_id, n * 3 as pos, cast(cast(l_quantity as integer) as varchar) as text,
+    cast(l_partkey % 1280 as double) as x, cast(l_suppkey % 200 as double) as y, l_discount * 10 as confidence from ocr_raw
+  union all select l_orderkey, n * 3 + 1, 'Q' || n, l_partkey % 1280 + l_suppkey % 60 - 30, l_suppkey % 200 + 200, 0.9 from ocr_raw
+  union all select l_orderkey, n * 3 + 2, 'STEP' || n, n * 150, 650 + n * 10, 0.8 from ocr_raw),
+ocr as (
+  select frame_id, cast(row_number() over (partition by frame_id order by pos) as integer) as n,
+    cast(pos as integer) as pos, text, round(confidence, 3) as confidence, x, y
+  from ocr_all where confidence >= 0.45 qualify n <= 30)"""
+
+CANDIDATES = """span as (select user_id, min(ts) as lo, max(ts) as hi from events group by 1),
+cand as (
+  select e.user_id as video_id, event_id as pos, (epoch_us(ts) - epoch_us(lo)) / 1e9::double as at_s, value as score,
+    (epoch_us(hi) - epoch_us(lo)) / 1e9::double as duration_s
+  from events e join span s on s.user_id = e.user_id)"""
+
+MATCH = CONTEXT + r""",
+ocrline as (
+  select video_id, frame_id, unnest(l) as text, generate_subscripts(l, 1) - 1 as ocr_pos
+  from (select video_id, frame_id, string_split(ocr, chr(10)) as l from fr)),
+pair as (
+  select n.video_id, n.frame_id, n.rank, cast(o.ocr_pos as integer) as ocr_pos, o.text as ocr, n.caption, n.start_s,
+    replace(lower(regexp_replace(substring(o.text, 1, 400), '\s+', '', 'g')), 'ß', 'ss') as a,
+    replace(lower(regexp_replace(substring(n.caption, 1, 1000), '\s+', '', 'g')), 'ß', 'ss') as b
+  from near n join ocrline o on o.video_id = n.video_id and o.frame_id = n.frame_id where o.text <> ''),
+ab as (select distinct a, b from pair),
+piece as (
+  select a, b, substring(b, cast(i as integer), cast(n as integer)) as p
+  from (select a, b, i, unnest(range(1, length(b) - i + 2)) as n
+    from (select a, b, unnest(range(1, length(b) + 1)) as i from ab))
+  where contains(a, substring(b, cast(i as integer), cast(n as integer)))),
+common as (
+  select a, b, p as shared from piece
+  qualify row_number() over (partition by a, b order by length(p) desc, instr(a, p)) = 1),
+sharedpair as (
+  select pair.*, coalesce(c.shared, '') as shared from pair left join common c on c.a = pair.a and c.b = pair.b),
+bestpair as (
+  select * from sharedpair where length(shared) >= 4 or (length(shared) >= 2 and regexp_matches(shared, '\d'))
+  qualify row_number() over (partition by video_id, frame_id order by length(shared) desc, ocr_pos, rank) = 1),
+matched as (
+  select f.video_id, f.frame_id, f.pos, coalesce(m.shared, '') as shared,
+    case when m.frame_id is not null then m.ocr else substring(coalesce(o.t, ''), 1, 1200) end as ocr,
+    coalesce(m.caption, n.caption) as caption, coalesce(m.start_s, n.start_s) as caption_s,
+    case when m.frame_id is not null then 'text-overlap' else 'temporal-only' end as association
+  from fr f
+  left join bestpair m on m.video_id = f.video_id and m.frame_id = f.frame_id
+  left join near n on n.video_id = f.video_id and n.frame_id = f.frame_id and n.rank = 1
+  left join (select video_id, frame_id, string_agg(text, ' ' order by ocr_pos) as t from ocrline where text <> '' group by 1, 2) o
+    on o.video_id = f.video_id and o.frame_id = f.frame_id
+  where m.frame_id is not null or n.frame_id is not null)"""
+
+EVIDENCE = MATCH + r""",
+clean_s as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean from s),
+placed as (
+  select m.*, f.seconds, f.decoded_s, coalesce(f.decoder_status, 'unknown') as decoder_status,
+    s.start_s as near_s, s.duration_s as near_d
+  from matched m join fr f on f.video_id = m.video_id and f.frame_id = m.frame_id
+  left join clean_s s on s.video_id = m.video_id and s.clean = trim(regexp_replace(m.caption, '\s+', ' ', 'g'))
+  qualify row_number() over (partition by m.video_id, m.frame_id order by abs(s.start_s - m.caption_s), s.pos) = 1),
+record as (
+  select video_id, 'E' || lpad(cast(row_number() over (partition by video_id order by pos) as varchar), 3, '0') as evidence_id,
+    frame_id, seconds, decoded_s, decoder_status, 'Frame ' || frame_id as title,
+    'The frame shows text next to the words: ' || caption as summary, caption as caption_text,
+    coalesce(near_s, caption_s) as caption_start, near_d as caption_duration,
+    case when near_s is not null then 'source-timestamp' else 'markdown-whole-seconds' end as caption_precision,
+    ocr, shared as shared_text, association
+  from placed)"""

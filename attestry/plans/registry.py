@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from . import documents, runs
+from . import captions, documents, frames, runs
 
-MODULES = (runs, documents)
+MODULES = (runs, documents, captions, frames)
 
 
 def queries():

@@ -71,3 +71,125 @@ def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("quality") == 0, "基本摘錄")
         .otherwise("openai").alias("summary_mode"),
     )
+
+
+def turn_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """One caption per conversation turn, 17 seconds apart."""
+    turn = F.col("turn")
+    return load(spark, folder, "conversations", spread_by="conv_id").select(
+        F.col("conv_id").alias("video_id"),
+        turn.alias("pos"),
+        F.lpad(F.col("conv_id").cast("string"), 11, "0").alias("code"),
+        (turn * 17 + (F.col("conv_id") % 5) * 0.25).alias("start_s"),
+        (turn % 3 + 4).cast("double").alias("duration_s"),
+        "text",
+    )
+
+
+def short_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn's whole text in pieces of 30 characters, 1.5 seconds apart."""
+    k = F.col("k")
+    pieces = turn_captions(spark, folder).withColumn(
+        "k", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 30).cast("int")))
+    )
+    return pieces.select(
+        "video_id",
+        (F.col("pos") * 1000 + k).alias("pos"),
+        (F.col("pos") * 17 + k * 1.5).alias("start_s"),
+        "duration_s",
+        F.substring("text", k * 30 + 1, F.lit(30)).alias("text"),
+    ).filter(F.col("text").rlike(r"\S"))
+
+
+def caption_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("doc_id")
+    return load(spark, folder, "documents").select(
+        F.floor(n / 4).alias("video_id"), n.alias("pos"),
+        F.col("lang").alias("language"), (n % 2 == 1).alias("generated"),
+    )
+
+
+def turn_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """One frame per conversation turn, with the text visible on it."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    t = turn.cast("string")
+    return load(spark, folder, "conversations", spread_by="conv_id").select(
+        conv.alias("video_id"),
+        F.concat(F.lit("F"), F.lpad(t, 3, "0")).alias("frame_id"),
+        turn.alias("pos"),
+        F.lpad(conv.cast("string"), 11, "0").alias("code"),
+        (turn * 17 + 3).alias("seconds"),
+        F.when(conv % 4 != 0, turn * 17 + 3.04).cast("double").alias("decoded_s"),
+        F.when(conv % 3 == 0, F.col("text"))
+        .when(conv % 3 == 1, F.concat(F.lit("Q"), t, F.lit(" "), (turn * 5).cast("string")))
+        .otherwise(F.concat(F.lit("訂閱 活動 "), t)).alias("ocr"),
+        F.when(conv % 7 == 0, None).when(conv % 2 == 0, "hardware-verified")
+        .otherwise("software-fallback").alias("decoder_status"),
+        F.concat(F.lit("frames/F"), F.lpad(t, 3, "0"), F.lit(".jpg")).alias("file"),
+    )
+
+
+def frame_ocr_lines(frames: DataFrame) -> DataFrame:
+    return frames.select("video_id", "frame_id", F.posexplode(F.split("ocr", "\n")).alias("ocr_pos", "text")).filter(
+        F.col("text") != ""
+    )
+
+
+def frame_boxes(frames: DataFrame) -> DataFrame:
+    """Two number-over-label pairs on the frames of every third video."""
+    t = F.col("pos").cast("string")
+    item = lambda n, text, x, y: F.struct(
+        F.lit(n).alias("n"), text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")
+    )
+    items = F.array(
+        item(1, (F.col("pos") * 5).cast("string"), 100, 50),
+        item(2, F.concat(F.lit("Q"), t), 110, 200),
+        item(3, t, 300, 50),
+        item(4, F.concat(F.lit("R"), t), 310, 200),
+    )
+    return frames.filter(F.col("video_id") % 3 == 1).select(
+        "video_id", "frame_id", F.explode(items).alias("i")
+    ).select("video_id", "frame_id", "i.*")
+
+
+def ocr_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Three OCR boxes (number, label, step) per order line, a frame per order."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    n, part, supp = F.col("n"), F.col("l_partkey"), F.col("l_suppkey")
+    item = lambda k, text, x, y, confidence: F.struct(
+        (n * 3 + k).alias("pos"), text.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"),
+        confidence.cast("double").alias("confidence"),
+    )
+    corner = lambda dx, dy: F.struct((F.col("i.x") + dx).alias("x"), (F.col("i.y") + dy).alias("y"))
+    lines = load(spark, folder, "lineitem", spread_by="l_orderkey").withColumn("n", F.row_number().over(order))
+    items = F.array(
+        item(0, F.col("l_quantity").cast("int").cast("string"), part % 1280, supp % 200, F.col("l_discount") * 10),
+        item(1, F.concat(F.lit("Q"), n.cast("string")), part % 1280 + supp % 60 - 30, supp % 200 + 200, F.lit(0.9)),
+        item(2, F.concat(F.lit("STEP"), n.cast("string")), n * 150, 650 + n * 10, F.lit(0.8)),
+    )
+    return lines.select(F.col("l_orderkey").alias("frame_id"), F.explode(items).alias("i")).select(
+        "frame_id", F.col("i.pos").alias("pos"), F.col("i.text").alias("text"),
+        F.col("i.confidence").alias("confidence"),
+        F.array(corner(-10, -5), corner(10, -5), corner(10, 5), corner(-10, 5)).alias("corners"),
+    )
+
+
+def event_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Key-frame candidates: a video per user, its events scaled to seconds."""
+    events = load(spark, folder, "events").withColumn("us", F.unix_micros("ts"))
+    spans = events.groupBy("user_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    scale = lambda c: (F.col(c) - F.col("lo")) / 1e9
+    return events.join(spans, "user_id").select(
+        F.col("user_id").alias("video_id"), F.col("event_id").alias("pos"),
+        scale("us").alias("at_s"), F.col("value").alias("score"), scale("hi").alias("duration_s"),
+    )
+
+
+def vector_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Frame features: a series of 48 frames, as many as one video offers, per vector id range."""
+    return load(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 48).alias("series"), F.col("vec_id").alias("pos"),
+        F.col("embedding").alias("vector"), (F.col("label") * 10.0).alias("edge"),
+    )
