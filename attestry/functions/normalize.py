@@ -96,3 +96,13 @@ def similarity(left: Column, right: Column) -> Column:
         )
 
     return ratio.asNondeterministic()(left, right)
+
+
+def normalize_each(values: Column) -> Column:
+    """``normalize`` over every element of an array column."""
+
+    @F.pandas_udf("array<string>")
+    def each(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else [None if v is None else fold_text(v) for v in a])
+
+    return each.asNondeterministic()(values)

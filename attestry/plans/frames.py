@@ -69,8 +69,8 @@ def novelty_filter(spark, folder):
     said = (
         F.when(which == 0, F.concat(F.lit("A chart compares 9998 values, "), F.col("caption")))
         .when(which == 1, F.col("caption"))
-        .when(which == 2, F.concat(F.lit("The presenter stands by a rising line chart, "), F.col("frame_id")))
-        .otherwise(F.concat(F.lit("畫面顯示"), F.col("ocr"), F.lit(" 曲線上升")))
+        .when(which == 2, F.lit("The presenter stands by a rising line chart"))
+        .otherwise(F.concat(F.lit("畫面顯示"), F.reverse("caption")))
     )
     notes = matched(spark, folder).withColumn("visual_evidence", said)
     return A.novelty_filter(notes).select(
@@ -179,7 +179,7 @@ select video_id, null as reject_reason, kind, cast(i as integer) as n, at_s from
 union all select video_id, 'duration out of range', kind, null, null
   from k cross join (values ('retained'), ('candidates')) x(kind) where bad""",
     "frame_gate": """with recursive f as (
-  select vec_id // 48 as series, vec_id as pos, list_transform(embedding, x -> x::double) as v, label * 10.0::double as edge from embeddings),
+  select vec_id // 48 as series, vec_id as pos, list_transform(embedding, lambda x: x::double) as v, label * 10.0::double as edge from embeddings),
 m as (select *, list_avg(v) as mean, list_stddev_pop(v) as std from f),
 ok as (select *, row_number() over (partition by series order by pos) as n from m where mean >= -0.04 and std >= 0.118),
 walk as (
@@ -187,7 +187,7 @@ walk as (
   union all
   select o.series, o.n, o.pos, case when d >= 0.133 then o.v else o.kept end, d >= 0.133, d, o.std, o.edge
   from (select x.series, x.n, x.pos, x.v, x.std, x.edge, w.kept,
-      list_avg(list_transform(range(1, len(x.v) + 1), i -> abs(x.v[i] - w.kept[i]))) as d
+      list_avg(list_transform(range(1, len(x.v) + 1), lambda i: abs(x.v[i] - w.kept[i]))) as d
     from walk w join ok x on x.series = w.series and x.n = w.n + 1) o)
 select series, pos, round(change + std + least(edge, 500) / 10, 3) as selection_score from walk where keep""",
     "keyframe_select": f"""with {V.CANDIDATES},

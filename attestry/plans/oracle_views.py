@@ -232,3 +232,104 @@ record as (
     case when near_s is not null then 'source-timestamp' else 'markdown-whole-seconds' end as caption_precision,
     ocr, shared as shared_text, association
   from placed)"""
+
+REPLIES = """reply as (
+  select doc_id, ['ollama', 'openai', 'gemini'][doc_id % 3 + 1] as provider, doc_id % 11 = 0 as bad,
+    case when doc_id % 13 = 0 then [] when doc_id % 5 = 0 then ['S001', 'S999'] else ['S001'] end as refs,
+    'Claim about document ' || doc_id as claim,
+    '{"text":"Claim about document ' || doc_id || '","sources":'
+      || case when doc_id % 13 = 0 then '[]' when doc_id % 5 = 0 then '["S001","S999"]' else '["S001"]' end || '}' as item
+  from documents),
+decoded as (
+  select *, case when bad then null else '{"overview":' || item || ',"points":[' || item
+    || '],"facts":[],"uncertainties":"none"}' end as answer from reply),
+draft as (
+  select doc_id, refs, '## 一句話摘要' || chr(10) || chr(10) || claim || ' ' || m || chr(10) || chr(10) || '## 重點'
+    || chr(10) || chr(10) || '- ' || claim || ' ' || m || chr(10) || chr(10) || '## 重要數字／日期／條件'
+    || chr(10) || chr(10) || '未提供' || chr(10) || chr(10) || '## 待確認事項' || chr(10) || chr(10) || 'none' as draft
+  from (select *, array_to_string(list_transform(refs, lambda r: '[' || r || ']'), ' ') as m from decoded where not bad))"""
+
+EXCERPTS = SAVED + ", " + UNITS + """,
+plan as (
+  select doc_id, source, title, url, row_number() over (partition by source order by doc_id) as document,
+    count(*) over (partition by source) as n_docs
+  from saved where success and regexp_matches(markdown, '\\S')),
+room as (select *, greatest(80, 16000 // n_docs) as allowance from plan where n_docs >= 2),
+cutting as (
+  select r.source, r.document, r.doc_id, r.title, r.url, r.allowance, u.unit_no, u.text,
+    coalesce(sum(length(u.text)) over (partition by r.doc_id order by u.unit_no rows between unbounded preceding and 1 preceding), 0) as prev
+  from room r join u on u.doc_id = r.doc_id),
+ex as (
+  select source, document, 'S' || lpad(cast(document as varchar), 3, '0') as unit_id, doc_id, url,
+    '文件 ' || document || '（' || title || '）：'
+      || string_agg(substring(text, 1, cast(allowance - prev as integer)), chr(10) order by unit_no) as text
+  from cutting where prev < allowance group by source, document, doc_id, url, title)"""
+
+ANSWERS = EXCERPTS + """,
+ans as (
+  select doc_id as answer_id, source, document, unit_id,
+    case when document % 5 = 0 then ['S99999'] when document % 2 = 0
+      then [unit_id, 'S' || lpad(cast(document - 1 as varchar), 3, '0')] else [unit_id, unit_id] end as refs,
+    case when doc_id % 17 = 0 then 'short' else 'Both sources state point ' || document end as text,
+    case when doc_id % 19 = 0 then 6 else 2 end as singles from ex),
+refd as (
+  select a.answer_id, count(*) as n, count(e.document) as known, count(distinct e.document) as docs
+  from (select answer_id, source, unnest(refs) as ref from ans) a
+  left join ex e on e.source = a.source and e.unit_id = a.ref group by 1),
+judged as (
+  select a.*, case when length(text) < 8 then 'bad text' when known < n then 'unknown source'
+    when docs < 2 then 'needs two documents' when singles > 5 then 'bad section' end as rule
+  from ans a join refd r on r.answer_id = a.answer_id)"""
+
+NOTES = CHUNKS + r""",
+held as (
+  select *, row_number() over (partition by video_id, chunk_no order by unit_no) as n,
+    replace(lower(regexp_replace(text, '\s+', '', 'g')), 'ß', 'ss') as piece,
+    lead(text) over (partition by video_id, chunk_no order by unit_no) as following from chunked),
+off as (
+  select *, sum(length(piece)) over (partition by video_id, chunk_no order by unit_no) - length(piece) as lo from held),
+whole as (select video_id, chunk_no, string_agg(piece, '' order by unit_no) as joined from off group by 1, 2),
+note as (
+  select video_id, chunk_no, n, unit_no, unit_id,
+    case when unit_no % 6 = 5 then 'T' else 'Turn ' || unit_no end as title,
+    case when unit_no % 7 = 3 then '影片主要介紹各種技巧' else 'The speaker states: ' || text end as text,
+    case when video_id % 3 = 0 then 'not in the source at all'
+      when unit_no % 3 = 1 and following is not null then text || ' ' || following else text end as evidence
+  from off),
+folded as (
+  select *, replace(lower(regexp_replace(evidence, '\s+', '', 'g')), 'ß', 'ss') as needle from note),
+spot as (
+  select f.*, strpos(w.joined, f.needle) - 1 as at from folded f
+  join whole w on w.video_id = f.video_id and w.chunk_no = f.chunk_no),
+ref as (
+  select s.video_id, s.chunk_no, s.n, list(o.unit_id order by o.unit_no) as refs,
+    min(o.seconds) as at_s, string_agg('[' || o.time || '](' || o.url || ')', ' ' order by o.unit_no) as links
+  from spot s join off o on o.video_id = s.video_id and o.chunk_no = s.chunk_no
+    and s.at >= 0 and o.lo < s.at + length(s.needle) and o.lo + length(o.piece) > s.at group by 1, 2, 3),
+located as (
+  select s.*, r.refs, r.at_s, r.links from spot s
+  left join ref r on r.video_id = s.video_id and r.chunk_no = s.chunk_no and r.n = s.n),
+rules as (
+  select *, length(trim(text)) between 8 and 900 and not regexp_matches(text, '^影片主要介紹') and unit_no % 4 <> 0
+    and length(trim(evidence)) between 6 and 1200 and refs is not null as good, length(title) between 2 and 80 as titled
+  from located where n <= 3),
+val as (
+  select video_id, chunk_no, count(*) filter (where good and titled) as n_outline, count(*) filter (where good) as n_points,
+    2 * count(*) - count(*) filter (where good and titled) - count(*) filter (where good) as dropped
+  from rules group by 1, 2)"""
+
+GATED = NOTES + """,
+verdict as (
+  select video_id, chunk_no, n, (video_id + chunk_no + n) % 5 <> 0 as supported from rules
+  where good and not ((video_id + chunk_no) % 11 = 0 and n = 2)),
+lack as (
+  select r.video_id, r.chunk_no, bool_or(v.supported is null) as failed from rules r
+  left join verdict v on v.video_id = r.video_id and v.chunk_no = r.chunk_no and v.n = r.n where good group by 1, 2),
+gate as (
+  select r.video_id, r.chunk_no, r.n, case when coalesce(v.supported, false) then title else '字幕原句' end as title,
+    case when coalesce(v.supported, false) then text else '字幕原句：「' || evidence || '」' end as text,
+    evidence, refs, at_s, links, not coalesce(v.supported, false) as extractive, l.failed
+  from rules r join lack l on l.video_id = r.video_id and l.chunk_no = r.chunk_no
+  left join verdict v on v.video_id = r.video_id and v.chunk_no = r.chunk_no and v.n = r.n where good),
+gated as (
+  select *, 'points' as section from gate union all select *, 'outline' from gate where not extractive)"""

@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from . import captions, documents, frames, runs
+from . import captions, documents, frames, replies, runs
 
-MODULES = (runs, documents, captions, frames)
+MODULES = (runs, documents, captions, frames, replies)
 
 
 def queries():

@@ -193,3 +193,92 @@ def vector_features(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.col("vec_id") / 48).alias("series"), F.col("vec_id").alias("pos"),
         F.col("embedding").alias("vector"), (F.col("label") * 10.0).alias("edge"),
     )
+
+
+def envelope_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """One raw model reply per document, in the envelope of one of three providers."""
+    n = F.col("doc_id")
+    bad = n % 11 == 0
+    refs = F.when(n % 13 == 0, "[]").when(n % 5 == 0, '["S001","S999"]').otherwise('["S001"]')
+    item = F.concat(F.lit('{"text":"Claim about document '), n.cast("string"), F.lit('","sources":'), refs, F.lit("}"))
+    answer = F.concat(
+        F.lit('{"overview":'), item, F.lit(',"points":['), item, F.lit('],"facts":[],"uncertainties":"none"}')
+    )
+    half = F.floor(F.length("answer") / 2).cast("int")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    ollama = F.concat(
+        F.lit('{"done_reason":"'), F.when(bad, "length").otherwise("stop"),
+        F.lit('","message":{"role":"assistant","content":'), quoted(F.col("answer")), F.lit("}}"),
+    )
+    openai = F.concat(
+        F.lit('{"choices":[{"finish_reason":"'), F.when(bad, "content_filter").otherwise("stop"),
+        F.lit('","message":{"content":'), quoted(F.col("answer")), F.lit(',"refusal":null}}]}'),
+    )
+    gemini = F.concat(
+        F.lit('{"candidates":[{"finishReason":"'), F.when(bad, "MAX_TOKENS").otherwise("STOP"),
+        F.lit('","content":{"parts":[{"text":"thinking","thought":true},{"text":'),
+        quoted(F.substring(F.col("answer"), F.lit(1), half)), F.lit('},{"text":'),
+        quoted(F.substring(F.col("answer"), half + 1, F.length("answer"))), F.lit("}]}}]}"),
+    )
+    provider = F.element_at(F.array(F.lit("ollama"), F.lit("openai"), F.lit("gemini")), (n % 3 + 1).cast("int"))
+    return (
+        load(spark, folder, "documents").select("doc_id", provider.alias("provider"), answer.alias("answer"))
+        .withColumn("raw", F.when(n % 3 == 0, ollama).when(n % 3 == 1, openai).otherwise(gemini))
+        .drop("answer")
+    )
+
+
+def comparison_answers(units: DataFrame) -> DataFrame:
+    """One comparison answer per excerpt; even documents cite a neighbour, odd ones only
+    themselves, and some break the other rules."""
+    own = F.col("unit_id")
+    n = F.col("document")
+    other = F.format_string("S%03d", n - 1)
+    refs = (
+        F.when(n % 5 == 0, F.array(F.lit("S99999")))
+        .when(n % 2 == 0, F.array(own, other))
+        .otherwise(F.array(own, own))
+    )
+    text = F.when(F.col("doc_id") % 17 == 0, "short").otherwise(
+        F.concat(F.lit("Both sources state point "), n.cast("string"))
+    )
+    claim = lambda t, r: F.struct(t.alias("text"), r.alias("sources"))
+    single = claim(F.concat(F.lit("Only source "), n.cast("string"), F.lit(" says so")), F.array(own))
+    answer = F.to_json(F.struct(
+        F.array(claim(text, refs)).alias("common"),
+        F.array().cast("array<struct<text:string,sources:array<string>>>").alias("differences"),
+        F.array_repeat(single, F.when(F.col("doc_id") % 19 == 0, 6).otherwise(2)).alias("unique"),
+    ))
+    return units.select(F.col("doc_id").alias("answer_id"), "source", answer.alias("answer"))
+
+
+def note_replies(chunks: DataFrame) -> DataFrame:
+    """One reply per caption chunk with a note per block, some of them breaking a rule."""
+    video = F.col("video_id")
+
+    def note(u, i):
+        following = F.get(F.col("units"), i + 1)["text"]
+        no = u["unit_no"]
+        return F.struct(
+            F.when(no % 6 == 5, "T").otherwise(F.concat(F.lit("Turn "), no.cast("string"))).alias("title"),
+            F.when(no % 7 == 3, "影片主要介紹各種技巧").otherwise(
+                F.concat(F.lit("The speaker states: "), u["text"])).alias("text"),
+            F.when(video % 3 == 0, "not in the source at all")
+            .when((no % 3 == 1) & following.isNotNull(), F.concat(u["text"], F.lit(" "), following))
+            .otherwise(u["text"]).alias("evidence"),
+            F.array(F.when(no % 4 == 0, "S999").otherwise(u["unit_id"])).alias("sources"),
+        )
+
+    unsure = F.when(video % 2 == 0, F.concat(F.lit("unclear in part "), (F.col("chunk_no") % 2).cast("string"))).otherwise("無")
+    return chunks.select(
+        "video_id", "chunk_no",
+        F.to_json(F.struct(F.transform("units", note).alias("notes"), unsure.alias("uncertainties"))).alias("answer"),
+    )
+
+
+def note_verdicts(points: DataFrame) -> DataFrame:
+    """A verdict for every kept point but some."""
+    total = F.col("video_id") + F.col("chunk_no")
+    return points.filter(~((total % 11 == 0) & (F.col("n") == 2))).select(
+        "video_id", "chunk_no", "n", ((total + F.col("n")) % 5 != 0).alias("supported")
+    )
