@@ -144,10 +144,8 @@ def novelty_filter(notes: DataFrame, *, limit: float = P.SIMILARITY_LIMIT) -> Da
         "_o": _compact(F.col("ocr")),
         "_c": _compact(F.col("caption")),
     })
-    for lead in P.LEAD_INS:
-        folded = folded.withColumn(
-            "_v", F.when(F.startswith("_v", F.lit(lead)), F.substring("_v", len(lead) + 1, 1 << 30)).otherwise(F.col("_v"))
-        )
+    leads = r"\A" + "".join(f"(?:{lead})?" for lead in P.LEAD_INS)
+    folded = folded.withColumn("_v", F.regexp_replace("_v", leads, ""))
     covers = lambda s: (F.col(s) != "") & (F.contains(F.col(s), F.col("_v")) | F.contains(F.col("_v"), F.col(s)))
     fresh = folded.filter((F.col("_v") != "") & ~covers("_o") & ~covers("_c"))
     scored = fresh.withColumn(

@@ -7,6 +7,7 @@ searched in the joined text of that chunk's row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -134,25 +135,32 @@ def claim_gate(validated: DataFrame, verdicts: DataFrame) -> DataFrame:
     An unsupported point is replaced by its quoted original. With any point, the outline
     is rebuilt from the supported ones. A missing verdict fails the whole chunk.
     """
-    points = explode_notes(validated, "points").join(verdicts, [*KEY, "n"], "left")
-    lacking = points.groupBy(*KEY).agg(F.bool_or(F.col("supported").isNull()).alias("failed"))
-    quoted = ~F.coalesce("supported", F.lit(False))
-    gated = points.join(lacking, KEY).select(
+    fine = validated.filter(F.col("reject_reason").isNull())
+    copies = F.concat(*[
+        F.transform(name, lambda j: F.struct(F.lit(name).alias("section"), j.alias("j")))
+        for name in ("points", "outline")
+    ])
+    rows = fine.select(*KEY, F.explode(copies).alias("c")).select(
+        *KEY, "c.section", "c.j.n", "c.j.title", "c.j.text", "c.j.evidence", "c.j.refs"
+    )
+    point = F.col("section") == "points"
+    chunk = W.partitionBy(*KEY)
+    judged = (
+        rows.join(verdicts, [*KEY, "n"], "left")
+        .withColumn("failed", F.max(point & F.col("supported").isNull()).over(chunk))
+        .withColumn("_any", F.max(point).over(chunk))
+        .filter(point | ~F.col("_any"))
+    )
+    quoted = point & ~F.coalesce("supported", F.lit(False))
+    placed = F.when(quoted, F.array(F.lit("points"))).when(point, F.array(F.lit("points"), F.lit("outline"))).otherwise(
+        F.array(F.lit("outline"))
+    )
+    return judged.select(
         *KEY, "n",
         F.when(quoted, P.EXTRACT_TITLE).otherwise(F.col("title")).alias("title"),
         F.when(quoted, F.format_string(P.EXTRACT_TEXT, F.col("evidence"))).otherwise(F.col("text")).alias("text"),
         "evidence", "refs", quoted.alias("extractive"), "failed",
-    )
-    section = lambda df, name: df.withColumn("section", F.lit(name))
-    untouched = (
-        explode_notes(validated, "outline")
-        .join(lacking.select(*KEY), KEY, "left_anti")
-        .withColumns({"extractive": F.lit(False), "failed": F.lit(False)})
-    )
-    return (
-        section(gated, "points")
-        .unionByName(section(gated.filter(~F.col("extractive")), "outline"))
-        .unionByName(section(untouched, "outline"))
+        F.explode(placed).alias("section"),
     )
 
 

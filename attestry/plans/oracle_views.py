@@ -333,3 +333,42 @@ gate as (
   left join verdict v on v.video_id = r.video_id and v.chunk_no = r.chunk_no and v.n = r.n where good),
 gated as (
   select *, 'points' as section from gate union all select *, 'outline' from gate where not extractive)"""
+
+REPORTS = r"""h as (
+  select doc_id, '# Report ' || doc_id || e'\n\n## Findings\n\n- item ' || lang || e'\n\n> ' || source
+    || e'\n\n![frame](frames/' || doc_id || e'.jpg)\n\n### Table\n\n|k|v|\n|---|---|\n|lang|' || lang
+    || e'|\n\n[link](https://example.com/' || doc_id || e') tail\n\n### Text\n\n' || text as text from documents),
+hl as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as ln
+  from (select doc_id, string_split(text, chr(10)) as l from h)),
+hs as (
+  select *, sum(case when starts_with(line, '## ') or starts_with(line, '### ') then 1 else 0 end)
+    over (partition by doc_id order by ln) as sec from hl),
+sect as (
+  select doc_id, sec, coalesce(max(trim(ltrim(line, '# '))) filter (where starts_with(line, '## ') or starts_with(line, '### ')), '摘要') as title,
+    regexp_replace(coalesce(string_agg(line, chr(10) order by ln)
+      filter (where not (starts_with(line, '## ') or starts_with(line, '### '))), ''), '^\s+|\s+$', '', 'g') as body
+  from hs group by 1, 2),
+section as (
+  select doc_id, cast(row_number() over (partition by doc_id order by sec) as integer) as n, title, body
+  from sect where body <> '' qualify n <= 20),
+kinds as (
+  select doc_id, ln, trim(line) as line, case when trim(line) = '' then 'blank'
+    when regexp_full_match(trim(line), '!\[[^\]]*\]\([^)]+\)') then 'image' when starts_with(trim(line), '|') then 'table'
+    when starts_with(trim(line), '### ') then 'h3' when starts_with(trim(line), '## ') then 'h2'
+    when starts_with(trim(line), '# ') then 'h1' when starts_with(trim(line), '> ') then 'quote'
+    when regexp_matches(trim(line), '^[-*] ') then 'bullet' else 'paragraph' end as kind from hl),
+opened as (
+  select *, kind = 'table' and regexp_matches(coalesce(lead(line) over (partition by doc_id order by ln), ''), '^\|?\s*:?-+') as opens,
+    lag(kind) over (partition by doc_id order by ln) as before, lead(kind) over (partition by doc_id order by ln) as after
+  from kinds),
+grouped as (
+  select *, sum(case when kind = before and kind = 'table' then 0
+      when kind = 'paragraph' and before = 'paragraph' and not regexp_matches(line, '^(#{1,3} |[-*>] |!\[|\|)') then 0 else 1 end)
+    over (partition by doc_id order by ln) as g from opened),
+block as (
+  select doc_id, g, case when arg_min(kind, ln) = 'table' and not arg_min(opens, ln) then 'paragraph' else arg_min(kind, ln) end as kind,
+    case when arg_min(kind, ln) in ('h1', 'h2', 'h3') then regexp_replace(min_by(line, ln), '^#{1,3} ', '')
+      when arg_min(kind, ln) in ('quote', 'bullet') then substring(min_by(line, ln), 3)
+      when arg_min(kind, ln) = 'table' then string_agg(line, chr(10) order by ln)
+      else string_agg(line, ' ' order by ln) end as content, cast(count(*) as integer) as lines
+  from grouped group by 1, 2)"""

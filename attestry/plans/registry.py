@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from . import captions, documents, frames, replies, runs
+from . import captions, documents, frames, replies, reports, runs
 
-MODULES = (runs, documents, captions, frames, replies)
+MODULES = (runs, documents, captions, frames, replies, reports)
 
 
 def queries():

@@ -9,8 +9,9 @@ from ..operators import extract as X
 from ..operators import notes as N
 from ..operators import replies as R
 from ..operators.segment import source_units
+from ..session import written
 from . import oracle_views as V
-from .captions import blocks, chunks
+from .captions import chunks
 from .views import (
     comparison_answers, envelope_replies, note_replies, note_verdicts, plain_documents, saved_pages, turn_frames,
 )
@@ -116,7 +117,7 @@ def note_validate_points(spark, folder):
 
 
 def gated(spark, folder):
-    checked = validated(spark, folder)
+    checked = written(validated(spark, folder), "validated")
     return N.claim_gate(checked, note_verdicts(N.explode_notes(checked, "points")))
 
 
@@ -125,12 +126,11 @@ def claim_gate(spark, folder):
 
 
 def note_timeline_merge(spark, folder):
-    rows = blocks(spark, folder).select(F.col("video_id").alias("v"), F.explode("units").alias("u")).select(
-        F.col("v").alias("video_id"), "u.*"
-    )
-    return N.note_timeline_merge(
-        gated(spark, folder), rows, validated(spark, folder), chunks(spark, folder)
-    )
+    cut = written(chunks(spark, folder), "chunks")
+    rows = cut.select("video_id", F.explode("units").alias("u")).select("video_id", "u.*")
+    checked = written(N.note_validate(note_replies(cut), cut), "validated")
+    gate = written(N.claim_gate(checked, note_verdicts(N.explode_notes(checked, "points"))), "gated")
+    return N.note_timeline_merge(gate, rows, checked, cut)
 
 
 QUERIES = {

@@ -282,3 +282,17 @@ def note_verdicts(points: DataFrame) -> DataFrame:
     return points.filter(~((total % 11 == 0) & (F.col("n") == 2))).select(
         "video_id", "chunk_no", "n", ((total + F.col("n")) % 5 != 0).alias("supported")
     )
+
+
+def markdown_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """One Markdown report per document with every kind of block."""
+    n = F.col("doc_id").cast("string")
+    lines = F.array(
+        F.concat(F.lit("# Report "), n), F.lit(""), F.lit("## Findings"), F.lit(""),
+        F.concat(F.lit("- item "), F.col("lang")), F.lit(""), F.concat(F.lit("> "), F.col("source")), F.lit(""),
+        F.concat(F.lit("![frame](frames/"), n, F.lit(".jpg)")), F.lit(""), F.lit("### Table"), F.lit(""),
+        F.lit("|k|v|"), F.lit("|---|---|"), F.concat(F.lit("|lang|"), F.col("lang"), F.lit("|")), F.lit(""),
+        F.concat(F.lit("[link](https://example.com/"), n, F.lit(") tail")), F.lit(""), F.lit("### Text"), F.lit(""),
+        F.col("text"),
+    )
+    return load(spark, folder, "documents", spread_by="doc_id").select("doc_id", F.array_join(lines, "\n").alias("text"))
