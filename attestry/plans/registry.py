@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from . import captions, documents, frames, replies, reports, runs
+from . import captions, documents, frames, replies, reports, runs, streams
 
-MODULES = (runs, documents, captions, frames, replies, reports)
+MODULES = (runs, documents, captions, frames, replies, reports, streams)
 
 
 def queries():
