@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import is_blank, numbered, strip
+from ..session import written
 from .extract import unit_scores
 from .prefix import running
 from .segment import with_units
@@ -62,8 +63,12 @@ def balanced_excerpts(docs: DataFrame, *, group: str = "source", budget: int = P
 
 
 def cross_source_summary(docs: DataFrame, *, group: str = "source") -> DataFrame:
-    """Group reports as rows (group, section, n, line): key, fact, failed and source lines."""
-    units = balanced_excerpts(docs, group=group)
+    """Group reports as rows (group, section, n, line): key, fact, failed and source lines.
+
+    The excerpts are read several times and are small next to the texts they are cut
+    from, so they are written out once.
+    """
+    units = written(balanced_excerpts(docs, group=group), "excerpts")
     bullet = F.concat(F.lit("- ["), F.col("unit_id"), F.lit("] "), F.col("text"))
     best = W.partitionBy(group).orderBy(F.desc("score"), "document")
     top = (

@@ -79,7 +79,7 @@ def evidence_records(notes: DataFrame, frames: DataFrame, snippets: DataFrame) -
         F.coalesce("decoder_status", F.lit("unknown")).alias("decoder_status"),
     )
     anchored = (
-        notes.join(frame, ["video_id", "frame_id"])
+        running(notes, ["video_id"], "pos", number="_n").join(frame, ["video_id", "frame_id"])
         .withColumn("_clean", collapse(F.col("caption")))
         .withColumn("_anchor", F.coalesce(
             F.col("caption_s").cast("double"), F.when(F.col("decoded_s") != 0, F.col("decoded_s")),
@@ -89,8 +89,7 @@ def evidence_records(notes: DataFrame, frames: DataFrame, snippets: DataFrame) -
     clean = snippets.select("video_id", collapse(F.col("text")).alias("_clean"), "start_s", "pos", "duration_s")
     placed = nearest_by_time(anchored, clean, ["video_id", "_clean"], at="_anchor", start="start_s", pos="pos")
     found = F.col("_near").isNotNull()
-    numbered_notes = running(placed, ["video_id"], "pos", number="_n")
-    return numbered_notes.select(
+    return placed.select(
         "video_id",
         numbered("E", F.col("_n")).alias("evidence_id"),
         "frame_id", "seconds", "decoded_s", "decoder_status", "title",

@@ -50,11 +50,11 @@ def unit_scores(units: DataFrame, scope: str, unit: str) -> DataFrame:
     )
 
 
-def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
-    """The ``top`` best-scored units of each document, with their scores.
+def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
+    """(doc_id, units, picks): the ``top`` best-scored units as (unit_no, score, rank).
 
-    Documents are hashed by id once, before they are taken apart; every later
-    count, sum and rank is keyed by the document and reuses that partitioning.
+    Documents are hashed by id once, before they are taken apart; every later count,
+    sum, rank and join is keyed by the document and reuses that partitioning.
     """
     spread = with_units(docs, **options).select("doc_id", "units").repartition("doc_id")
     tokens = explode_units(spread).select(
@@ -79,11 +79,17 @@ def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) ->
         scores.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= top)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("unit_no", "score", "rank")).alias("picks"))
+        .agg(F.sort_array(F.collect_list(F.struct("unit_no", "score", "rank"))).alias("picks"))
     )
+    return spread.join(chosen, "doc_id", "left")
+
+
+def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
+    """The ``top`` best-scored units of each document, with their scores."""
     return (
-        spread.join(chosen, "doc_id")
-        .select("doc_id", "units", F.explode("picks").alias("p"))
+        with_picks(docs, top=top, **options)
+        .select("doc_id", "units", F.explode_outer("picks").alias("p"))
+        .filter(F.col("p").isNotNull())
         .select("doc_id", "p.*", F.element_at("units", F.col("p.unit_no")).alias("u"))
         .select("doc_id", "unit_no", F.col("u.unit_id").alias("unit_id"), "rank", "score",
                 F.col("u.text").alias("text"), F.col("u.url").alias("url"))
@@ -107,14 +113,12 @@ def _bullets(units: Column) -> Column:
 
 
 def summary_text(keys: Column, facts: Column) -> Column:
-    head = F.concat(
-        F.lit(P.SUMMARY_HEAD + "\n\n"),
-        F.when(F.size(keys) > 0, _bullets(keys)).otherwise(F.lit(P.SUMMARY_EMPTY)),
+    head = F.coalesce(F.nullif(_bullets(keys), F.lit("")), F.lit(P.SUMMARY_EMPTY))
+    tail = let(
+        _bullets(facts),
+        lambda lines: F.when(lines != "", F.concat(F.lit("\n\n" + P.FACTS_HEAD + "\n\n"), lines)).otherwise(""),
     )
-    tail = F.when(
-        F.size(facts) > 0, F.concat(F.lit("\n\n" + P.FACTS_HEAD + "\n\n"), _bullets(facts))
-    ).otherwise(F.lit(""))
-    return F.concat(head, tail)
+    return F.concat(F.lit(P.SUMMARY_HEAD + "\n\n"), head, tail)
 
 
 def sources_text(units: Column) -> Column:
@@ -135,17 +139,13 @@ def sources_text(units: Column) -> Column:
 
 def extractive_summary(docs: DataFrame, **options) -> DataFrame:
     """One report per document: key sentences in source order, fact clues, sources."""
-    empty = F.array().cast("array<struct<unit_no:int,unit_id:string,text:string>>")
-    keys = (
-        key_sentences(docs, **options)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("unit_no", "unit_id", "text"))).alias("keys"))
+    keys = F.coalesce(
+        F.transform("picks", lambda p: F.element_at(F.col("units"), p["unit_no"])), F.slice("units", 1, 0)
     )
-    base = with_units(docs, **options).select("doc_id", "units")
-    return base.join(keys, "doc_id", "left").select(
+    return with_picks(docs, **options).select(
         "doc_id",
         F.size("units").alias("n_units"),
-        summary_text(F.coalesce("keys", empty), facts_array(F.col("units"))).alias("summary"),
+        summary_text(keys, facts_array(F.col("units"))).alias("summary"),
         sources_text(F.col("units")).alias("sources"),
     )
 

@@ -9,6 +9,7 @@ from ..operators import align as A
 from ..operators import evidence as E
 from ..operators import frames as Fr
 from ..operators import layout as L
+from ..session import written
 from . import oracle_views as V
 from .views import (
     event_candidates, frame_boxes, frame_ocr_lines, ocr_boxes, plain_documents, short_captions,
@@ -129,7 +130,7 @@ def evidence_records(spark, folder):
         F.concat(F.lit("The frame shows text next to the words: "), F.col("caption")).alias("visual_evidence"),
         "caption", "caption_s", "ocr", "shared", "association",
     )
-    return E.evidence_records(notes, frames, short_captions(spark, folder))
+    return E.evidence_records(written(notes, "notes"), frames, short_captions(spark, folder))
 
 
 def evidence_stats(spark, folder):

@@ -26,12 +26,12 @@ def cross_source_summary(spark, folder):
 
 
 def comparison_validate(spark, folder):
-    units = balanced_excerpts(spark, folder)
+    units = written(balanced_excerpts(spark, folder), "excerpts")
     return C.comparison_validate(comparison_answers(units), units)
 
 
 def comparison_render(spark, folder):
-    units = balanced_excerpts(spark, folder)
+    units = written(balanced_excerpts(spark, folder), "excerpts")
     return C.comparison_render(comparison_answers(units), units)
 
 
