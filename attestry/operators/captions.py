@@ -61,9 +61,11 @@ def transcript_text(lines: DataFrame, *, max_chars: int = P.MAX_CHARS) -> DataFr
     """The analysed transcript text of each video, at most ``max_chars`` long."""
     size = F.length("line") + len(SEPARATOR)
     reach = running(lines.select("video_id", "pos", "line"), ["video_id"], "pos", value=size, total="upto")
-    inside = reach.filter(F.col("upto") - size < max_chars)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    return inside.groupBy("video_id").agg(ordered.alias("_l"), F.max("upto").alias("_upto")).select(
+    inside = F.when(F.col("upto") - size < max_chars, F.struct("pos", "line"))
+    whole = reach.groupBy("video_id").agg(
+        F.sort_array(F.collect_list(inside)).alias("_l"), F.max("upto").alias("_upto")
+    )
+    return whole.select(
         "video_id",
         F.substring(F.array_join(F.transform("_l", lambda s: s["line"]), SEPARATOR), 1, max_chars).alias("text"),
         (F.col("_upto") - len(SEPARATOR) > max_chars).alias("truncated"),
