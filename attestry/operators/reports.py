@@ -127,12 +127,11 @@ def blocks_array(text: Column) -> Column:
     def block(run: Column) -> Column:
         head = F.get(run, F.lit(0))
         texts = F.transform(run, lambda x: x["line"])
-        joined = F.array_join(texts, " ")
         content = (
             F.when(head["kind"].isin("h1", "h2", "h3"), F.regexp_replace(head["line"], r"\A#{1,3} ", ""))
             .when(head["kind"].isin("quote", "bullet"), F.substring(head["line"], 3, 1 << 30))
-            .when(head["kind"] == "table", F.array_join(texts, "\n"))
-            .otherwise(joined)
+            .when(head["opens"], F.array_join(texts, "\n"))
+            .otherwise(F.array_join(texts, " "))
         )
         kind = F.when((head["kind"] == "table") & ~head["opens"], "paragraph").otherwise(head["kind"])
         return F.struct(kind.alias("kind"), content.alias("content"), F.size(run).alias("lines"))
