@@ -70,10 +70,16 @@ def useful_overlap(shared: Column) -> Column:
     return (F.length(shared) >= 4) | ((F.length(shared) >= 2) & shared.rlike(r"(?U)\d"))
 
 
+def first_lines(ocr: DataFrame, most: int = P.OCR_ITEMS) -> DataFrame:
+    """The OCR lines a frame keeps: its first thirty."""
+    order = W.partitionBy("video_id", "frame_id").orderBy("ocr_pos")
+    return ocr.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+
+
 def ocr_pairs(context: DataFrame, ocr: DataFrame) -> DataFrame:
     """Every OCR line of a frame with each of its captions (at most 30 by 10), and the
     text they share."""
-    lines = ocr.select("video_id", "frame_id", "ocr_pos", F.col("text").alias("ocr"))
+    lines = first_lines(ocr).select("video_id", "frame_id", "ocr_pos", F.col("text").alias("ocr"))
     return context.join(lines, ["video_id", "frame_id"]).withColumn(
         "shared", longest_common_text(F.col("ocr"), F.col("caption"))
     )
@@ -98,7 +104,7 @@ def overlap_match(frames: DataFrame, context: DataFrame, ocr: DataFrame) -> Data
     nearest = context.filter("rank = 1").select(
         "video_id", "frame_id", F.col("caption").alias("near"), F.col("start_s").alias("near_s")
     )
-    whole = ocr.groupBy("video_id", "frame_id").agg(
+    whole = first_lines(ocr).groupBy("video_id", "frame_id").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("ocr_pos", "text"))), lambda o: o["text"]), " "
         ).alias("ocr_text")

@@ -14,59 +14,52 @@ STRETCH_SECONDS = 3600.0
 
 def nearest_by_time(left: DataFrame, right: DataFrame, keys: list[str], *, at: str, start: str,
                     pos: str, width: float = STRETCH_SECONDS) -> DataFrame:
-    """Add ``_near`` to each left row: the right (start, pos, duration_s) closest to ``at``
-    among equal keys, the smaller ``pos`` on ties, NULL when the key has none.
+    """Add ``_near`` to each left row: the right (start_s, pos, duration_s) closest to
+    ``at`` among equal keys, the smaller ``pos`` on ties, NULL when the key has none.
 
-    Sorted once, without forming pairs: within a stretch of ``width`` seconds windows
-    look one row back and one ahead, and the edges of other stretches come from a
-    per-stretch aggregate, so a key that holds most rows spreads over its stretches.
+    Distinct times of both sides are sorted once, without forming pairs: within a
+    stretch of ``width`` seconds windows look back and ahead, and what lies in other
+    stretches comes from a per-stretch aggregate, so a key that holds most rows spreads
+    over its stretches and copies are folded before they are shuffled.
     """
     stretch = lambda c: F.floor(F.col(c) / width)
-    value = F.struct(F.col(start).alias("start_s"), F.col(pos).alias("pos"), F.col("duration_s").alias("duration_s"))
-    points = right.groupBy(*keys, start).agg(F.min_by(value, F.col(pos)).alias("_value"))
     by = [*keys, "_stretch"]
-    edges = points.withColumn("_stretch", stretch(start)).groupBy(*by).agg(
-        F.min_by("_value", start).alias("_lo"), F.max_by("_value", start).alias("_hi")
-    )
-    asked = left.select(*keys, stretch(at).alias("_stretch")).distinct()
+    value = F.struct(F.col(start).cast("double").alias("start_s"), F.col(pos).alias("pos"),
+                     F.col("duration_s").alias("duration_s"))
+    points = right.groupBy(*keys, F.col(start).cast("double").alias("_t")).agg(
+        F.min_by(value, F.col(pos)).alias("_value")
+    ).withColumn("_stretch", stretch("_t"))
+    asked = left.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_stretch", stretch("_t"))
+
+    edges = points.groupBy(*by).agg(F.min_by("_value", "_t").alias("_lo"), F.max_by("_value", "_t").alias("_hi"))
     along = W.partitionBy(*keys).orderBy("_stretch")
-    outer = (
-        asked.join(edges, by, "full")
-        .select(
-            *by,
-            F.last("_hi", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before0"),
-            F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_after0"),
-        )
+    outer = asked.select(*by).distinct().join(edges, by, "full").select(
+        *by,
+        F.last("_hi", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before0"),
+        F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_after0"),
     )
-    row = F.struct(*[F.col(c) for c in left.columns])
-    both = left.select(
-        *keys, stretch(at).alias("_stretch"), F.col(at).cast("double").alias("_t"), F.lit(1).alias("_side"),
-        row.alias("_row"), F.lit(None).cast(points.schema["_value"].dataType).alias("_value"),
-    ).unionByName(
-        points.select(
-            *keys, stretch(start).alias("_stretch"), F.col(start).cast("double").alias("_t"), F.lit(0).alias("_side"),
-            F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType).alias("_row"), "_value",
-        )
+    nothing = F.lit(None).cast(points.schema["_value"].dataType).alias("_value")
+    both = asked.select(*by, "_t", F.lit(1).alias("_side"), nothing).unionByName(
+        points.select(*by, "_t", F.lit(0).alias("_side"), "_value")
     )
     inner = W.partitionBy(*by).orderBy("_t", "_side")
     seen = both.select(
-        *by, "_t", "_row",
+        *by, "_t", "_side",
         F.last("_value", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_before"),
         F.first("_value", ignorenulls=True).over(inner.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("_after"),
-    ).filter(F.col("_row").isNotNull())
-    far = lambda c: F.abs(F.col(c)["start_s"] - F.col("_t"))
-    back, ahead = F.struct(far("_before"), F.col("_before.pos")), F.struct(far("_after"), F.col("_after.pos"))
+    ).filter("_side = 1")
+    before, after = F.coalesce("_before", "_before0"), F.coalesce("_after", "_after0")
+    far = lambda v: F.struct(F.abs(v["start_s"] - F.col("_t")), v["pos"])
     chosen = (
-        F.when(F.col("_after").isNull(), F.col("_before"))
-        .when(F.col("_before").isNull(), F.col("_after"))
-        .when(back <= ahead, F.col("_before"))
-        .otherwise(F.col("_after"))
+        F.when(before.isNull(), after)
+        .when(after.isNull() | (far(before) <= far(after)), before)
+        .otherwise(after)
     )
+    answers = seen.join(outer, by).select(*keys, F.col("_t").alias("_at"), chosen.alias("_near"))
     return (
-        seen.join(outer, by)
-        .withColumn("_before", F.coalesce("_before", "_before0"))
-        .withColumn("_after", F.coalesce("_after", "_after0"))
-        .select("_row.*", chosen.alias("_near"))
+        left.withColumn("_at", F.col(at).cast("double"))
+        .join(answers, [*keys, "_at"], "left")
+        .select(*left.columns, "_near")
     )
 
 

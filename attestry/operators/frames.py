@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import clock, watch_link
+from ..session import written
 
 GALLERY_OCR_CHARS = 220
 
@@ -44,39 +43,76 @@ def sample_timestamps(videos: DataFrame, *, max_frames: int = P.MAX_FRAMES,
     )
 
 
+KEPT_SCHEMA = "series long, chunk long, pos long, selection_score double, last array<double>"
+GATE_CHUNK = 4096
+
+
+def _gate(min_mean: float, min_std: float, min_change: float, first_change: float):
+    """Walk one stretch of a series from the last frame kept before it."""
+
+    def walk(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=["series", "chunk", "pos", "selection_score", "last"])
+        rows = rows.sort_values("pos")
+        series, chunk = int(rows["series"].iloc[0]), int(rows["chunk"].iloc[0])
+        before = entry["last"].iloc[0] if len(entry) else None
+        last = None if before is None else np.asarray(before, dtype=float)
+        out = []
+        for pos, vector, edge in zip(rows["pos"], rows["vector"], rows["edge"]):
+            now = np.asarray(vector, dtype=float)
+            spread = now.std()
+            if now.mean() < min_mean or spread < min_std:
+                continue
+            change = first_change if last is None else np.abs(now - last).mean()
+            if last is not None and change < min_change:
+                continue
+            last = now
+            out.append((series, chunk, int(pos), round(float(change + spread + min(edge, 500.0) / 10), 3), None))
+        out.append((series, chunk, None, None, None if last is None else last.tolist()))
+        frame = pd.DataFrame(out, columns=["series", "chunk", "pos", "selection_score", "last"])
+        return frame.astype({"pos": "Int64"})
+
+    return walk
+
+
 def frame_gate(features: DataFrame, *, min_mean: float = 12.0, min_std: float = 8.0,
-               min_change: float = 7.0, first_change: float = 20.0) -> DataFrame:
+               min_change: float = 7.0, first_change: float = 20.0, chunk: int = GATE_CHUNK) -> DataFrame:
     """Drop blank frames, and frames too close to the last kept one of their series.
 
-    (series, pos, vector, edge) → kept rows with their selection score. The last kept
-    vector is the only state, so a series is streamed in order through one task and
-    never held; parallelism is across series.
+    (series, pos, vector, edge) → kept rows with their selection score. What is kept
+    depends on the frame kept before, so a series is a chain. Its stretches of ``chunk``
+    positions are walked in parallel on a guess of the frame they start from, and only
+    stretches whose guess proves wrong are walked again, until none is: the result is
+    that of one walk, and no task ever holds more than a stretch. A series of one
+    stretch, as a video's few dozen frames are, needs a single pass.
     """
-
-    def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, previous = None, None
-        for batch in batches:
-            kept = []
-            for row in batch.itertuples(index=False):
-                if row.series != series:
-                    series, previous = row.series, None
-                vector = np.asarray(row.vector, dtype=float)
-                spread = vector.std()
-                if vector.mean() < min_mean or spread < min_std:
-                    continue
-                change = first_change
-                if previous is not None:
-                    change = np.abs(vector - previous).mean()
-                    if change < min_change:
-                        continue
-                previous = vector
-                kept.append((row.series, row.pos, round(float(change + spread + min(row.edge, 500.0) / 10), 3)))
-            yield pd.DataFrame(kept, columns=["series", "pos", "selection_score"])
-
-    ordered = features.select("series", "pos", "vector", "edge").repartition("series").sortWithinPartitions(
-        "series", "pos"
-    )
-    return ordered.mapInPandas(gate, "series long, pos long, selection_score double")
+    walk = _gate(min_mean, min_std, min_change, first_change)
+    key = ["series", "chunk"]
+    rows = features.select("series", F.floor(F.col("pos") / chunk).alias("chunk"), "pos", "vector", "edge")
+
+    def walked(part: DataFrame, entries: DataFrame) -> DataFrame:
+        return part.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(walk, KEPT_SCHEMA)
+
+    spans = rows.groupBy("series").agg(F.max("chunk").alias("hi"), F.min("chunk").alias("lo"))
+    used = rows.select(*key, F.lit(None).cast("array<double>").alias("last")).limit(0)
+    kept = walked(rows, used)
+    if spans.filter("hi > lo").isEmpty():
+        return kept.filter("pos is not null").select("series", "pos", "selection_score")
+
+    rows = written(rows, "gate-rows")
+    used = rows.select(*key).distinct().withColumn("last", F.lit(None).cast("array<double>"))
+    kept = written(walked(rows, used), "gate")
+    while True:
+        along = W.partitionBy("series").orderBy("chunk")
+        entries = kept.filter("pos is null").select(*key, F.lag("last").over(along).alias("last"))
+        wrong = written(
+            entries.alias("e").join(used.alias("u"), key).filter(~F.col("e.last").eqNullSafe(F.col("u.last")))
+            .select(*key, F.col("e.last").alias("last")), "gate-wrong")
+        if wrong.isEmpty():
+            return kept.filter("pos is not null").select("series", "pos", "selection_score")
+        used = written(used.join(wrong, key, "left_anti").unionByName(wrong), "gate-used")
+        again = walked(rows.join(wrong, key, "left_semi"), wrong)
+        kept = written(kept.join(wrong, key, "left_anti").unionByName(again), "gate")
 
 
 def keyframe_select(candidates: DataFrame, *, count: int = P.MAX_FRAMES) -> DataFrame:

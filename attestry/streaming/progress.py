@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,5 +48,5 @@ def stream_run_progress(events: DataFrame, target: str, *, window: str = DAY, la
 def latest_progress(spark: SparkSession, target: str) -> DataFrame:
     """The newest counters of each run and day."""
     rows = spark.read.parquet(f"{target}/progress")
-    newest = W.partitionBy("run_id", "day").orderBy(F.desc("batch"))
-    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "batch")
+    counters = F.struct("events", "succeeded", "failed", "latest_state")
+    return rows.groupBy("run_id", "day").agg(F.max_by(counters, "batch").alias("c")).select("run_id", "day", "c.*")

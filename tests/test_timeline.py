@@ -199,6 +199,18 @@ def test_gate_compares_with_the_last_kept_frame(spark):
     assert got == [(1, 1, round(20 + spread + 10, 3)), (1, 3, round(8 + spread + 10, 3)), (2, 0, round(20 + spread + 10, 3))]
 
 
+def test_gate_in_stretches_equals_one_walk(spark):
+    rng = np.random.default_rng(4)
+    walk = {s: np.cumsum(rng.normal(0, 3, (300, 6)), axis=0) + 100 for s in (1, 2)}
+    walk[2] = np.repeat(walk[2][:100], 3, axis=0)
+    rows = [(s, i, [float(x) for x in v], 0.0) for s, vs in walk.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "series long, pos long, vector array<double>, edge double")
+    rules = {"min_mean": 0.0, "min_std": 0.5, "min_change": 4.0}
+    whole = {tuple(r) for r in Fr.frame_gate(df, **rules).collect()}
+    cut = {tuple(r) for r in Fr.frame_gate(df, chunk=32, **rules).collect()}
+    assert whole == cut and 20 < len(whole) < 590
+
+
 def test_nearest_caption_among_repeats(spark):
     rng = random.Random(9)
     left = [(1, i, float(rng.randint(0, 20000))) for i in range(60)]
