@@ -31,6 +31,12 @@ LINE_BREAK = r"\R|[\x1c-\x1e]"
 LINK_ONLY = r"\A\[[^\]]+\]\([^)]+\)\z"
 STAMP_LINK = r"(?U)https://www\.youtube\.com/watch\?v=[\w-]+&t=\d+s"
 SENTENCE_BREAK = r"(?U)(?<=[。！？])|(?<=[.!?])[\s\x1c-\x1f]+"
+# Both breaks in one pass; the blanks after a sentence stop at the end of its line.
+ANY_BREAK = (
+    r"(?U)\R|[\x1c-\x1e]|(?<=[。！？])"
+    r"|(?<=[.!?])[[\s\x1f]&&[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]]+"
+)
+WATCH_PREFIX = "https://www.youtube.com/watch?v="
 HTTP_LINK = r"\[([^\[\]]+)\]\(https?://[^)]+\)"
 LETTERS_4 = r"(?:[A-Za-z一-鿿][^A-Za-z一-鿿]*){4}"
 TOKEN = r"[a-z]{3,}|[一-鿿]{2}"

@@ -28,7 +28,8 @@ def lines_of(col: Column) -> Column:
 
 def numbered(prefix: str, n: Column) -> Column:
     """``S001``-style id: at least three digits, more when needed."""
-    return F.format_string(prefix + "%03d", n)
+    digits = n.cast("string")
+    return F.concat(F.lit(prefix), F.when(n < 1000, F.lpad(digits, 3, "0")).otherwise(digits))
 
 
 def clock(seconds: Column) -> Column:

@@ -56,7 +56,7 @@ def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> Dat
     Documents are hashed by id once, before they are taken apart; every later count,
     sum, rank and join is keyed by the document and reuses that partitioning.
     """
-    spread = with_units(docs, **options).select("doc_id", "units").repartition("doc_id")
+    spread = with_units(docs.repartition("doc_id"), **options).select("doc_id", "units")
     tokens = explode_units(spread).select(
         "doc_id", "unit_no", tokens_of(F.col("text")).alias("tokens"), cue(F.col("text")).alias("cue")
     ).select(
@@ -66,8 +66,11 @@ def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> Dat
         "cue",
         F.explode_outer(F.array_distinct("tokens")).alias("token"),
     )
-    counted = tokens.withColumn(
-        "df", F.when(F.col("token").isNotNull(), F.count(F.lit(1)).over(W.partitionBy("doc_id", "token")))
+    # The hash leads the sort, so that rows are told apart by its prefix; the true keys
+    # follow it and keep the count exact.
+    same = W.partitionBy("hash", "doc_id", "token")
+    counted = tokens.withColumn("hash", F.xxhash64("doc_id", "token")).withColumn(
+        "df", F.when(F.col("token").isNotNull(), F.count(F.lit(1)).over(same))
     )
     scores = counted.groupBy("doc_id", "unit_no").agg(
         (

@@ -17,48 +17,44 @@ from ..functions.text import lines_of, numbered
 def _stamp(text: Column, other: Column) -> Column:
     """The caption link inside the text, else ``other``; the pattern runs only where one can be."""
     return F.when(
-        text.contains("https://www.youtube.com/watch?v="),
+        text.contains(P.WATCH_PREFIX),
         F.coalesce(F.nullif(F.regexp_extract(text, P.STAMP_LINK, 0), F.lit("")), other),
     ).otherwise(other)
 
 
-def _sentences(line: Column, url: Column) -> Column:
-    return let(
-        _stamp(line, url),
-        lambda inherited: F.transform(
-            F.split(line, P.SENTENCE_BREAK),
-            lambda s: F.struct(F.trim(s, F.lit(" #*\t\r")).alias("text"), inherited.alias("url")),
-        ),
+def _content_lines(body: Column) -> Column:
+    """Lines that are more than one link."""
+    return F.filter(
+        lines_of(body),
+        lambda line: ~(line.contains("](") & F.trim(line, F.lit(" -*#\t")).rlike(P.LINK_ONLY)),
     )
 
 
-def _finish(item: Column) -> Column:
-    return F.struct(
-        F.regexp_replace(item["text"], P.HTTP_LINK, "$1").alias("text"),
-        _stamp(item["text"], item["url"]).alias("url"),
-    )
+def _trimmed(part: Column) -> Column:
+    return F.trim(part, F.lit(" #*\t\r"))
 
 
-def _pieces(item: Column, size: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.length(item["text"]) - 1, F.lit(size)),
-        lambda at: F.struct(
-            F.substring(item["text"], at + 1, F.lit(size)).alias("text"), item["url"].alias("url")
-        ),
-    )
+def _plain_sentences(body: Column, url: Column) -> Column:
+    """Distinct sentences of a text without caption links: one split, one hash pass."""
+    kept = F.when(body.contains("]("), F.array_join(_content_lines(body), "\n")).otherwise(body)
+    parts = F.filter(F.transform(F.split(kept, P.ANY_BREAK), _trimmed), lambda s: F.length(s) >= 4)
+    return F.transform(F.array_distinct(parts), lambda s: F.struct(s.alias("text"), url.alias("url")))
 
 
-def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
-               max_chars: int = P.MAX_CHARS, piece_chars: int = P.PIECE_CHARS) -> DataFrame:
-    """Replace ``text`` and ``url`` by ``units``: array of (unit_no, unit_id, text, url)."""
-    kept = [c for c in docs.columns if c not in (text, url)]
-    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars)
-    lines = F.filter(
-        lines_of(body), lambda line: ~F.trim(line, F.lit(" -*#\t")).rlike(P.LINK_ONLY)
-    )
+def _stamped_sentences(body: Column, url: Column) -> Column:
+    """Distinct sentences of a text with caption links, which hold for their whole line."""
+
+    def of_line(line: Column) -> Column:
+        return let(
+            _stamp(line, url),
+            lambda inherited: F.transform(
+                F.split(line, P.SENTENCE_BREAK),
+                lambda s: F.struct(_trimmed(s).alias("text"), inherited.alias("url")),
+            ),
+        )
+
     sentences = F.filter(
-        F.flatten(F.transform(lines, lambda line: _sentences(line, F.col(url)))),
-        lambda s: F.length(s["text"]) >= 4,
+        F.flatten(F.transform(_content_lines(body), of_line)), lambda s: F.length(s["text"]) >= 4
     )
     # Keep-first per text: sorting by (text, position) puts the first copy in front.
     by_text = F.sort_array(
@@ -76,7 +72,39 @@ def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
     in_order = F.sort_array(
         F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["text"].alias("text"), s["url"].alias("url")))
     )
-    finished = F.filter(F.transform(in_order, _finish), lambda s: s["text"].rlike(P.LETTERS_4))
+    return F.transform(in_order, lambda s: F.struct(s["text"].alias("text"), _stamp(s["text"], s["url"]).alias("url")))
+
+
+def _unlinked(text: Column) -> Column:
+    return F.when(text.contains("](http"), F.regexp_replace(text, P.HTTP_LINK, "$1")).otherwise(text)
+
+
+def _pieces(item: Column, size: int) -> Column:
+    return F.when(F.length(item["text"]) <= size, F.array(item)).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), F.length(item["text"]) - 1, F.lit(size)),
+            lambda at: F.struct(
+                F.substring(item["text"], at + 1, F.lit(size)).alias("text"), item["url"].alias("url")
+            ),
+        )
+    )
+
+
+def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
+               max_chars: int = P.MAX_CHARS, piece_chars: int = P.PIECE_CHARS) -> DataFrame:
+    """Replace ``text`` and ``url`` by ``units``: array of (unit_no, unit_id, text, url)."""
+    kept = [c for c in docs.columns if c not in (text, url)]
+    whole, link = F.coalesce(F.col(text), F.lit("")), F.col(url)
+    # No text of fewer bytes can have more characters.
+    body = F.when(F.octet_length(whole) > max_chars, F.substring(whole, 1, max_chars)).otherwise(whole)
+    sentences = let(
+        body,
+        lambda b: F.when(b.contains(P.WATCH_PREFIX), _stamped_sentences(b, link)).otherwise(_plain_sentences(b, link)),
+    )
+    finished = F.filter(
+        F.transform(sentences, lambda s: F.struct(_unlinked(s["text"]).alias("text"), s["url"].alias("url"))),
+        lambda s: s["text"].rlike(P.LETTERS_4),
+    )
     pieces = F.flatten(F.transform(finished, lambda s: _pieces(s, piece_chars)))
     units = F.transform(
         pieces,

@@ -52,13 +52,13 @@ def test_accented_letters_do_not_count(spark):
     assert units(spark, "éèêë çàùï.") == []
 
 
-LINE = st.text(alphabet="ab .!?。！\n\t#*-é1[]()", max_size=60)
+LINE = st.text(alphabet="ab .!?。！\n\r\t\u3000\x85#*-é1[]()", max_size=60)
 
 
 def plain(text):
     """Brute force over one text without links."""
     seen, out = set(), []
-    for line in re.split(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", text):
+    for line in text.splitlines():
         if re.fullmatch(r"\[[^\]]+\]\([^)]+\)", line.strip(" -*#\t")):
             continue
         for part in re.split(r"(?<=[。！？])|(?<=[.!?])\s+", line):
