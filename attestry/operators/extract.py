@@ -57,14 +57,16 @@ def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> Dat
     sum, rank and join is keyed by the document and reuses that partitioning.
     """
     spread = with_units(docs.repartition("doc_id"), **options).select("doc_id", "units")
-    tokens = explode_units(spread).select(
-        "doc_id", "unit_no", tokens_of(F.col("text")).alias("tokens"), cue(F.col("text")).alias("cue")
-    ).select(
-        "doc_id",
-        "unit_no",
-        F.size("tokens").alias("n_tokens"),
-        "cue",
-        F.explode_outer(F.array_distinct("tokens")).alias("token"),
+    # Documents without units stay in (as a unit without number), so that both sides of
+    # the closing inner join read the very same exchange.
+    tokens = (
+        spread.select("doc_id", F.explode_outer("units").alias("u"))
+        .select("doc_id", F.col("u.unit_no").alias("unit_no"), F.coalesce("u.text", F.lit("")).alias("text"))
+        .select("doc_id", "unit_no", tokens_of(F.col("text")).alias("tokens"), cue(F.col("text")).alias("cue"))
+        .select(
+            "doc_id", "unit_no", F.size("tokens").alias("n_tokens"), "cue",
+            F.explode_outer(F.array_distinct("tokens")).alias("token"),
+        )
     )
     # The hash leads the sort, so that rows are told apart by its prefix; the true keys
     # follow it and keep the count exact.
@@ -82,9 +84,13 @@ def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> Dat
         scores.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= top)
         .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("unit_no", "score", "rank"))).alias("picks"))
+        .agg(
+            F.sort_array(
+                F.collect_list(F.when(F.col("unit_no").isNotNull(), F.struct("unit_no", "score", "rank")))
+            ).alias("picks")
+        )
     )
-    return spread.join(chosen, "doc_id", "left")
+    return spread.join(chosen, "doc_id")
 
 
 def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
@@ -142,9 +148,7 @@ def sources_text(units: Column) -> Column:
 
 def extractive_summary(docs: DataFrame, **options) -> DataFrame:
     """One report per document: key sentences in source order, fact clues, sources."""
-    keys = F.coalesce(
-        F.transform("picks", lambda p: F.element_at(F.col("units"), p["unit_no"])), F.slice("units", 1, 0)
-    )
+    keys = F.transform("picks", lambda p: F.element_at(F.col("units"), p["unit_no"]))
     return with_picks(docs, **options).select(
         "doc_id",
         F.size("units").alias("n_units"),
