@@ -56,17 +56,12 @@ def manifest_verify(manifest: DataFrame, actual: DataFrame, header: DataFrame |
     errors = compared.withColumn("error", error).filter(F.col("error").isNotNull()).select("name", "error")
     if header is None:
         return errors
-    fresh = manifest_header(manifest).select(F.col("header_sha256").alias("_fresh"), F.lit(1).alias("_one"))
+    # One-row tables are read as scalar subqueries, so nothing is joined to them.
+    stored, tag = header.select("header_sha256").scalar(), header.select("schema_tag").scalar()
     verdict = (
-        F.when(F.col("header_sha256").isNull() | (F.col("header_sha256") != F.col("_fresh")), "hash mismatch")
-        .when(F.col("schema_tag") != SCHEMA_TAG, "unsupported schema")
+        F.when(stored.isNull() | (stored != F.col("header_sha256")), "hash mismatch")
+        .when(tag != SCHEMA_TAG, "unsupported schema")
     )
-    status = fresh.join(header.withColumn("_one", F.lit(1)), "_one", "left").select("_one", verdict.alias("_bad"))
-    gated = (
-        errors.withColumn("_one", F.lit(1))
-        .join(F.broadcast(status), "_one")  # one row by construction
-        .filter(F.col("_bad").isNull())
-        .select("name", "error")
-    )
-    broken = status.filter(F.col("_bad").isNotNull()).select(F.lit("(header)").alias("name"), F.col("_bad").alias("error"))
-    return gated.unionByName(broken)
+    status = manifest_header(manifest).select(verdict.alias("bad"))
+    broken = status.filter(F.col("bad").isNotNull()).select(F.lit("(header)").alias("name"), F.col("bad").alias("error"))
+    return errors.filter(status.scalar().isNull()).unionByName(broken)
