@@ -28,7 +28,8 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType, *, glob: s
 
 def first_seen(pages: DataFrame, *, lateness: str = LATENESS, salts: int = 32) -> DataFrame:
     """One row per canonical URL; repeats within the watermark are ignored, and the state
-    of a URL is let go once the watermark has passed it.
+    of a URL is let go once the watermark has passed it. Of copies that arrive in one
+    batch any one is kept.
 
     Repeats are told in two steps, first within a salt of the URL, so that one URL which
     keeps arriving is thinned out by many tasks before a single one sees it.

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from attestry.operators.segment import source_units
+from attestry.sources.pages import page_extract
 from attestry.streaming import blocks, ingest, progress
 
 PAGE = "page_id long, url string, html string"
@@ -20,6 +22,10 @@ def test_repeated_pages_are_stored_once(spark, tmp_path):
         (1, "https://e.com/"), (2, "https://e.com/b"), (5, "https://e.com/c")]
     units = spark.read.parquet(f"{target}/units")
     assert {r["page_id"] for r in units.select("page_id").distinct().collect()} == {1, 2, 5}
+    texts = page_extract(raw).filter("success").select("page_id", F.col("canonical").alias("url"), "text")
+    want = source_units(texts)
+    got = units.select(want.columns)
+    assert want.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_progress_stream_equals_batch(spark, sf, tmp_path):
