@@ -1 +1,9 @@
 """Source-linked text and timeline evidence as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their task, so that executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
