@@ -31,11 +31,20 @@ def build_session(app: str = "attestry", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a scratch one where none is named."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is named, a local session (one process, as in tests) gets a scratch folder
+    of its own; on a cluster that is an error, as executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="attestry-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
