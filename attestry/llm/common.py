@@ -25,7 +25,7 @@ FOLDED = bytes(
 )
 
 MULTIPLIER = 0x9E3779B97F4A7C15
-PACKETS_PER_PARTITION = 8
+PACKETS_PER_PARTITION = 4
 
 
 def partitions(spark: SparkSession) -> int:
