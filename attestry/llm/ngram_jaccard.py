@@ -29,7 +29,6 @@ columns are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import uuid
 from itertools import combinations
 from math import ceil, comb
 
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import written
 from .common import QUESTION, Asked, answered, gram_hashes, mixed, packets, partitions, plain_words, word_hashes
 from .components import components
 
@@ -253,6 +252,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
 def _kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back, as several steps read it."""
-    path = f"{shared_folder(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df, "jaccard")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import QUESTION, Asked, answered, gram_hashes, packets, partitions, plain_words, word_hashes
 
 LAST = np.int64(2**63 - 1)
@@ -129,7 +130,8 @@ def repeated_words(docs: DataFrame, window: int = 20, block: int = 10) -> DataFr
     def judge(total: np.ndarray, flags: np.ndarray) -> np.ndarray:
         return np.where((total > 1) & (flags & ALIGNED > 0), LIVE, 0)
 
-    anchored = answered(texts.groupBy("packet").applyInArrow(ask, QUESTION), judge)
+    # Read by two steps; written, so that the census answers once.
+    anchored = written(answered(texts.groupBy("packet").applyInArrow(ask, QUESTION), judge), "anchors")
 
     def candidates(group: pa.Table, replies: pa.Table) -> tuple[_Packet, _Entries]:
         own = _Packet(group, block)
