@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 import uuid
 from collections.abc import Iterator
 
@@ -82,10 +81,10 @@ def encoder(path: str):
 
 def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
     """One row for each document that has tokens: doc_id, cell (a hash class of documents),
-    many (its sequences), n_tokens and tokens (packed ids, filled up)."""
+    many (its sequences), n_tokens and tokens (its ids, compressed until they are placed)."""
 
     def encode(batches):
-        coder = encoder(path)
+        coder, codec = encoder(path), pa.Codec("zstd")
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -96,11 +95,7 @@ def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
                         ids.append(found)
                 counts = [len(x) for x in ids]
                 many = [-(-n // length) for n in counts]
-                blobs = []
-                for found, n in zip(ids, many, strict=True):
-                    full = np.full(n * length, PAD, DTYPE)
-                    full[: len(found)] = found
-                    blobs.append(full.tobytes())
+                blobs = [codec.compress(np.array(found, DTYPE).tobytes(), asbytes=True) for found in ids]
                 picked = part.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [picked["doc_id"], picked["cell"], pa.array(many, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
@@ -134,19 +129,22 @@ def materialise(docs: DataFrame, path: str, *, length: int = 1024, key: str = "o
     numbered = rows.join(base, "cell").withColumn("first", F.col("base") + F.sum("many").over(inside) - F.col("many"))
     order = Feistel(size, key)
     stride = length * np.dtype(DTYPE).itemsize
+    fill = np.full(length, PAD, DTYPE).tobytes()
 
     def place(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 ids, parts, lengths, blobs, numbers = [], [], [], [], []
                 for doc, first, many, n, blob in zip(*(part[c].to_pylist() for c in ("doc_id", "first", "many", "n_tokens", "tokens")), strict=True):
+                    whole = codec.decompress(blob, 2 * n, asbytes=True) + fill[: 2 * (many * length - n)]
                     for k in range(many):
                         ids.append(doc)
                         parts.append(k)
                         numbers.append(first + k)
                         lengths.append(min(length, n - k * length))
-                        blobs.append(blob[k * stride : (k + 1) * stride])
+                        blobs.append(whole[k * stride : (k + 1) * stride])
                 slots = order.slots(np.array(numbers, np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slots // per_record, pa.int64()), pa.array(slots, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64()),
@@ -204,6 +202,3 @@ def read_from(spark: SparkSession, folder: str, slot: int, until: int | None = N
             if at >= slot and (until is None or at < until):
                 yield at, np.frombuffer(row["payload"], DTYPE, row["stride"] // 2, k * row["stride"])
 
-
-def packed_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
