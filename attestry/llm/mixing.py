@@ -77,7 +77,7 @@ def _phases(counts: DataFrame) -> DataFrame:
 
 
 def mix_slots(docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, block: int = 1, cells_hex: int = 3) -> DataFrame:
-    """``docs`` (doc_id, source and any other columns) with ``_block`` (number within its
+    """``docs`` (doc_id, source and other columns not named like the new ones) with ``_block`` (number within its
     source), ``_in_block`` and ``_slot`` (place of the block in the mix, dense from 0)."""
     keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
         "_cell", F.substring("_key", 1, cells_hex))
@@ -112,5 +112,6 @@ def mix_slots(docs: DataFrame, weights: dict[str, int], *, default_weight: int =
 
 def mixed(docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, block: int = 1) -> DataFrame:
     """The rows of ``docs`` in mix order: ranges of slots, in order within and across files."""
-    placed = mix_slots(docs, weights, default_weight=default_weight, block=block)
-    return placed.repartitionByRange("_slot", "_in_block").sortWithinPartitions("_slot", "_in_block").select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.xxhash64("text").alias("text"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"))
+    placed = mix_slots(whole, weights, default_weight=default_weight, block=block)
+    return placed.repartitionByRange("_slot", "_in_block").sortWithinPartitions("_slot", "_in_block").select("_doc.*")

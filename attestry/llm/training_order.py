@@ -124,7 +124,7 @@ def materialise(docs: DataFrame, path: str, *, length: int = 1024, key: str = "o
     size = int(cells.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
     if not size:
         return spark.createDataFrame([], SHARD)
-    inside = W.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens", "row")
+    inside = W.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = known.select("doc_id", "cell", "many", "n_tokens", F.xxhash64("tokens").alias("row"), F.col("tokens"))
     numbered = rows.join(base, "cell").withColumn("first", F.col("base") + F.sum("many").over(inside) - F.col("many"))
     order = Feistel(size, key)
