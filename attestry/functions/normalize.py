@@ -11,13 +11,11 @@ import re
 import unicodedata
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OCR_SPAN = 400
-CAPTION_SPAN = 1000
-
 
 def fold_text(value: str, table: Mapping[int, str] | None = None) -> str:
     """NFKC, then the caller's character map, no white space, case folded."""
@@ -45,13 +43,22 @@ def normalize(col: Column) -> Column:
 def common_text(left: str, right: str) -> str:
     """Longest common substring, the first longest in ``left``.
 
-    Whether a common piece of length n exists is monotone in n, so the length is
-    found by bisection over sets of pieces.
+    Whether a common piece of length n exists is monotone in n, so the length is found by
+    bisection. Pieces of long texts are compared by rolling hashes, so memory stays linear
+    in the texts; short ones are compared as they are, which is quicker for them.
     """
+    short = len(left) + len(right) <= SHORT
+    a, b = (None, None) if short else (_rolling(left), _rolling(right))
 
     def first_of_length(n: int) -> int:
-        pieces = {right[i:i + n] for i in range(len(right) - n + 1)}
-        return next((i for i in range(len(left) - n + 1) if left[i:i + n] in pieces), -1)
+        if short:
+            pieces = {right[i:i + n] for i in range(len(right) - n + 1)}
+            return next((i for i in range(len(left) - n + 1) if left[i:i + n] in pieces), -1)
+        ours, theirs = _pieces(*a, n), _pieces(*b, n)
+        for i in np.flatnonzero(np.isin(ours, theirs)).tolist():
+            if left[i:i + n] in right:
+                return i
+        return -1
 
     low, high, found = 0, min(len(left), len(right)), 0
     while low < high:
@@ -64,23 +71,44 @@ def common_text(left: str, right: str) -> str:
     return left[found:found + low] if low else ""
 
 
+BASE = 0x9E3779B97F4A7C15
+SHORT = 2048
+
+
+def _rolling(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes and powers of the base, modulo 2**64."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    powers = np.full(len(codes) + 1, BASE, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+    return sums, powers
+
+
+def _pieces(sums: np.ndarray, powers: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all pieces of length n, brought to the same power."""
+    count = len(sums) - n
+    return (sums[n:] - sums[:count]) * powers[:count][::-1] * _shift(count)
+
+
+def _shift(count: int) -> np.uint64:
+    """What is left to bring pieces of texts of any size to one power of the base."""
+    return np.uint64(pow(BASE, (1 << 40) - (count - 1), 1 << 64))
+
+
 def longest_common_text(left: Column, right: Column) -> Column:
-    """Shared text of two raw strings, both cut to their span before they are folded."""
+    """Shared text of two raw strings, folded whole."""
 
     @F.pandas_udf("string")
     def shared(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[str, str] = {}
 
-        def folded(value: str, span: int) -> str:
-            cut = value[:span]
-            if cut not in seen:
-                seen[cut] = fold_text(cut)
-            return seen[cut]
+        def folded(value: str) -> str:
+            if value not in seen:
+                seen[value] = fold_text(value)
+            return seen[value]
 
-        return pd.Series(
-            [common_text(folded(x or "", OCR_SPAN), folded(y or "", CAPTION_SPAN)) for x, y in zip(a, b)],
-            dtype=object,
-        )
+        return pd.Series([common_text(folded(x or ""), folded(y or "")) for x, y in zip(a, b)], dtype=object)
 
     return shared.asNondeterministic()(left, right)
 

@@ -20,11 +20,7 @@ CAPTION_CHUNK_SECONDS = 105
 CONTEXT_SECONDS = 8
 CONTEXT_CAPTIONS = 10
 MAX_FRAMES = 12
-MAX_DURATION = 5_400
-OCR_ITEMS = 30
 OCR_CONFIDENCE = 0.45
-REPORT_SECTIONS = 20
-REPORT_IMAGES = 24
 
 # Text units.
 LINE_BREAK = r"\R|[\x1c-\x1e]"

@@ -34,8 +34,9 @@ def caption_context_join(frames: DataFrame, captions: DataFrame, *, window: floa
     """
     clean = captions.select(
         "video_id", "pos", "start_s",
-        F.greatest(F.coalesce("duration_s", F.lit(0.0)), F.lit(0.0)).alias("duration_s"), "text",
-    )
+        F.greatest(F.coalesce("duration_s", F.lit(0.0)), F.lit(0.0)).alias("duration_s"),
+        F.trim(F.regexp_replace("text", r"[\r\n]", " ")).alias("text"),
+    ).filter("text <> ''")
     spans = distinct_enough(clean, nearest).withColumn(
         "_bucket",
         F.explode(
@@ -70,14 +71,16 @@ def useful_overlap(shared: Column) -> Column:
     return (F.length(shared) >= 4) | ((F.length(shared) >= 2) & shared.rlike(r"(?U)\d"))
 
 
-def first_lines(ocr: DataFrame, most: int = P.OCR_ITEMS) -> DataFrame:
-    """The OCR lines a frame keeps: its first thirty."""
+def first_lines(ocr: DataFrame, most: int | None = None) -> DataFrame:
+    """The OCR lines a frame keeps: all, or its first ``most``."""
+    if most is None:
+        return ocr
     order = W.partitionBy("video_id", "frame_id").orderBy("ocr_pos")
     return ocr.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
 def ocr_pairs(context: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Every OCR line of a frame with each of its captions (at most 30 by 10), and the
+    """Every OCR line of a frame with each of its captions (at most ten), and the
     text they share."""
     lines = first_lines(ocr).select("video_id", "frame_id", "ocr_pos", F.col("text").alias("ocr"))
     return context.join(lines, ["video_id", "frame_id"]).withColumn(
@@ -115,7 +118,7 @@ def overlap_match(frames: DataFrame, context: DataFrame, ocr: DataFrame) -> Data
     return joined.filter(found | F.col("near").isNotNull()).select(
         *key,
         F.when(found, F.col("m.shared")).otherwise("").alias("shared"),
-        F.when(found, F.col("m.ocr")).otherwise(F.substring(F.coalesce("ocr_text", F.lit("")), 1, 1200)).alias("ocr"),
+        F.when(found, F.col("m.ocr")).otherwise(F.coalesce("ocr_text", F.lit(""))).alias("ocr"),
         F.when(found, F.col("m.caption")).otherwise(F.col("near")).alias("caption"),
         F.when(found, F.col("m.caption_s")).otherwise(F.col("near_s")).alias("caption_s"),
         F.when(found, "text-overlap").otherwise("temporal-only").alias("association"),

@@ -88,10 +88,11 @@ def cross_source_summary(docs: DataFrame, *, group: str = "source") -> DataFrame
     )
     plan = group_plan(docs, group=group).filter(F.col("n_docs") >= 2).select("doc_id", "document")
     sources = docs.select("doc_id", group, "title", "url").join(plan, "doc_id")
+    compared = sources.select(group).distinct()
     return (
         line(units.join(top, [group, "document"], "left_semi"), "key", "document", bullet)
         .unionByName(line(facts, "fact", "document", bullet))
-        .unionByName(line(docs.filter(~F.col("success")), "failed", "doc_id", F.col("url")))
+        .unionByName(line(docs.filter(~F.col("success")).join(compared, group, "left_semi"), "failed", "doc_id", F.col("url")))
         .unionByName(line(sources, "source", "document", F.concat(
             F.col("document").cast("string"), F.lit(". "), F.col("title"), F.lit(" — "), F.col("url"))))
     )

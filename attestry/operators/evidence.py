@@ -32,21 +32,26 @@ def nearest_by_time(left: DataFrame, right: DataFrame, keys: list[str], *, at: s
     asked = left.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_stretch", stretch("_t"))
 
     edges = points.groupBy(*by).agg(F.min_by("_value", "_t").alias("_lo"), F.max_by("_value", "_t").alias("_hi"))
-    along = W.partitionBy(*keys).orderBy("_stretch")
+    # Looking ahead is looking back in descending order: a frame that ends at the current
+    # row is extended row by row, one that starts there would be read anew for every row.
+    past = (W.unboundedPreceding, -1)
+    along, ahead = W.partitionBy(*keys).orderBy("_stretch"), W.partitionBy(*keys).orderBy(F.desc("_stretch"))
     outer = asked.select(*by).distinct().join(edges, by, "full").select(
         *by,
-        F.last("_hi", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before0"),
-        F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_after0"),
+        F.last("_hi", ignorenulls=True).over(along.rowsBetween(*past)).alias("_before0"),
+        F.last("_lo", ignorenulls=True).over(ahead.rowsBetween(*past)).alias("_after0"),
     )
     nothing = F.lit(None).cast(points.schema["_value"].dataType).alias("_value")
     both = asked.select(*by, "_t", F.lit(1).alias("_side"), nothing).unionByName(
         points.select(*by, "_t", F.lit(0).alias("_side"), "_value")
     )
+    upto = (W.unboundedPreceding, W.currentRow)
     inner = W.partitionBy(*by).orderBy("_t", "_side")
+    later = W.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_side"))
     seen = both.select(
         *by, "_t", "_side",
-        F.last("_value", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_before"),
-        F.first("_value", ignorenulls=True).over(inner.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("_after"),
+        F.last("_value", ignorenulls=True).over(inner.rowsBetween(*upto)).alias("_before"),
+        F.last("_value", ignorenulls=True).over(later.rowsBetween(*upto)).alias("_after"),
     ).filter("_side = 1")
     before, after = F.coalesce("_before", "_before0"), F.coalesce("_after", "_after0")
     far = lambda v: F.struct(F.abs(v["start_s"] - F.col("_t")), v["pos"])

@@ -179,10 +179,10 @@ def with_budget(df: DataFrame, *, budget: int = P.MODEL_BUDGET) -> DataFrame:
     return cut.select(*kept, "_cut.*")
 
 
-def char_budget(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, max_chars: int = P.MAX_CHARS,
+def char_budget(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, max_chars: int | None = None,
                 **options) -> DataFrame:
     """Units a model may see, with both truncation flags, one row per kept unit."""
-    flagged = docs.withColumn("source_truncated", F.length("text") > max_chars)
+    flagged = docs.withColumn("source_truncated", F.lit(False) if max_chars is None else F.length("text") > max_chars)
     cut = with_budget(with_units(flagged, max_chars=max_chars, **options), budget=budget)
     return explode_units(cut.select("doc_id", "truncated", "source_truncated", "units")).drop("url")
 

@@ -12,8 +12,6 @@ from ..functions import patterns as P
 from ..functions.text import clock, watch_link
 from ..session import written
 
-GALLERY_OCR_CHARS = 220
-
 
 def _evenly(start: Column, end: Column, count: Column) -> Column:
     return F.transform(
@@ -23,10 +21,10 @@ def _evenly(start: Column, end: Column, count: Column) -> Column:
 
 
 def sample_timestamps(videos: DataFrame, *, max_frames: int = P.MAX_FRAMES,
-                      max_duration: float = P.MAX_DURATION) -> DataFrame:
+                      max_duration: float | None = None) -> DataFrame:
     """(video_id, duration_s) → retained and candidate times, or a reject reason."""
     d = F.col("duration_s")
-    bad = F.coalesce((d <= 0) | (d > max_duration), F.lit(True))
+    bad = F.coalesce((d <= 0) | (F.lit(False) if max_duration is None else d > max_duration), F.lit(True))
     count = F.least(
         F.lit(max_frames), F.greatest(F.lit(3), F.bround(F.when(~bad, d) / 90).cast("int") + 2)
     )
@@ -93,12 +91,6 @@ def frame_gate(features: DataFrame, *, min_mean: float = 12.0, min_std: float =
     def walked(part: DataFrame, entries: DataFrame) -> DataFrame:
         return part.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(walk, KEPT_SCHEMA)
 
-    spans = rows.groupBy("series").agg(F.max("chunk").alias("hi"), F.min("chunk").alias("lo"))
-    used = rows.select(*key, F.lit(None).cast("array<double>").alias("last")).limit(0)
-    kept = walked(rows, used)
-    if spans.filter("hi > lo").isEmpty():
-        return kept.filter("pos is not null").select("series", "pos", "selection_score")
-
     rows = written(rows, "gate-rows")
     used = rows.select(*key).distinct().withColumn("last", F.lit(None).cast("array<double>"))
     kept = written(walked(rows, used), "gate")
@@ -124,7 +116,7 @@ def keyframe_select(candidates: DataFrame, *, count: int = P.MAX_FRAMES) -> Data
     """
     k = F.lit(count)
     at, duration, score, pos = (F.col(c) for c in ("at_s", "duration_s", "score", "pos"))
-    home = F.least(F.greatest(F.floor(at * count / duration).cast("int"), F.lit(0)), k - 1)
+    home = F.least(F.greatest(F.floor(F.coalesce(F.try_divide(at * count, duration), F.lit(0.0))).cast("int"), F.lit(0)), k - 1)
     spread = candidates.withColumn("_home", home).withColumn(
         "seg",
         F.explode(F.sequence(F.greatest(F.col("_home") - 1, F.lit(0)), F.least(F.col("_home") + 1, k - 1))),
@@ -213,7 +205,7 @@ def unnoted_frame_lines(frames: DataFrame, notes: DataFrame, layout: DataFrame)
     seen = bare.filter(F.coalesce(F.col("ocr"), F.lit("")) != "").select(
         "video_id", "frame_id", F.lit("ocr").alias("kind"),
         F.concat(
-            link, F.substring(F.replace("ocr", F.lit("\n"), F.lit("、")), 1, GALLERY_OCR_CHARS),
+            link, F.replace("ocr", F.lit("\n"), F.lit("、")),
             F.lit("（OCR 可能誤字）"),
         ).alias("line"),
     )

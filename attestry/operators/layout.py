@@ -20,16 +20,16 @@ def _mean(corners: Column, axis: str) -> Column:
     return F.bround(total / F.size(corners), 1)
 
 
-def ocr_normalize(boxes: DataFrame, keys: list[str], *, most: int = P.OCR_ITEMS,
+def ocr_normalize(boxes: DataFrame, keys: list[str], *, most: int | None = None,
                   min_confidence: float = P.OCR_CONFIDENCE) -> DataFrame:
-    """(keys, pos, text, confidence, corners) → the first confident items with centres."""
+    """(keys, pos, text, confidence, corners) → the confident items with centres, all or the first ``most``."""
     clean = boxes.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(
         (F.col("text") != "") & (F.col("confidence") >= min_confidence)
     )
     first = W.partitionBy(*keys).orderBy("pos")
+    placed = clean.withColumn("n", F.row_number().over(first))
     return (
-        clean.withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= most)
+        (placed if most is None else placed.filter(F.col("n") <= most))
         .select(
             *keys, "n", "pos", "text",
             F.bround("confidence", 3).alias("confidence"),
@@ -83,26 +83,26 @@ def _row(items: Column) -> Column:
 
 
 def layout_pairs(items: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per pair (first eight) of frames that have at least two."""
+    """One row per pair of frames that have at least two."""
     found = _items(items, keys).select(*keys, _pairs(F.col("items")).alias("p"))
     return (
-        found.select(*keys, F.posexplode_outer(F.when(F.size("p") >= 2, F.slice("p", 1, 8))).alias("n", "pair"))
+        found.select(*keys, F.posexplode_outer(F.when(F.size("p") >= 2, F.col("p"))).alias("n", "pair"))
         .filter(F.col("pair").isNotNull())
         .withColumn("n", F.col("n") + 1)
     )
 
 
 def layout_rows(items: DataFrame, keys: list[str]) -> DataFrame:
-    """The longest horizontal line of labels per frame, at most eight texts."""
+    """The longest horizontal line of labels per frame."""
     found = _items(items, keys).select(*keys, _row(F.col("items")).alias("r"))
     return found.filter(F.col("r").isNotNull()).select(
-        *keys, F.size("r").alias("length"), F.array_join(F.slice("r", 1, 8), " → ").alias("line")
+        *keys, F.size("r").alias("length"), F.array_join("r", " → ").alias("line")
     )
 
 
 def layout_hints(items: DataFrame, keys: list[str]) -> DataFrame:
     """Both hints of a frame joined into one text; frames without any are left out."""
     found = _items(items, keys).select(*keys, _pairs(F.col("items")).alias("p"), _row(F.col("items")).alias("r"))
-    pairs = F.when(F.size("p") >= 2, F.concat(F.lit(P.LAYOUT_PAIRS_LEAD), F.array_join(F.slice("p", 1, 8), "、")))
-    row = F.when(F.col("r").isNotNull(), F.concat(F.lit(P.LAYOUT_ROWS_LEAD), F.array_join(F.slice("r", 1, 8), " → ")))
+    pairs = F.when(F.size("p") >= 2, F.concat(F.lit(P.LAYOUT_PAIRS_LEAD), F.array_join("p", "、")))
+    row = F.when(F.col("r").isNotNull(), F.concat(F.lit(P.LAYOUT_ROWS_LEAD), F.array_join("r", " → ")))
     return found.select(*keys, F.concat_ws("；", pairs, row).alias("hints")).filter(F.col("hints") != "")

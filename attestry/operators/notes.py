@@ -16,7 +16,6 @@ from ..functions.normalize import normalize, normalize_each
 from ..functions.text import strip
 
 KEY = ["video_id", "chunk_no"]
-MOST_NOTES = 3
 NOTES_SCHEMA = (
     "notes array<struct<title:string,text:string,evidence:string,sources:array<string>>>, uncertainties string"
 )
@@ -91,7 +90,7 @@ def note_validate(replies: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = (
         replies.join(held, KEY)
         .withColumn("_a", F.from_json("answer", NOTES_SCHEMA))
-        .withColumn("_notes", F.slice("_a.notes", 1, MOST_NOTES))
+        .withColumn("_notes", F.col("_a.notes"))
         .withColumn("_pieces", normalize_each(F.col("_texts")))
         .withColumn("_needles", normalize_each(F.transform("_notes", lambda n: F.coalesce(n["evidence"], F.lit("")))))
     )
@@ -187,7 +186,7 @@ def note_timeline_merge(gated: DataFrame, blocks: DataFrame, replies: DataFrame,
         "section", F.when(F.col("section") == "outline", "outline").when(F.col("extractive"), "extract").otherwise("point")
     )
     ready = _with_links(kept, blocks).withColumn("_marker", normalize(F.col("text")))
-    quote = F.concat(F.substring("evidence", 1, 120), F.when(F.length("evidence") > 120, "…").otherwise(""))
+    quote = F.col("evidence")
     line = (
         F.when(F.col("section") == "outline", F.concat(F.lit("- **"), F.col("title"), F.lit("** "), F.col("links")))
         .when(F.col("section") == "extract",
@@ -216,6 +215,6 @@ def note_timeline_merge(gated: DataFrame, blocks: DataFrame, replies: DataFrame,
         "video_id", F.lit("failed").alias("section"), "chunk_no",
         F.coalesce(F.col("u.seconds"), F.lit(0)).cast("long").alias("at_s"), F.col("i").alias("n"),
         F.concat(F.lit("- ["), F.coalesce(F.col("u.time"), F.col("u.unit_id")), F.lit("]("), F.col("u.url"),
-                 F.lit(")："), F.substring("u.text", 1, 180)).alias("line"),
+                 F.lit(")："), F.col("u.text")).alias("line"),
     )
     return notes.unionByName(unsure).unionByName(failed)

@@ -48,7 +48,7 @@ def sections_array(text: Column) -> Column:
             strip(F.array_join(body, "\n")).alias("body"),
         )
 
-    return F.slice(F.filter(F.transform(runs, section), lambda s: s["body"] != ""), 1, P.REPORT_SECTIONS)
+    return F.filter(F.transform(runs, section), lambda s: s["body"] != "")
 
 
 def _rows(df: DataFrame, array: Column, n: str = "n") -> DataFrame:
@@ -158,7 +158,7 @@ def report_tables(reports: DataFrame) -> DataFrame:
     ).select("doc_id", "table_no", "row_no", (F.col("c") + 1).alias("col_no"), "cell")
 
 
-def report_links(reports: DataFrame, *, most_images: int = P.REPORT_IMAGES) -> DataFrame:
+def report_links(reports: DataFrame, *, most_images: int | None = None) -> DataFrame:
     """(doc_id, n, kind, label, target): web links, and local images that may be copied."""
     marks = F.regexp_extract_all("text", F.lit(IMAGE_OR_LINK), F.lit(0))
 
@@ -172,9 +172,9 @@ def report_links(reports: DataFrame, *, most_images: int = P.REPORT_IMAGES) -> D
 
     parsed = F.transform(marks, parse)
     links = F.filter(parsed, lambda m: m["kind"] == "link")
-    images = F.slice(
-        F.filter(parsed, lambda m: (m["kind"] == "image") & stays_inside(m["target"])), 1, most_images
-    )
+    images = F.filter(parsed, lambda m: (m["kind"] == "image") & stays_inside(m["target"]))
+    if most_images is not None:
+        images = F.slice(images, 1, most_images)
     return _rows(reports, links).unionByName(_rows(reports, images))
 
 

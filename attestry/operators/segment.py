@@ -91,12 +91,11 @@ def _pieces(item: Column, size: int) -> Column:
 
 
 def with_units(docs: DataFrame, *, text: str = "text", url: str = "url",
-               max_chars: int = P.MAX_CHARS, piece_chars: int = P.PIECE_CHARS) -> DataFrame:
+               max_chars: int | None = None, piece_chars: int = P.PIECE_CHARS) -> DataFrame:
     """Replace ``text`` and ``url`` by ``units``: array of (unit_no, unit_id, text, url)."""
     kept = [c for c in docs.columns if c not in (text, url)]
     whole, link = F.coalesce(F.col(text), F.lit("")), F.col(url)
-    # No text of fewer bytes can have more characters.
-    body = F.when(F.octet_length(whole) > max_chars, F.substring(whole, 1, max_chars)).otherwise(whole)
+    body = whole if max_chars is None else F.substring(whole, 1, max_chars)
     sentences = let(
         body,
         lambda b: F.when(b.contains(P.WATCH_PREFIX), _stamped_sentences(b, link)).otherwise(_plain_sentences(b, link)),

@@ -70,7 +70,7 @@ def _budget(limit: int) -> str:
     return f"""with {V.PLAIN}, {V.UNITS},
 run as (select *, sum(length(unit_id) + length(text) + 3) over (partition by doc_id order by unit_no) as cum,
     sum(length(unit_id) + length(text) + 3) over (partition by doc_id) as total from u)
-select r.doc_id, unit_no, unit_id, total > {limit} as truncated, length(d.text) > 500000 as source_truncated, r.text
+select r.doc_id, unit_no, unit_id, total > {limit} as truncated, false as source_truncated, r.text
 from run r join d on r.doc_id = d.doc_id where cum <= {limit}"""
 
 

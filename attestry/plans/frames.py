@@ -167,7 +167,7 @@ _LINE_LINK = """'- [' || lpad(cast(seconds // 60 as varchar), 2, '0') || ':' ||
 ORACLES = {
     "sample_timestamps": f"""with {V.CANDIDATES},
 v as (select video_id, max(duration_s) * (video_id % 3 + 1) as d from cand group by video_id),
-k as (select *, d <= 0 or d > 5400 as bad, least(12, greatest(3, cast(round_even(d / 90, 0) as integer) + 2)) as c from v),
+k as (select *, d <= 0 as bad, least(12, greatest(3, cast(round_even(d / 90, 0) as integer) + 2)) as c from v),
 t as (
   select video_id, 'retained' as kind, i, round_even(least(5.0::double, d * 0.05::double)
     + (greatest(d * 0.92::double, d - 5) - least(5.0::double, d * 0.05::double)) * i / (c - 1), 2) as at_s
@@ -232,14 +232,14 @@ best as (
     and regexp_full_match(m.text, '[-+]?\\d+(?:[.,]\\d+)?%?')
   qualify row_number() over (partition by l.frame_id, l.n order by abs(m.x - l.x) + abs(m.y - l.y) * 0.1::double, m.n) = 1)
 select frame_id, cast(row_number() over (partition by frame_id order by n) as integer) as n, pair from best
-qualify count(*) over (partition by frame_id) >= 2 and row_number() over (partition by frame_id order by n) <= 8""",
+qualify count(*) over (partition by frame_id) >= 2""",
     "layout_rows": f"""with {V.OCR},
 step as (select * from ocr where regexp_full_match(text, '[A-Z][A-Z0-9 _-]{{1,23}}')
   and length(regexp_replace(text, '[^A-Z]', '', 'g')) >= 4),
 line as (
   select a.frame_id, a.n, list(b.text order by b.x, b.n) as r from step a
   join step b on b.frame_id = a.frame_id and abs(b.y - a.y) <= 35 group by 1, 2)
-select frame_id, cast(len(r) as integer) as length, array_to_string(r[1:8], ' → ') as line from line where len(r) >= 3
+select frame_id, cast(len(r) as integer) as length, array_to_string(r, ' → ') as line from line where len(r) >= 3
 qualify row_number() over (partition by frame_id order by len(r) desc, n) = 1""",
     "layout_hints": f"with {V.FRAMES} select video_id, frame_id, hints from hint",
     "frame_sources": f"""with {V.CONTEXT}
@@ -258,7 +258,7 @@ bare as (select * from fr where video_id not in (select video_id from fr where v
 select b.video_id, b.frame_id, 'hint' as kind, {_LINE_LINK} || hints || '（依文字位置推定，請核對影格）' as line
   from bare b join hint h on h.video_id = b.video_id and h.frame_id = b.frame_id
 union all
-select video_id, frame_id, 'ocr', {_LINE_LINK} || substring(replace(ocr, chr(10), '、'), 1, 220) || '（OCR 可能誤字）' from bare""",
+select video_id, frame_id, 'ocr', {_LINE_LINK} || replace(ocr, chr(10), '、') || '（OCR 可能誤字）' from bare""",
     "evidence_records": f"with {V.EVIDENCE} select * from record",
     "evidence_stats": f"""with {V.EVIDENCE} select video_id, count(*) as total,
   count(*) filter (where association = 'text-overlap') as text_overlap,

@@ -92,7 +92,7 @@ C = """c as (
 
 S = C + """,
 s as (
-  select video_id, pos * 1000 + k as pos, cast(pos * 17 + k * 1.5 as double) as start_s, duration_s,
+  select video_id, pos * 1000000 + k as pos, cast(pos * 17 + k * 1.5 as double) as start_s, duration_s,
     substring(text, cast(k * 30 + 1 as integer), 30) as text
   from (select *, unnest(range(0, (length(text) - 1) // 30 + 1)) as k from c)
   where regexp_matches(substring(text, cast(k * 30 + 1 as integer), 30), '\\S'))"""
@@ -142,12 +142,12 @@ chunked as (
   from b join cwalk w on w.video_id = b.video_id and w.unit_no = b.unit_no)"""
 
 FRAMES = """fr as (
-  select conv_id as video_id, 'F' || lpad(cast(turn as varchar), 3, '0') as frame_id, turn as pos,
+  select conv_id as video_id, 'F' || case when turn < 1000 then lpad(cast(turn as varchar), 3, '0') else cast(turn as varchar) end as frame_id, turn as pos,
     lpad(cast(conv_id as varchar), 11, '0') as code, turn * 17 + 3 as seconds,
     cast(case when conv_id % 4 <> 0 then turn * 17 + 3.04 end as double) as decoded_s,
     case conv_id % 3 when 0 then text when 1 then 'Q' || turn || ' ' || turn * 5 else '訂閱 活動 ' || turn end as ocr,
     case when conv_id % 7 = 0 then null when conv_id % 2 = 0 then 'hardware-verified' else 'software-fallback' end as decoder_status,
-    'frames/F' || lpad(cast(turn as varchar), 3, '0') || '.jpg' as file
+    'frames/F' || case when turn < 1000 then lpad(cast(turn as varchar), 3, '0') else cast(turn as varchar) end || '.jpg' as file
   from conversations),
 hint as (select video_id, frame_id,
   '位置配對：Q' || pos || ' ↔ ' || pos * 5 || '、R' || pos || ' ↔ ' || pos as hints from fr where video_id % 3 = 1)"""
@@ -155,7 +155,7 @@ hint as (select video_id, frame_id,
 CONTEXT = S + ", " + FRAMES + """,
 ctx as (
   select f.video_id, f.frame_id, coalesce(decoded_s, cast(seconds as double)) as at_s, s.pos, s.start_s, s.duration_s,
-    s.text as caption, greatest(s.start_s - coalesce(decoded_s, seconds),
+    trim(replace(s.text, chr(10), ' ')) as caption, greatest(s.start_s - coalesce(decoded_s, seconds),
       coalesce(decoded_s, seconds) - s.start_s - s.duration_s, 0.0::double) as distance
   from fr f join s on s.video_id = f.video_id),
 near as (
@@ -173,7 +173,7 @@ ocr_all as (
 ocr as (
   select frame_id, cast(row_number() over (partition by frame_id order by pos) as integer) as n,
     cast(pos as integer) as pos, text, round(confidence, 3) as confidence, x, y
-  from ocr_all where confidence >= 0.45 qualify n <= 30)"""
+  from ocr_all where confidence >= 0.45)"""
 
 CANDIDATES = """span as (select user_id, min(ts) as lo, max(ts) as hi from events group by 1),
 cand as (
@@ -187,8 +187,8 @@ ocrline as (
   from (select video_id, frame_id, string_split(ocr, chr(10)) as l from fr)),
 pair as (
   select n.video_id, n.frame_id, n.rank, cast(o.ocr_pos as integer) as ocr_pos, o.text as ocr, n.caption, n.start_s,
-    replace(lower(regexp_replace(substring(o.text, 1, 400), '\s+', '', 'g')), 'ß', 'ss') as a,
-    replace(lower(regexp_replace(substring(n.caption, 1, 1000), '\s+', '', 'g')), 'ß', 'ss') as b
+    replace(lower(regexp_replace(o.text, '\s+', '', 'g')), 'ß', 'ss') as a,
+    replace(lower(regexp_replace(n.caption, '\s+', '', 'g')), 'ß', 'ss') as b
   from near n join ocrline o on o.video_id = n.video_id and o.frame_id = n.frame_id where o.text <> ''),
 ab as (select distinct a, b from pair),
 piece as (
@@ -206,7 +206,7 @@ bestpair as (
   qualify row_number() over (partition by video_id, frame_id order by length(shared) desc, ocr_pos, rank) = 1),
 matched as (
   select f.video_id, f.frame_id, f.pos, coalesce(m.shared, '') as shared,
-    case when m.frame_id is not null then m.ocr else substring(coalesce(o.t, ''), 1, 1200) end as ocr,
+    case when m.frame_id is not null then m.ocr else coalesce(o.t, '') end as ocr,
     coalesce(m.caption, n.caption) as caption, coalesce(m.start_s, n.start_s) as caption_s,
     case when m.frame_id is not null then 'text-overlap' else 'temporal-only' end as association
   from fr f
@@ -312,7 +312,7 @@ located as (
 rules as (
   select *, length(trim(text)) between 8 and 900 and not regexp_matches(text, '^影片主要介紹') and unit_no % 4 <> 0
     and length(trim(evidence)) between 6 and 1200 and refs is not null as good, length(title) between 2 and 80 as titled
-  from located where n <= 3),
+  from located),
 val as (
   select video_id, chunk_no, count(*) filter (where good and titled) as n_outline, count(*) filter (where good) as n_points,
     2 * count(*) - count(*) filter (where good and titled) - count(*) filter (where good) as dropped
@@ -350,7 +350,7 @@ sect as (
   from hs group by 1, 2),
 section as (
   select doc_id, cast(row_number() over (partition by doc_id order by sec) as integer) as n, title, body
-  from sect where body <> '' qualify n <= 20),
+  from sect where body <> ''),
 kinds as (
   select doc_id, ln, trim(line) as line, case when trim(line) = '' then 'blank'
     when regexp_full_match(trim(line), '!\[[^\]]*\]\([^)]+\)') then 'image' when starts_with(trim(line), '|') then 'table'

@@ -169,7 +169,7 @@ select source, 'key' as section, document as n, '- [' || unit_id || '] ' || text
 union all (select source, 'fact', document, '- [' || unit_id || '] ' || text from ex
   where regexp_matches(text, '(?i)\\b\\d{{4}}[-/]\\d{{1,2}}|\\d+(?:\\.\\d+)?\\s*(?:%|元|萬|億|美元|天|小時)|截止|報名|deadline|price|\\$\\d')
   qualify row_number() over (partition by source order by document) <= 8)
-union all select source, 'failed', doc_id, url from saved where not success
+union all select source, 'failed', doc_id, url from saved where not success and source in (select source from room)
 union all select source, 'source', document, document || '. ' || title || ' — ' || url from room""",
     "comparison_validate": f"with {V.ANSWERS} select answer_id, source, rule is null as accepted, rule from judged",
     "comparison_render": f"""with {V.ANSWERS},
@@ -224,12 +224,11 @@ lost as (select distinct video_id, chunk_no from lack where failed
 select video_id, sec as section, chunk_no, at_s, cast(n as integer) as n, case sec
   when 'outline' then '- **' || title || '** ' || links
   when 'extract' then '- 原句參考（AI 解讀未通過核對）：' || evidence || ' ' || links
-  else '- ' || text || ' ' || links || {_NL} || '  字幕依據：「' || substring(evidence, 1, 120)
-    || case when length(evidence) > 120 then '…' else '' end || '」' end as line from kept
+  else '- ' || text || ' ' || links || {_NL} || '  字幕依據：「' || evidence || '」' end as line from kept
 union all
 select video_id, 'uncertain', min(chunk_no), 0, 0, '- unclear in part ' || chunk_no % 2 from val
   where video_id % 2 = 0 group by video_id, chunk_no % 2
 union all
-select o.video_id, 'failed', o.chunk_no, o.seconds, cast(o.n - 1 as integer), '- [' || time || '](' || url || ')：' || substring(text, 1, 180)
+select o.video_id, 'failed', o.chunk_no, o.seconds, cast(o.n - 1 as integer), '- [' || time || '](' || url || ')：' || text
 from off o join lost l on l.video_id = o.video_id and l.chunk_no = o.chunk_no""",
 }

@@ -131,7 +131,7 @@ decoded as (
     replace(replace(array_to_string(list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> ''), chr(10)),
       '&quot;', '"'), '&amp;', '&') as text from plain)"""
 _CANON = """regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]*)$', '\\1/')"""
-_PROGRESS = """select user_id % 10 as run_id, epoch_us(ts) // 86400000000 as day, count(*) as events,
+_PROGRESS = """select user_id % 10 as run_id, epoch_us(ts) // 86400000000 * 86400 as began, count(*) as events,
   count(*) filter (where event_type <> 'error') as succeeded, count(*) filter (where event_type = 'error') as failed,
   max_by(event_type, (ts, event_id)) as latest_state from events group by 1, 2"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import numbered
 from ..sources.tables import load
 
 
@@ -94,7 +95,7 @@ def short_captions(spark: SparkSession, folder: str) -> DataFrame:
     )
     return pieces.select(
         "video_id",
-        (F.col("pos") * 1000 + k).alias("pos"),
+        (F.col("pos") * 1000000 + k).alias("pos"),
         (F.col("pos") * 17 + k * 1.5).alias("start_s"),
         "duration_s",
         F.substring("text", k * 30 + 1, F.lit(30)).alias("text"),
@@ -115,7 +116,7 @@ def turn_frames(spark: SparkSession, folder: str) -> DataFrame:
     t = turn.cast("string")
     return load(spark, folder, "conversations", spread_by="conv_id").select(
         conv.alias("video_id"),
-        F.concat(F.lit("F"), F.lpad(t, 3, "0")).alias("frame_id"),
+        numbered("F", turn).alias("frame_id"),
         turn.alias("pos"),
         F.lpad(conv.cast("string"), 11, "0").alias("code"),
         (turn * 17 + 3).alias("seconds"),
@@ -125,7 +126,7 @@ def turn_frames(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit("訂閱 活動 "), t)).alias("ocr"),
         F.when(conv % 7 == 0, None).when(conv % 2 == 0, "hardware-verified")
         .otherwise("software-fallback").alias("decoder_status"),
-        F.concat(F.lit("frames/F"), F.lpad(t, 3, "0"), F.lit(".jpg")).alias("file"),
+        F.concat(F.lit("frames/"), numbered("F", turn), F.lit(".jpg")).alias("file"),
     )
 
 

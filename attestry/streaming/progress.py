@@ -23,7 +23,7 @@ def run_progress(events: DataFrame, *, window: str = DAY) -> DataFrame:
             F.max(F.struct("ts", "event_id", "state")).alias("last"),
         )
         .select(
-            "run_id", F.floor(F.unix_seconds("w.start") / 86400).alias("day"),
+            "run_id", F.unix_seconds("w.start").alias("began"),
             "events", "succeeded", "failed", F.col("last.state").alias("latest_state"),
         )
     )
@@ -46,7 +46,7 @@ def stream_run_progress(events: DataFrame, target: str, *, window: str = DAY, la
 
 
 def latest_progress(spark: SparkSession, target: str) -> DataFrame:
-    """The newest counters of each run and day."""
+    """The newest counters of each run and window (``began``, its first second)."""
     rows = spark.read.parquet(f"{target}/progress")
     counters = F.struct("events", "succeeded", "failed", "latest_state")
-    return rows.groupBy("run_id", "day").agg(F.max_by(counters, "batch").alias("c")).select("run_id", "day", "c.*")
+    return rows.groupBy("run_id", "began").agg(F.max_by(counters, "batch").alias("c")).select("run_id", "began", "c.*")
