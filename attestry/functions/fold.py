@@ -3,7 +3,7 @@
 Packing that depends on where the current pack began cannot be a running sum:
 ``floor(total / limit)`` gives other cuts. ``F.aggregate`` walks the array in order
 with the open pack in its state. The arrays come from a single row (one document,
-one caption text), whose size the analysis limit bounds.
+one caption text); results grow by blocks, so a fold is close to linear in its items.
 """
 
 from __future__ import annotations
@@ -23,6 +23,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+BLOCK = 256
+
+
+def growing_fold(items: Column, state: dict[str, Column], grown: str, kind: str,
+                 step: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """Fold ``items``; the result is the state's field ``grown``, an array of ``kind`` that
+    ``step`` extends.
+
+    A fold copies its state at every step, so an array that grows within it makes the
+    whole quadratic. Here items are folded in blocks with an array that starts empty, and
+    only whole blocks are added to the long one.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+
+    def packed(fields: dict[str, Column]) -> Column:
+        return F.struct(*(column.alias(name) for name, column in fields.items()))
+
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, packed({name: acc[name] for name in state} | {grown: empty}), lambda a, x: packed(step(a, x)))
+        return let(inner, lambda one: packed({name: one[name] for name in state} | {grown: F.concat(acc[grown], one[grown])}))
+
+    def folded(every: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(every, k * BLOCK + 1, BLOCK))
+        return F.aggregate(blocks, packed(state | {grown: empty}), block, lambda acc: acc[grown])
+
+    return folded(items)
+
+
 def pack_starts(items: Column, size: Callable[[Column], Column], at: Callable[[Column], Column],
                 max_size: int, max_span: int | None, joiner: int = 0) -> Column:
     """Array of 1-based positions at which a new pack opens.
@@ -30,27 +59,22 @@ def pack_starts(items: Column, size: Callable[[Column], Column], at: Callable[[C
     A pack closes before an item that would take its size past ``max_size`` or that
     starts ``max_span`` or more after the pack's own start.
     """
-    state = F.struct(
-        F.lit(0).alias("n"),
-        F.lit(0).cast("long").alias("size"),
-        F.lit(0).cast("double").alias("start"),
-        F.array().cast("array<int>").alias("cuts"),
-    )
+    state = {"n": F.lit(0), "size": F.lit(0).cast("long"), "start": F.lit(0).cast("double")}
 
-    def step(acc: Column, item: Column) -> Column:
+    def step(acc: Column, item: Column) -> dict[str, Column]:
         here = size(item).cast("long")
         over = acc["size"] + here > max_size
         if max_span is not None:
             over = over | (at(item) - acc["start"] >= max_span)
         opens = (acc["n"] == 0) | over
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            F.when(opens, here).otherwise(acc["size"] + here + joiner).alias("size"),
-            F.when(opens, at(item).cast("double")).otherwise(acc["start"]).alias("start"),
-            F.when(opens, F.array_append(acc["cuts"], acc["n"] + 1)).otherwise(acc["cuts"]).alias("cuts"),
-        )
+        return {
+            "n": acc["n"] + 1,
+            "size": F.when(opens, here).otherwise(acc["size"] + here + joiner),
+            "start": F.when(opens, at(item).cast("double")).otherwise(acc["start"]),
+            "cuts": F.when(opens, F.array_append(acc["cuts"], acc["n"] + 1)).otherwise(acc["cuts"]),
+        }
 
-    return F.aggregate(items, state, step, lambda acc: acc["cuts"])
+    return growing_fold(items, state, "cuts", "int", step)
 
 
 def take_while_fits(items: Column, size: Callable[[Column], Column], budget: Column | int) -> Column:
@@ -74,19 +98,15 @@ def take_while_fits(items: Column, size: Callable[[Column], Column], budget: Col
 
 def take_what_fits(items: Column, size: Callable[[Column], Column], budget: int) -> Column:
     """0-based positions kept when an item that overflows is skipped, not a stop."""
-    state = F.struct(
-        F.lit(0).alias("n"),
-        F.lit(0).cast("long").alias("used"),
-        F.array().cast("array<int>").alias("kept"),
-    )
+    state = {"n": F.lit(0), "used": F.lit(0).cast("long")}
 
-    def step(acc: Column, item: Column) -> Column:
+    def step(acc: Column, item: Column) -> dict[str, Column]:
         used = acc["used"] + size(item).cast("long")
         fits = used <= budget
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            F.when(fits, used).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["kept"], acc["n"])).otherwise(acc["kept"]).alias("kept"),
-        )
+        return {
+            "n": acc["n"] + 1,
+            "used": F.when(fits, used).otherwise(acc["used"]),
+            "kept": F.when(fits, F.array_append(acc["kept"], acc["n"])).otherwise(acc["kept"]),
+        }
 
-    return F.aggregate(items, state, step, lambda acc: acc["kept"])
+    return growing_fold(items, state, "kept", "int", step)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.fold import let
+from ..functions.fold import growing_fold, let
 from ..functions.normalize import normalize, normalize_each
 from ..functions.text import strip
 
@@ -23,19 +23,17 @@ NOTES_SCHEMA = (
 
 def _overlapping(ids: Column, pieces: Column, start: Column, end: Column) -> Column:
     """Ids of the pieces whose span in the joined text meets [start, end)."""
-    state = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("refs")
-    )
+    state = {"i": F.lit(0), "offset": F.lit(0)}
 
-    def step(acc: Column, piece: Column) -> Column:
+    def step(acc: Column, piece: Column) -> dict[str, Column]:
         until = acc["offset"] + F.length(piece)
         meets = (acc["offset"] < end) & (until > start)
-        return F.struct(
-            (acc["i"] + 1).alias("i"), until.alias("offset"),
-            F.when(meets, F.array_append(acc["refs"], F.get(ids, acc["i"]))).otherwise(acc["refs"]).alias("refs"),
-        )
+        return {
+            "i": acc["i"] + 1, "offset": until,
+            "refs": F.when(meets, F.array_append(acc["refs"], F.get(ids, acc["i"]))).otherwise(acc["refs"]),
+        }
 
-    return F.aggregate(pieces, state, step, lambda acc: acc["refs"])
+    return growing_fold(pieces, state, "refs", "string", step)
 
 
 def located(ids: Column, pieces: Column, needle: Column) -> Column:

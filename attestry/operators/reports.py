@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.fold import let
+from ..functions.fold import growing_fold, let
 from ..functions.paths import stays_inside
 from ..functions.text import lines_of, strip
 from .runs import report_name
@@ -100,25 +100,21 @@ def blocks_array(text: Column) -> Column:
         )
 
     def groups(every: Column) -> Column:
-        state = F.struct(
-            F.lit(0).alias("i"), F.lit(False).alias("table"), F.lit(False).alias("plain"),
-            F.array().cast("array<int>").alias("starts"),
-        )
+        state = {"i": F.lit(0), "table": F.lit(False), "plain": F.lit(False)}
 
-        def step(acc: Column, x: Column) -> Column:
+        def step(acc: Column, x: Column) -> dict[str, Column]:
             pipe = x["kind"] == "table"
             more_table = pipe & acc["table"]
             more_plain = (x["kind"] == "paragraph") & ~x["line"].rlike(BLOCK_START) & acc["plain"]
             table = more_table | x["opens"]
-            return F.struct(
-                (acc["i"] + 1).alias("i"), table.alias("table"),
-                ((x["kind"] == "paragraph") | (pipe & ~table)).alias("plain"),
-                F.when(more_table | more_plain, acc["starts"])
-                .otherwise(F.array_append(acc["starts"], acc["i"] + 1)).alias("starts"),
-            )
+            return {
+                "i": acc["i"] + 1, "table": table, "plain": (x["kind"] == "paragraph") | (pipe & ~table),
+                "starts": F.when(more_table | more_plain, acc["starts"])
+                .otherwise(F.array_append(acc["starts"], acc["i"] + 1)),
+            }
 
         return let(
-            F.aggregate(every, state, step, lambda acc: acc["starts"]),
+            growing_fold(every, state, "starts", "int", step),
             lambda at: F.transform(
                 at, lambda s, k: F.slice(every, s, F.coalesce(F.get(at, k + 1), F.size(every) + 1) - s)
             ),

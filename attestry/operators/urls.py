@@ -64,7 +64,7 @@ def source_route(df: DataFrame, url: str = "url") -> DataFrame:
         "_host": F.lower(F.regexp_replace(F.regexp_replace(_part(F.col(url), 2), r"\A.*@", ""), r":.*\z", "")),
         "_path": F.split(F.trim(_part(F.col(url), 3), F.lit("/")), "/"),
         "_q": F.regexp_extract(_part(F.col(url), 4), r"[?&]v=([^&]+)", 1),
-    })
+    }).withColumn("_q", F.coalesce(F.try_url_decode("_q"), F.col("_q")))
     first = F.col("_path")[0]
     short = F.col("_host").isin(*P.SHORT_HOSTS)
     video = F.col("_host").isin(*P.VIDEO_HOSTS)

@@ -29,14 +29,15 @@ class _Reader(HTMLParser):
         self.links: list[dict] = []
         self.title: str | None = None
         self._skip = 0
-        self._in_title = False
+        self._in_title = self._named = False
         self._link: tuple[str, int] | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag in LEFT_OUT:
             self._skip += 1
         elif tag == "title":
-            self._in_title = True
+            # Only the first title is the page's.
+            self._in_title, self._named = True, self.title is not None
             self.title = self.title or ""
         elif not self._skip:
             if tag in BLOCKS:
@@ -63,7 +64,7 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if self._in_title:
-            self.title += data
+            self.title += "" if self._named else data
         elif not self._skip:
             self.lines[-1] += data
 
