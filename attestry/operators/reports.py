@@ -34,7 +34,7 @@ def _cut_before(lines: Column, opens) -> Column:
     )
 
 
-def sections_array(text: Column) -> Column:
+def sections_array(text: Column, most: int | None = None) -> Column:
     """(title, body) of the first non-empty sections; the lead has a default title."""
     runs = let(lines_of(text), lambda lines: _cut_before(lines, lambda x: x.rlike(SECTION_HEAD)))
 
@@ -48,7 +48,8 @@ def sections_array(text: Column) -> Column:
             strip(F.array_join(body, "\n")).alias("body"),
         )
 
-    return F.filter(F.transform(runs, section), lambda s: s["body"] != "")
+    every = F.filter(F.transform(runs, section), lambda s: s["body"] != "")
+    return every if most is None else F.slice(every, 1, most)
 
 
 def _rows(df: DataFrame, array: Column, n: str = "n") -> DataFrame:
@@ -59,8 +60,8 @@ def _rows(df: DataFrame, array: Column, n: str = "n") -> DataFrame:
     )
 
 
-def report_sections(reports: DataFrame) -> DataFrame:
-    return _rows(reports, sections_array(F.col("text")))
+def report_sections(reports: DataFrame, *, most_sections: int | None = None) -> DataFrame:
+    return _rows(reports, sections_array(F.col("text"), most_sections))
 
 
 def _kind(line: Column) -> Column:

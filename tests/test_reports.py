@@ -21,9 +21,10 @@ def test_sections(spark):
         ("摘要", "lead"), ("A", "body a"), ("C", "body c\n# not a section")]
 
 
-def test_twenty_sections_at_most(spark):
+def test_sections_may_be_limited(spark):
     text = "\n".join(f"## H{i}\nbody" for i in range(30))
-    assert R.report_sections(report(spark, text)).count() == 20
+    assert R.report_sections(report(spark, text)).count() == 30
+    assert R.report_sections(report(spark, text), most_sections=20).count() == 20
 
 
 def test_blocks(spark):
@@ -47,7 +48,7 @@ def test_tables(spark):
 def test_links_and_safe_images(spark):
     text = "[a](https://e.com) ![x](f/x.jpg) ![y](../y.jpg) ![z](/z.jpg) ![w](https://e.com/w.jpg) ![v](f/../v.jpg) " + " ".join(
         f"![p](p{i}.jpg)" for i in range(30))
-    rows = R.report_links(report(spark, text)).collect()
+    rows = R.report_links(report(spark, text), most_images=24).collect()
     images = sorted((r["n"], r["target"]) for r in rows if r["kind"] == "image")
     assert [r["target"] for r in rows if r["kind"] == "link"] == ["https://e.com"]
     assert images[:2] == [(1, "f/x.jpg"), (2, "f/../v.jpg")] and len(images) == 24

@@ -45,7 +45,9 @@ def test_long_units_are_cut_and_ids_grow_past_999(spark):
 
 
 def test_malformed_brackets_finish(spark):
-    assert units(spark, "[" * 500_000 + "text after the limit") == []
+    docs = spark.createDataFrame([(0, "[" * 500_000 + "text after the limit", "u")], "doc_id long, text string, url string")
+    assert source_units(docs, max_chars=500_000).count() == 0
+    assert source_units(docs).orderBy("unit_no").collect()[-1]["text"].endswith("text after the limit")
 
 
 def test_accented_letters_do_not_count(spark):

@@ -156,7 +156,7 @@ def test_layout_pairs_literal(spark):
 
 def test_timestamps(spark):
     df = spark.createDataFrame([(1, 600.0), (2, 5400.0), (3, 6000.0), (4, 0.0)], "video_id long, duration_s double")
-    got = {r["video_id"]: r for r in Fr.sample_timestamps(df).collect()}
+    got = {r["video_id"]: r for r in Fr.sample_timestamps(df, max_duration=5400).collect()}
     assert len(got[2]["candidates"]) == 48 and len(got[2]["retained"]) == 12 and got[2]["retained"][-1] > 5300
     assert got[1]["retained"][-1] > 540 and got[3]["reject_reason"] and got[4]["reject_reason"]
 
