@@ -144,7 +144,7 @@ def train(rows: np.ndarray, features: np.ndarray, positive: np.ndarray, width: i
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabelled: int = 12000, width: int = 8192, least: float = 3.0) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabelled: int = 12000, width: int = 8192, least: float = 4.0) -> tuple[np.ndarray, float]:
     """A weight for every bucket and the bias. Only the ``width`` buckets that are the most
     over-represented in confirmed text get a weight: presence of toxic material is evidence,
     its absence is not."""
