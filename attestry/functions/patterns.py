@@ -5,7 +5,6 @@ Patterns are written for Java's regex engine; ``(?U)`` makes classes Unicode-awa
 """
 
 # Limits and windows.
-MAX_CHARS = 500_000
 PIECE_CHARS = 600
 MODEL_BUDGET = 36_000
 CHUNK_CHARS = 4_500

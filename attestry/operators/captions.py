@@ -1,8 +1,7 @@
 """Caption snippets to transcript lines, blocks, samples and chunks.
 
-Snippets may come in any number per video, so lines stay rows. Only the part of a
-transcript that analysis reads (the first ``max_chars`` characters) is gathered into
-one row per video; blocks, samples and chunks are folds over that bounded row.
+Lines stay rows. A transcript is a document, one row per video; blocks, samples and
+chunks are folds over that row. Feeds without an end are cut by the caption stream.
 """
 
 from __future__ import annotations
@@ -57,8 +56,15 @@ def transcript_rejects(snippets: DataFrame) -> DataFrame:
     )
 
 
-def transcript_text(lines: DataFrame, *, max_chars: int = P.MAX_CHARS) -> DataFrame:
-    """The analysed transcript text of each video, at most ``max_chars`` long."""
+def transcript_text(lines: DataFrame, *, max_chars: int | None = None) -> DataFrame:
+    """The transcript text of each video; with ``max_chars`` no longer than that, and
+    ``truncated`` tells whether anything was left out."""
+    if max_chars is None:
+        whole = lines.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_l"))
+        return whole.select(
+            "video_id", F.array_join(F.transform("_l", lambda s: s["line"]), SEPARATOR).alias("text"),
+            F.lit(False).alias("truncated"),
+        )
     size = F.length("line") + len(SEPARATOR)
     reach = running(lines.select("video_id", "pos", "line"), ["video_id"], "pos", value=size, total="upto")
     inside = F.when(F.col("upto") - size < max_chars, F.struct("pos", "line"))

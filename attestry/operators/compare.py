@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import is_blank, numbered, strip
+from ..functions.typed_json import typed_json
 from ..session import written
 from .extract import unit_scores
 from .prefix import running
@@ -119,7 +120,7 @@ def comparison_validate(answers: DataFrame, units: DataFrame, *, group: str = "s
 
     One bad item rejects the whole answer.
     """
-    parsed = answers.select("answer_id", group, F.from_json("answer", ANSWER_SCHEMA).alias("a")).select(
+    parsed = answers.select("answer_id", group, typed_json(F.col("answer"), ANSWER_SCHEMA).alias("a")).select(
         "answer_id", group, *[F.col(f"a.{s}").alias(s) for s in SECTIONS]
     )
     shape = F.coalesce(*[
@@ -163,7 +164,7 @@ def comparison_render(answers: DataFrame, units: DataFrame, *, group: str = "sou
     good = comparison_validate(answers, units, group=group).filter("accepted").select("answer_id")
     parsed = (
         answers.join(good, "answer_id", "left_semi")
-        .select("answer_id", group, F.from_json("answer", ANSWER_SCHEMA).alias("a"))
+        .select("answer_id", group, typed_json(F.col("answer"), ANSWER_SCHEMA).alias("a"))
         .select("answer_id", group, *[F.col(f"a.{s}").alias(s) for s in SECTIONS])
     )
     link = F.concat(F.lit("["), F.col("ref"), F.lit("]("), F.col("url"), F.lit(")"))

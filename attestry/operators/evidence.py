@@ -71,13 +71,20 @@ def nearest_by_time(left: DataFrame, right: DataFrame, keys: list[str], *, at: s
 def evidence_records(notes: DataFrame, frames: DataFrame, snippets: DataFrame) -> DataFrame:
     """Notes (video_id, pos, frame_id, title, visual_evidence, caption, caption_s, ocr,
     shared, association) with their frame and the original snippet whose text equals the
-    caption, nearest to the anchor time."""
+    caption, nearest to the anchor time.
+
+    ``sha256`` of the frames and ``provider`` and ``model`` of the notes are carried along,
+    NULL where the tables have no such column. A note of an unknown frame is kept, with
+    ``decoder_status`` "no such frame".
+    """
+    given = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     frame = frames.select(
-        "video_id", "frame_id", "seconds", "decoded_s",
+        "video_id", "frame_id", "seconds", "decoded_s", given(frames, "sha256").alias("frame_sha256"),
         F.coalesce("decoder_status", F.lit("unknown")).alias("decoder_status"),
     )
+    notes = notes.withColumns({c: given(notes, c) for c in ("provider", "model")})
     anchored = (
-        running(notes, ["video_id"], "pos", number="_n").join(frame, ["video_id", "frame_id"])
+        running(notes, ["video_id"], "pos", number="_n").join(frame, ["video_id", "frame_id"], "left")
         .withColumn("_clean", collapse(F.col("caption")))
         .withColumn("_anchor", F.coalesce(
             F.col("caption_s").cast("double"), F.when(F.col("decoded_s") != 0, F.col("decoded_s")),
@@ -90,13 +97,14 @@ def evidence_records(notes: DataFrame, frames: DataFrame, snippets: DataFrame) -
     return placed.select(
         "video_id",
         numbered("E", F.col("_n")).alias("evidence_id"),
-        "frame_id", "seconds", "decoded_s", "decoder_status", "title",
+        "frame_id", "frame_sha256", "seconds", "decoded_s",
+        F.coalesce("decoder_status", F.lit("no such frame")).alias("decoder_status"), "title",
         F.col("visual_evidence").alias("summary"),
         F.col("caption").alias("caption_text"),
         F.coalesce(F.col("_near.start_s"), F.col("caption_s").cast("double")).alias("caption_start"),
         F.col("_near.duration_s").alias("caption_duration"),
         F.when(found, "source-timestamp").otherwise("markdown-whole-seconds").alias("caption_precision"),
-        "ocr", F.col("shared").alias("shared_text"), "association",
+        "ocr", F.col("shared").alias("shared_text"), "association", "provider", "model",
     )
 
 

@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions.fold import growing_fold, let
 from ..functions.normalize import normalize, normalize_each
 from ..functions.text import strip
+from ..functions.typed_json import typed_json
 
 KEY = ["video_id", "chunk_no"]
 NOTES_SCHEMA = (
@@ -50,14 +51,18 @@ def located(ids: Column, pieces: Column, needle: Column) -> Column:
 
 
 def quote_locate(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(video_id, chunk_no, note_no, evidence) → the unit ids that hold the quote."""
+    """(video_id, chunk_no, note_no, evidence) → the unit ids that hold the quote.
+
+    A quote of an unknown chunk is kept, with no ids.
+    """
     held = chunks.select(*KEY, F.transform("units", lambda u: u["unit_id"]).alias("_ids"),
                          F.transform("units", lambda u: u["text"]).alias("_texts"))
     folded = held.withColumn("_pieces", normalize_each(F.col("_texts"))).drop("_texts")
     return (
-        quotes.join(folded, KEY)
+        quotes.join(folded, KEY, "left")
         .withColumn("_needle", normalize(F.col("evidence")))
-        .withColumn("refs", located(F.col("_ids"), F.col("_pieces"), F.col("_needle")))
+        .withColumn("refs", F.coalesce(
+            located(F.col("_ids"), F.col("_pieces"), F.col("_needle")), F.array().cast("array<string>")))
         .drop("_ids", "_pieces", "_needle")
     )
 
@@ -80,14 +85,14 @@ def note_validate(replies: DataFrame, chunks: DataFrame) -> DataFrame:
     """(video_id, chunk_no, answer JSON) → kept notes per reply.
 
     ``outline`` and ``points`` hold the kept copies, ``dropped`` counts failed copies,
-    ``reject_reason`` is set when the shape is wrong or nothing is left. A title is
-    required of the outline copy only.
+    ``reject_reason`` is set when no chunk has the reply's key, the shape is wrong or
+    nothing is left. A title is required of the outline copy only.
     """
     held = chunks.select(*KEY, F.transform("units", lambda u: u["unit_id"]).alias("_ids"),
                          F.transform("units", lambda u: u["text"]).alias("_texts"))
     rows = (
-        replies.join(held, KEY)
-        .withColumn("_a", F.from_json("answer", NOTES_SCHEMA))
+        replies.join(held, KEY, "left")
+        .withColumn("_a", typed_json(F.col("answer"), NOTES_SCHEMA))
         .withColumn("_notes", F.col("_a.notes"))
         .withColumn("_pieces", normalize_each(F.col("_texts")))
         .withColumn("_needles", normalize_each(F.transform("_notes", lambda n: F.coalesce(n["evidence"], F.lit("")))))
@@ -115,7 +120,7 @@ def note_validate(replies: DataFrame, chunks: DataFrame) -> DataFrame:
         F.when(~shape, points).alias("points"),
         F.when(~shape, 2 * F.size("_j") - kept).alias("dropped"),
         F.col("_a.uncertainties").alias("uncertainties"),
-        F.when(shape, "bad shape").when((F.size("_j") > 0) & (kept == 0), "nothing verified").alias("reject_reason"),
+        F.when(F.col("_ids").isNull(), "unknown chunk").when(shape, "bad shape").when((F.size("_j") > 0) & (kept == 0), "nothing verified").alias("reject_reason"),
     )
 
 

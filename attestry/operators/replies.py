@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.fold import let
 from ..functions.text import strip
+from ..functions.typed_json import typed_json
 
 ENVELOPE_SCHEMA = (
     "done_reason string, message struct<content:string>, "
@@ -24,7 +25,7 @@ def reply_decode(replies: DataFrame, *, vision: bool = False) -> DataFrame:
 
     A text reply must have ended normally; a vision reply is taken as it is.
     """
-    rows = replies.withColumn("_e", F.from_json("raw", ENVELOPE_SCHEMA))
+    rows = replies.withColumn("_e", typed_json(F.col("raw"), ENVELOPE_SCHEMA))
     choice = F.get("_e.choices", F.lit(0))
     candidate = F.get("_e.candidates", F.lit(0))
     spoken = F.array_join(
@@ -64,7 +65,7 @@ def _bad_item(item: Column, allowed: Column) -> Column:
 
 def summary_reply_check(replies: DataFrame) -> DataFrame:
     """(answer JSON, allowed ids) → first broken rule of a chunk summary, if any."""
-    rows = replies.withColumn("_a", F.from_json("answer", SUMMARY_SCHEMA))
+    rows = replies.withColumn("_a", typed_json(F.col("answer"), SUMMARY_SCHEMA))
     a = F.col("_a")
     items = F.concat(F.array(a["overview"]), a["points"], a["facts"])
     reasons = let(
@@ -86,7 +87,7 @@ def _rendered(item: Column) -> Column:
 
 def summary_render(replies: DataFrame) -> DataFrame:
     """Accepted chunk summaries as text, with source marks after every statement."""
-    a = F.from_json("answer", SUMMARY_SCHEMA)
+    a = typed_json(F.col("answer"), SUMMARY_SCHEMA)
     bullets = lambda items: F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), _rendered(i))), "\n")
     rows = replies.withColumn("_a", a)
     a = F.col("_a")
@@ -147,7 +148,7 @@ def citation_link(drafts: DataFrame, units: DataFrame) -> DataFrame:
 
 def visual_note_check(replies: DataFrame) -> DataFrame:
     """(frame_id, answer JSON) → first broken rule of a frame note, if any."""
-    rows = replies.withColumn("_n", F.from_json("answer", VISUAL_SCHEMA)["notes"])
+    rows = replies.withColumn("_n", typed_json(F.col("answer"), VISUAL_SCHEMA)["notes"])
     note = F.get("_n", F.lit(0))
     sized = lambda c, low, high: F.coalesce(F.length(strip(c)).between(low, high), F.lit(False))
     reason = (

@@ -97,17 +97,5 @@ select d.doc_id, cast(coalesce(s.n, 0) as integer) as n_units,
 from d left join k on d.doc_id = k.doc_id left join f on d.doc_id = f.doc_id left join s on d.doc_id = s.doc_id""",
     "char_budget": _budget(36000),
     "char_budget_tight": _budget(2000),
-    "chunk_pack": f"""with recursive {V.PLAIN}, {V.UNITS},
-run as (select *, length(unit_id) + length(text) + 3 as n,
-    sum(length(unit_id) + length(text) + 3) over (partition by doc_id order by unit_no) as cum from u),
-fit as (select * from run where cum <= 36000),
-walk as (
-  select doc_id, unit_no, 1 as chunk_no, n as size from fit where unit_no = 1
-  union all
-  select f.doc_id, f.unit_no, case when w.size + f.n > 4500 then w.chunk_no + 1 else w.chunk_no end,
-    case when w.size + f.n > 4500 then f.n else w.size + f.n end
-  from walk w join fit f on f.doc_id = w.doc_id and f.unit_no = w.unit_no + 1)
-select w.doc_id, chunk_no, cast(count(*) as integer) as n_units, min_by(unit_id, f.unit_no) as first_unit,
-  string_agg('[' || unit_id || '] ' || text, chr(10) order by f.unit_no) as chunk
-from walk w join fit f on f.doc_id = w.doc_id and f.unit_no = w.unit_no group by 1, 2""",
+    "chunk_pack": f"with recursive {V.PLAIN}, {V.UNITS}, {V.PACKED} select * from packed",
 }

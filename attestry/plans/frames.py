@@ -123,12 +123,14 @@ def unnoted_frame_lines(spark, folder):
 
 
 def evidence_records(spark, folder):
-    frames = turn_frames(spark, folder)
+    frames = turn_frames(spark, folder).withColumn("sha256", F.sha2("ocr", 256))
     notes = matched(spark, folder).select(
         "video_id", "frame_id", F.substring("frame_id", 2, 9).cast("long").alias("pos"),
         F.concat(F.lit("Frame "), F.col("frame_id")).alias("title"),
         F.concat(F.lit("The frame shows text next to the words: "), F.col("caption")).alias("visual_evidence"),
         "caption", "caption_s", "ocr", "shared", "association",
+        F.when(F.col("association") == "text-overlap", "openai").alias("provider"),
+        F.concat(F.lit("reader-"), (F.col("video_id") % 2).cast("string")).alias("model"),
     )
     return E.evidence_records(written(notes, "notes"), frames, short_captions(spark, folder))
 

@@ -219,20 +219,35 @@ matched as (
 EVIDENCE = MATCH + r""",
 clean_s as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean from s),
 placed as (
-  select m.*, f.seconds, f.decoded_s, coalesce(f.decoder_status, 'unknown') as decoder_status,
+  select m.*, f.seconds, f.decoded_s, sha256(f.ocr) as frame_sha256, coalesce(f.decoder_status, 'unknown') as decoder_status,
     s.start_s as near_s, s.duration_s as near_d
   from matched m join fr f on f.video_id = m.video_id and f.frame_id = m.frame_id
   left join clean_s s on s.video_id = m.video_id and s.clean = trim(regexp_replace(m.caption, '\s+', ' ', 'g'))
   qualify row_number() over (partition by m.video_id, m.frame_id order by abs(s.start_s - m.caption_s), s.pos) = 1),
 record as (
   select video_id, 'E' || lpad(cast(row_number() over (partition by video_id order by pos) as varchar), 3, '0') as evidence_id,
-    frame_id, seconds, decoded_s, decoder_status, 'Frame ' || frame_id as title,
+    frame_id, frame_sha256, seconds, decoded_s, decoder_status, 'Frame ' || frame_id as title,
     'The frame shows text next to the words: ' || caption as summary, caption as caption_text,
     coalesce(near_s, caption_s) as caption_start, near_d as caption_duration,
     case when near_s is not null then 'source-timestamp' else 'markdown-whole-seconds' end as caption_precision,
-    ocr, shared as shared_text, association
+    ocr, shared as shared_text, association,
+    case when association = 'text-overlap' then 'openai' end as provider, 'reader-' || video_id % 2 as model
   from placed)"""
 
+PACKED = """run as (select *, length(unit_id) + length(text) + 3 as n,
+    sum(length(unit_id) + length(text) + 3) over (partition by doc_id order by unit_no) as cum from u),
+fit as (select * from run where cum <= 36000),
+walk as (
+  select doc_id, unit_no, 1 as chunk_no, n as size from fit where unit_no = 1
+  union all
+  select f.doc_id, f.unit_no, case when w.size + f.n > 4500 then w.chunk_no + 1 else w.chunk_no end,
+    case when w.size + f.n > 4500 then f.n else w.size + f.n end
+  from walk w join fit f on f.doc_id = w.doc_id and f.unit_no = w.unit_no + 1),
+packed as (
+  select w.doc_id, chunk_no, cast(count(*) as integer) as n_units, min_by(unit_id, f.unit_no) as first_unit,
+    string_agg('[' || unit_id || '] ' || text, chr(10) order by f.unit_no) as chunk
+  from walk w join fit f on f.doc_id = w.doc_id and f.unit_no = w.unit_no group by 1, 2)"""
+
 REPLIES = """reply as (
   select doc_id, ['ollama', 'openai', 'gemini'][doc_id % 3 + 1] as provider, doc_id % 11 = 0 as bad,
     case when doc_id % 13 = 0 then [] when doc_id % 5 = 0 then ['S001', 'S999'] else ['S001'] end as refs,

@@ -50,11 +50,12 @@ def reply_decode_vision(spark, folder):
 
 
 def summary_reply_check(spark, folder):
-    first = X.chunk_pack(plain_documents(spark, folder)).filter("chunk_no = 1").select(
-        "doc_id", F.array_distinct(R.cited_ids(F.col("chunk"))).alias("allowed")
+    """The document's reply, given for each of its chunks."""
+    allowed = X.chunk_pack(plain_documents(spark, folder)).select(
+        "doc_id", "chunk_no", F.array_distinct(R.cited_ids(F.col("chunk"))).alias("allowed")
     )
-    return R.summary_reply_check(decoded(spark, folder).select("doc_id", "answer").join(first, "doc_id")).select(
-        "doc_id", "reject_reason"
+    return R.summary_reply_check(decoded(spark, folder).select("doc_id", "answer").join(allowed, "doc_id")).select(
+        "doc_id", "chunk_no", "reject_reason"
     )
 
 
@@ -185,10 +186,11 @@ select answer_id, '## 共通點' || {_NL} || {_NL} || '- ' || text || ' [' || un
   case when bad then 'not finished' end as reject_reason from decoded""",
     "reply_decode_vision": f"""with {V.REPLIES} select doc_id, cast(length('{{"overview":' || item || ',"points":[' || item
   || '],"facts":[],"uncertainties":"none"}}') as integer) as answer_chars, null as reject_reason from reply""",
-    "summary_reply_check": f"""with {V.REPLIES}, {V.PLAIN}, {V.UNITS},
-one as (select doc_id from u where unit_no = 1 and length(unit_id) + length(text) + 3 <= 36000)
-select d.doc_id, case when answer is null then 'bad shape' when len(refs) = 0 or list_contains(refs, 'S999') then 'unknown source' end
-  as reject_reason from decoded d join one on one.doc_id = d.doc_id""",
+    "summary_reply_check": rf"""with recursive {V.REPLIES}, {V.PLAIN}, {V.UNITS}, {V.PACKED},
+held as (select doc_id, chunk_no, regexp_extract_all(chunk, '\[(S\d+)\]', 1) as ids from packed)
+select d.doc_id, chunk_no, case when answer is null then 'bad shape'
+  when len(refs) = 0 or not list_has_all(ids, refs) then 'unknown source' end as reject_reason
+from decoded d join held on held.doc_id = d.doc_id""",
     "summary_render": f"with {V.REPLIES} select doc_id, draft from draft",
     "citation_check": f"""with {V.REPLIES}, {V.PLAIN}, {V.UNITS},
 r as (select doc_id, unnest(refs) as unit_id from draft),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import integrity as I
 from ..operators import reports as R
+from ..session import written
 from ..sources.tables import load
 from . import oracle_views as V
 from .views import markdown_reports
@@ -30,13 +31,13 @@ def _altered(spark, folder):
 
 
 def manifest_verify(spark, folder):
-    manifest = _manifest(spark, folder)
+    manifest = written(_manifest(spark, folder), "manifest")
     return I.manifest_verify(manifest, _altered(spark, folder), I.manifest_header(manifest))
 
 
 def manifest_verify_bad_header(spark, folder):
-    manifest = _manifest(spark, folder)
-    return I.manifest_verify(manifest, _altered(spark, folder), I.manifest_header(_altered(spark, folder)))
+    manifest, altered = (written(make(spark, folder), "manifest") for make in (_manifest, _altered))
+    return I.manifest_verify(manifest, altered, I.manifest_header(altered))
 
 
 def report_sections(spark, folder):
@@ -82,6 +83,8 @@ QUERIES = {
 }
 
 _MANIFEST = "m as (select cast(doc_id as varchar) as name, sha256(text) as sha256 from documents)"
+_NOW = """n as (select cast(doc_id as varchar) as name, sha256(text || case when doc_id % 17 = 0 then 'x' else '' end) as sha256
+  from documents where doc_id % 19 <> 0)"""
 _CARDS = V.REPORTS + r""",
 card as (
   select doc_id, n, lpad(cast(n as varchar), 2, '0') || '_' || case when s = '' then 'research-report' else s end || '.md' as name
@@ -93,10 +96,12 @@ ORACLES = {
 h as (select sha256(sha256 || ' ' || name) as h from m)
 select count(*) as entries, sha256(concat_ws(' ', {', '.join(
     f"cast(sum(cast('0x' || substring(h, {i * 8 + 1}, 8) as hugeint)) as varchar)" for i in range(8))})) as header_sha256 from h""",
-    "manifest_verify": f"""with {_MANIFEST}
-select cast(doc_id as varchar) as name, case when doc_id % 19 = 0 then 'missing or unsafe' else 'hash mismatch' end as error
-from documents where doc_id % 19 = 0 or doc_id % 17 = 0""",
-    "manifest_verify_bad_header": "select '(header)' as name, 'hash mismatch' as error",
+    "manifest_verify": f"""with {_MANIFEST}, {_NOW}
+select m.name, case when n.name is null then 'missing or unsafe' else 'hash mismatch' end as error
+from m left join n on n.name = m.name where n.sha256 is distinct from m.sha256""",
+    "manifest_verify_bad_header": f"""with {_MANIFEST}, {_NOW},
+differ as (select count(*) as k from m full join n on n.name = m.name where n.sha256 is distinct from m.sha256)
+select '(header)' as name, 'hash mismatch' as error from differ where k > 0""",
     "report_sections": f"with {V.REPORTS} select doc_id, n, title, body from section",
     "report_blocks": f"""with {V.REPORTS}
 select doc_id, cast(row_number() over (partition by doc_id order by g) as integer) as n, kind, content, lines

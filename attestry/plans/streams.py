@@ -61,8 +61,6 @@ def stream_page_ingest(spark, folder):
 
 
 def stream_page_units(spark, folder):
-    """Units of the stored pages. Any one of several copies that arrive together may be
-    the stored one, so there is no fixed SQL result; a test compares with the batch."""
     target = _target(spark, "ingest")
     schema = spark.read.parquet(f"{folder}/pages.parquet").schema
     query = ingest.stream_page_ingest(ingest.page_stream(spark, folder, schema, glob="pages.parquet"), target)
@@ -145,6 +143,12 @@ ORACLES = {
     when doc_id % 9 = 1 then 'a:b.md' else doc_id || '_page.md' end as file,
   case when doc_id % 9 < 2 then 'bad file name' else '' end as reason from saved""",
     "stream_page_ingest": f"select distinct {_CANON} as canonical from pages",
+    "stream_page_units": f"""with {_PAGE},
+stored as (select {_CANON} as canonical, min(page_id) as page_id from pages group by 1),
+d as (select s.page_id as doc_id, s.canonical as url, p.text from stored s
+  join decoded p on p.page_id = s.page_id where p.text <> ''),
+{V.UNITS}
+select doc_id as page_id, unit_no, unit_id, url, text from u""",
     "stream_run_progress": _PROGRESS,
     "batch_run_progress": _PROGRESS,
     "stream_caption_blocks": f"""with recursive ev as (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.text import is_blank
 from ..operators.runs import guard_columns
 
 _TEXT = (
@@ -66,22 +67,37 @@ def results_load(spark: SparkSession, path: str, *, array: bool = False) -> tupl
     """(valid, quarantine): rows that keep every rule, and the others with a reason.
 
     ``array`` reads files that hold one JSON array; otherwise one object per line.
-    Unknown keys are dropped by the fixed schema.
+    Unknown keys are dropped by the fixed schema. A number where text belongs is a wrong
+    type, though the JSON reader would turn it into text.
     """
     schema = T.StructType(RESULT_SCHEMA.fields + [T.StructField(_BROKEN, T.StringType())])
-    rows = spark.read.json(
-        path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN, multiLine=array
-    )
+    lines = spark.read.text(path, wholetext=array).filter(~is_blank(F.col("value")))
+    records = lines.withColumn("_v", F.try_parse_json("value"))
+    if array:
+        items = F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+        records = records.select("value", F.explode(items).alias("_v")).withColumn(
+            "value", F.coalesce(F.to_json("_v"), F.col("value"))
+        )
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    kind = lambda v, at="$": F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+    converted = F.lit(False)
+    for name in _TEXT:
+        converted = converted | ~F.coalesce(kind("_v", f"$.{name}"), F.lit("VOID")).isin("STRING", "VOID")
+    facts = F.coalesce(F.try_variant_get("_v", "$.facts", "array<variant>"), F.array())
+    rows = records.select(
+        parsed.alias("_r"), converted.alias("_converted"),
+        F.exists(facts, lambda x: ~F.coalesce(kind(x), F.lit("VOID")).isin("STRING")).alias("_odd"),
+    ).select("_r.*", "_converted", "_odd")
     files = _bad_file(F.coalesce("file", F.lit("")))
     for name in ("summary_file", "sources_file"):
         files = files | _bad_file(F.coalesce(name, F.lit("")))
     reason = (
-        F.when(F.col(_BROKEN).isNotNull(), "bad field type")
+        F.when(F.col(_BROKEN).isNotNull() | F.col("_converted"), "bad field type")
         .when(F.col("url").isNull() | F.col("success").isNull(), "missing url or success")
         .when(files, "bad file name")
-        .when(F.exists(F.coalesce("facts", F.array()), lambda x: x.isNull()), "bad facts")
+        .when(F.col("_odd"), "bad facts")
     )
-    judged = rows.withColumn("reason", reason)
+    judged = rows.withColumn("reason", reason).drop("_converted", "_odd")
     valid = as_results(judged.filter(F.col("reason").isNull()).drop(_BROKEN, "reason"))
     texts = {c: F.coalesce(c, F.lit("")) for c in _TEXT}
     return valid.withColumns(texts), judged.filter(F.col("reason").isNotNull())

@@ -11,7 +11,7 @@ from ..operators.segment import source_units
 from ..operators.urls import url_canonicalize
 from ..sources.pages import page_extract
 
-LATENESS = "1 hour"
+KEYS = "canonical string, page_id long, arrived_at timestamp, batch long"
 
 
 def page_stream(spark: SparkSession, folder: str, schema: StructType, *, glob: str = "*.parquet",
@@ -26,45 +26,42 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType, *, glob: s
     )
 
 
-def first_seen(pages: DataFrame, *, lateness: str = LATENESS, salts: int = 32) -> DataFrame:
-    """One row per canonical URL; repeats within the watermark are ignored, and the state
-    of a URL is let go once the watermark has passed it. Of copies that arrive in one
-    batch any one is kept.
+def first_seen(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(canonical, page_id, arrived_at): the copy to store of each URL that is not known.
 
-    Repeats are told in two steps, first within a salt of the URL, so that one URL which
-    keeps arriving is thinned out by many tasks before a single one sees it.
+    The earliest copy wins, the smallest ``page_id`` among those that arrived together. Only
+    keys travel, and copies of a URL are folded map-side before they are shuffled.
     """
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(salts))
-    return (
-        url_canonicalize(pages)
-        .filter(F.col("reject_reason").isNull())
-        .withColumn("_salt", salt)
-        .withWatermark("arrived_at", lateness)
-        .dropDuplicatesWithinWatermark(["canonical", "_salt"])
-        .dropDuplicatesWithinWatermark(["canonical"])
-        .drop("_salt")
+    best = batch.groupBy("canonical").agg(F.min(F.struct("arrived_at", "page_id")).alias("k")).select(
+        "canonical", "k.page_id", "k.arrived_at"
     )
+    return best if known is None else best.join(known.select("canonical"), "canonical", "left_anti")
 
 
-def stream_page_ingest(pages: DataFrame, target: str, *, lateness: str = LATENESS,
-                       available_now: bool = True) -> StreamingQuery:
-    """Write ``raw`` and then ``units`` under ``target``.
+def stream_page_ingest(pages: DataFrame, target: str, *, available_now: bool = True) -> StreamingQuery:
+    """Write ``keys``, ``raw`` and then ``units`` under ``target``.
 
-    Each batch owns its folders and overwrites them, so a batch replayed after a
-    failure leaves the same files; units are cut from the stored raw rows.
+    A URL is stored once for all time: the keys of earlier batches are the state, so which
+    copy is stored is fixed and no watermark lets a URL in again. Each batch owns its
+    folders and overwrites them, so a batch replayed after a failure leaves the same
+    files; units are cut from the stored raw rows.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = f"{target}/raw/batch={batch_id}"
-        batch.drop("reject_reason").write.mode("overwrite").parquet(raw)
+        fine = url_canonicalize(batch).filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        known = None
+        if batch_id:
+            known = spark.read.schema(KEYS).parquet(f"{target}/keys").filter(F.col("batch") < batch_id)
+        keys, raw = f"{target}/keys/batch={batch_id}", f"{target}/raw/batch={batch_id}"
+        first_seen(fine, known).write.mode("overwrite").parquet(keys)
+        new = spark.read.schema(KEYS).parquet(keys).drop("batch")
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in new.columns]
+        kept = fine.alias("p").join(new.alias("k"), same, "left_semi")
+        kept.dropDuplicates(["canonical"]).write.mode("overwrite").parquet(raw)
         stored = spark.read.parquet(raw)
         texts = page_extract(stored).filter("success").select("page_id", F.col("canonical").alias("url"), "text")
         source_units(texts).write.mode("overwrite").parquet(f"{target}/units/batch={batch_id}")
 
-    writer = (
-        first_seen(pages, lateness=lateness)
-        .writeStream.foreachBatch(store)
-        .option("checkpointLocation", f"{target}/checkpoint")
-    )
+    writer = pages.writeStream.foreachBatch(store).option("checkpointLocation", f"{target}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from attestry.functions.typed_json import typed_json
 from attestry.operators import compare as C
 from attestry.operators import notes as N
 from attestry.operators import replies as R
@@ -136,3 +139,26 @@ def test_visual_note(spark):
     df = spark.createDataFrame([(i, "F1", json.dumps(a)) for i, (a, _, _) in enumerate(rows)], "i long, frame_id string, answer string")
     assert {r["i"]: (r["reject_reason"], r["has_note"]) for r in R.visual_note_check(df).collect()} == {
         i: (why, has) for i, (_, why, has) in enumerate(rows)}
+
+
+def test_numbers_do_not_pass_as_text(spark):
+    typed = spark.createDataFrame(
+        [('{"a": "x", "b": ["y", 2, null], "c": true}',), ('{"a": 1, "b": "z", "c": "true"}',), ("[1]",), ("{",), (None,)],
+        "j string").select(typed_json(F.col("j"), "a string, b array<string>, c boolean").alias("t"))
+    assert [r["t"] and tuple(r["t"]) for r in typed.collect()] == [("x", ["y", None, None], True), (None, None, None), None, None, None]
+    claim = lambda text: {"text": text, "sources": ["S001", "S002"]}
+    answer = lambda text: json.dumps({"common": [claim(text)], "differences": [], "unique": []})
+    answers = spark.createDataFrame(
+        [(1, "a", answer("Both sources say so")), (2, "a", answer(123456789))], "answer_id long, source string, answer string")
+    units = spark.createDataFrame([("a", n, f"S00{n}", "u", "t") for n in (1, 2)],
+                                  "source string, document long, unit_id string, url string, text string")
+    got = {r["answer_id"]: r["rule"] for r in C.comparison_validate(answers, units).collect()}
+    assert got == {1: None, 2: "bad text"}
+
+
+def test_replies_to_unknown_chunks_are_rejected_not_lost(spark):
+    other = reply(spark, [note()]).withColumn("chunk_no", F.lit(7))
+    cut = chunk(spark, "Keep your eyes")
+    assert [r["reject_reason"] for r in N.note_validate(other, cut).collect()] == ["unknown chunk"]
+    quote = spark.createDataFrame([(1, 7, 1, "eyes")], "video_id long, chunk_no int, note_no int, evidence string")
+    assert [r["refs"] for r in N.quote_locate(quote, cut).collect()] == [[]]

@@ -71,3 +71,18 @@ def test_blocks_equal_brute_force_on_shuffled_arrival(spark, tmp_path):
     for v in range(3):
         mine = {(r["start_ms"], r["n_captions"], r["text"]) for r in got if r["video_id"] == v}
         assert mine == greedy([(s * 1000, p, t) for w, s, p, t in rows if w == v], 35, 200)
+
+
+def test_the_earliest_copy_is_stored_and_never_replaced(spark, tmp_path):
+    """Copies in one batch: the smallest id. Copies long after: the stored one stays."""
+    page = lambda i, url: (i, url, f"<title>t{i}</title><p>Body of page number {i} here.</p>")
+    target = str(tmp_path / "out")
+    for day, ids in enumerate(([9, 4, 7], [1, 12])):
+        rows = [page(i, "https://e.com/a") for i in ids] + [page(20 + day, f"https://e.com/{day}")]
+        rows += rows[:1]
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(str(tmp_path / "in" / f"day={day}"))
+        schema = spark.createDataFrame([], PAGE).schema
+        ingest.stream_page_ingest(ingest.page_stream(spark, f"{tmp_path}/in/day=*", schema), target).awaitTermination()
+    raw = spark.read.parquet(f"{target}/raw")
+    assert sorted((r["page_id"], r["canonical"]) for r in raw.collect()) == [
+        (4, "https://e.com/a"), (20, "https://e.com/0"), (21, "https://e.com/1")]

@@ -51,14 +51,15 @@ def test_formula_cells_are_guarded(spark):
 def test_results_round_trip_and_quarantine(spark, tmp_path):
     good = '{"url":"https://e.com","success":true,"file":"001_a.md","facts":["x"],"extra":1}'
     bad = ['{"url":"https://e.com","success":true,"file":"../outside.md"}', '{"url":"https://e.com","success":"yes"}',
-           '{"success":true}', '{"url":"https://e.com","success":true,"facts":[null]}', "not json"]
+           '{"success":true}', '{"url":"https://e.com","success":true,"facts":[null]}', "not json",
+           '{"url":"https://e.com","success":true,"title":123}', '{"url":"https://e.com","success":true,"facts":[5]}']
     path = tmp_path / "r.json"
     path.write_text("\n".join([good, *bad]), encoding="utf-8")
     valid, quarantine = S.results_load(spark, str(path))
     assert [r["file"] for r in valid.collect()] == ["001_a.md"]
     assert "extra" not in valid.columns
     assert sorted(r["reason"] for r in quarantine.select("reason").collect()) == [
-        "bad facts", "bad field type", "bad field type", "bad file name", "missing url or success"]
+        "bad facts", "bad facts", "bad field type", "bad field type", "bad field type", "bad file name", "missing url or success"]
     (tmp_path / "a.json").write_text(f"[{good},{good}]", encoding="utf-8")
     assert S.results_load(spark, str(tmp_path / "a.json"), array=True)[0].count() == 2
 

@@ -13,6 +13,7 @@ from attestry.operators import evidence as E
 from attestry.operators import frames as Fr
 from attestry.operators import layout as L
 from attestry.operators import reports as R
+from attestry.operators.captions import transcript_text
 from attestry.operators.segment import source_units
 from attestry.streaming import progress
 
@@ -117,3 +118,24 @@ def test_only_the_first_title_counts(spark):
 
     pages = spark.createDataFrame([(1, "u", "<title>One</title><p>x</p><svg><title>Two</title></svg>")], "page_id long, url string, html string")
     assert page_extract(pages).first()["title"] == "One"
+
+
+def test_notes_of_unknown_frames_are_kept(spark):
+    notes = spark.createDataFrame(
+        [(1, p, f, "t", "seen", "words", 1.0, "o", "s", "temporal-only") for p, f in ((1, "F001"), (2, "F404"))],
+        "video_id long, pos long, frame_id string, title string, visual_evidence string, caption string, "
+        "caption_s double, ocr string, shared string, association string")
+    frames = spark.createDataFrame([(1, "F001", 3, 3.0, "ok", "ab")],
+                                   "video_id long, frame_id string, seconds int, decoded_s double, decoder_status string, sha256 string")
+    snippets = spark.createDataFrame([(1, 0, 1.5, 2.0, "words")],
+                                     "video_id long, pos long, start_s double, duration_s double, text string")
+    got = {r["frame_id"]: r for r in E.evidence_records(notes, frames, snippets).collect()}
+    assert (got["F001"]["decoder_status"], got["F001"]["frame_sha256"], got["F001"]["model"]) == ("ok", "ab", None)
+    assert got["F404"]["decoder_status"] == "no such frame" and got["F404"]["caption_start"] == 1.5
+
+
+def test_long_transcripts_are_whole_unless_limited(spark):
+    lines = spark.range(3000).select(F.lit(1).alias("video_id"), F.col("id").alias("pos"), F.lit("w" * 200).alias("line"))
+    whole, part = transcript_text(lines).first(), transcript_text(lines, max_chars=1000).first()
+    assert len(whole["text"]) == 3000 * 202 - 2 and not whole["truncated"]
+    assert len(part["text"]) == 1000 and part["truncated"]
