@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -200,11 +202,14 @@ def secret_scan(docs: DataFrame, sample: int = 4096, least_ratio: float = 2.0) -
         base = base_spans(text)
         every = list(base)
         if model:
+            # Spans that begin before a candidate ends, and the furthest end among them, tell an overlap.
+            starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
             for m in CANDIDATE.finditer(text):
                 value = m.group()
                 if not any(c.isdigit() for c in value):
                     continue
-                if any(s < m.end() and m.start() < e for s, _, e in base):
+                near = bisect_left(starts, m.end())
+                if near and ends[near - 1] > m.start():
                     continue
                 parts = symbols(value)
                 if model[0].score(parts) - model[1].score(parts) >= least_ratio:

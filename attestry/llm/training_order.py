@@ -32,7 +32,8 @@ from ..session import shared_folder
 ROUNDS = 6
 PAD = 50256
 DTYPE = "<u2"
-CELLS = 4096
+#: Hash classes of documents, and how many of them share one running total.
+CELLS, CELLS_TOGETHER = 1 << 20, 1 << 10
 
 
 class Feistel:
@@ -118,10 +119,15 @@ def materialise(docs: DataFrame, path: str, *, length: int = 1024, key: str = "o
     where = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     sequences(docs, path, length).write.parquet(where)
     known = spark.read.parquet(where)
-    # Dense numbers: cells in order, then documents within a cell; a cell is a 4096th of the documents.
-    cells = known.groupBy("cell").agg(F.sum("many").alias("total"))
-    base = cells.select("cell", (F.sum("total").over(W.orderBy("cell")) - F.col("total")).alias("base"))
-    size = int(cells.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+    # Dense numbers: cells in order, then documents within a cell. Running totals are taken
+    # within groups of cells and over the 1024 groups, so no window sees all cells.
+    cells = known.groupBy("cell").agg(F.sum("many").alias("total")).withColumn("together", F.floor(F.col("cell") / CELLS_TOGETHER))
+    groups = cells.groupBy("together").agg(F.sum("total").alias("sum"))
+    before = groups.select("together", (F.sum("sum").over(W.orderBy("together")) - F.col("sum")).alias("before"))
+    upto = W.partitionBy("together").orderBy("cell")
+    base = cells.withColumn("upto", F.sum("total").over(upto)).join(before, "together").select(
+        "cell", (F.col("before") + F.col("upto") - F.col("total")).alias("base"))
+    size = int(groups.agg(F.coalesce(F.sum("sum"), F.lit(0))).first()[0])
     if not size:
         return spark.createDataFrame([], SHARD)
     inside = W.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
