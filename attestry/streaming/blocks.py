@@ -104,3 +104,9 @@ def stream_caption_blocks(captions: DataFrame, target: str, *, span: int = 35, c
         .option("checkpointLocation", f"{target}/checkpoint")
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def late_captions(query: StreamingQuery) -> int:
+    """Captions left out because the watermark had passed them when they came, over the
+    reports the query keeps (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return sum(state.numRowsDroppedByWatermark for report in query.recentProgress for state in report.stateOperators)

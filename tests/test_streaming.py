@@ -86,3 +86,18 @@ def test_the_earliest_copy_is_stored_and_never_replaced(spark, tmp_path):
     raw = spark.read.parquet(f"{target}/raw")
     assert sorted((r["page_id"], r["canonical"]) for r in raw.collect()) == [
         (4, "https://e.com/a"), (20, "https://e.com/0"), (21, "https://e.com/1")]
+
+
+def test_late_captions_are_counted(spark, tmp_path):
+    base = 1_700_000_000
+    days = [[(1, base, 1, "first"), (1, base + 5000, 2, "second")], [(1, base + 9000, 3, "third")], [(1, base + 1, 4, "late")],
+            [(1, base + 90_000, 5, "closing")]]
+    for day, rows in enumerate(days):
+        spark.createDataFrame(rows, "video_id long, s long, pos long, text string").select(
+            "video_id", F.timestamp_seconds("s").alias("ts"), "pos", "text").coalesce(1).write.parquet(str(tmp_path / f"in/day={day}"))
+    stream = spark.readStream.schema("video_id long, ts timestamp, pos long, text string").option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / "in/day=*"))
+    query = blocks.stream_caption_blocks(stream, str(tmp_path / "out"), lateness="10 minutes")
+    query.awaitTermination()
+    assert blocks.late_captions(query) == 1
+    assert "late" not in {r["text"] for r in spark.read.schema(blocks.OUTPUT).parquet(str(tmp_path / "out/blocks")).collect()}
