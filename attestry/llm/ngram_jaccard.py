@@ -6,7 +6,9 @@ first. Then, after the size-aware heavy-light scheme:
 
 * light sets (at most ``boundary`` shingles) enumerate, for every partner size they could
   link with, all their subsets of exactly the overlap that such a link needs. Equal
-  subsets prove the link, so members of a key are tied to its smallest member.
+  subsets prove the link of sets of the two sizes of a key, so its members are tied to
+  one member of the other size. Two sets of one size are tied only by a key of that
+  size twice, or by a set of the other size that both link with.
 * heavy sets scan inverted lists. Shingles are ordered rarest first by their document
   frequency (a census, exact up to truncated keys, in powers of two) and only a set's
   prefix is listed, in which any partner must share a shingle; places in the prefix bound
@@ -141,7 +143,7 @@ def _partners(size: int, percent: int, most: int) -> list[tuple[int, int]]:
 def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     def enumerate_subsets(batches):
         for batch in batches:
-            keys, ids = [], []
+            keys, ids, own_sizes, alike = [], [], [], []
             for key, blob in zip(batch["digest"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
                 own = [blob[i : i + 8] for i in range(0, len(blob), 8)]
                 for other, need in _partners(len(own), percent, boundary):
@@ -149,12 +151,22 @@ def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
                     for subset in combinations(own, need):
                         keys.append(xxhash.xxh128_digest(sizes + b"".join(subset)))
                         ids.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], ["key", "a"])
+                        own_sizes.append(len(own))
+                        alike.append(len(own) == other)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(ids, pa.binary()), pa.array(own_sizes, pa.int32()), pa.array(alike, pa.bool_())],
+                ["key", "a", "size", "alike"])
 
     light = sets.filter(F.col("n") <= boundary).select("digest", "shingles")
-    members = light.mapInArrow(enumerate_subsets, "key binary, a binary")
-    first = members.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("many")).filter("many > 1")
-    return members.join(first.select("key", "b"), "key").filter("a <> b").select("a", "b").distinct()
+    members = light.mapInArrow(enumerate_subsets, "key binary, a binary, size int, alike boolean")
+    # The smallest member of the smaller size and one of the larger; a key of unlike sizes
+    # proves nothing unless both are there.
+    ends = members.groupBy("key").agg(
+        F.min(F.struct("size", "a")).alias("low"), F.max(F.struct("size", "a")).alias("high"), F.count("*").alias("many")
+    ).filter("many > 1").select("key", "low", "high")
+    tied = members.join(ends, "key").filter("alike OR low.size < high.size")
+    partner = F.when(F.col("size") < F.col("high.size"), F.col("high.a")).otherwise(F.col("low.a"))
+    return tied.select("a", partner.alias("b")).filter("a <> b").distinct()
 
 
 def _fits(left: str, right: str, percent: int):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestry.llm import license_scan as lic
+from attestry.llm import ngram_jaccard
 from attestry.llm import secret_scan as sec
 from attestry.llm.benchmark_winnowing import contamination, decontaminated
 from attestry.llm.components import components
@@ -72,6 +73,22 @@ def test_jaccard_other_threshold(docs, rows):
     assert bag(jaccard_components(docs, n=3, percent=50), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 50)
 
 
+def test_jaccard_light_sets_of_one_size(spark, monkeypatch):
+    """Sets of one size that share less than they need, with and without a set between them."""
+    words = [f"w{k}" for k in range(40)]
+    texts = []
+    for size in range(1, 13):
+        stem = [f"s{size}{w}" for w in words[: size + 4]]
+        texts += [stem, [*stem[:-1], "x"], [*stem[:-2], "y", "z"], [*stem[:-3], "t", "u", "v"]]
+        if size % 2:
+            texts += [stem[:-1]]
+    rows = [(k, " ".join(t), None) for k, t in enumerate(texts)] + [(100, "a b c d e f g h", None), (101, "a b c d e f g i", None)]
+    monkeypatch.setattr(ngram_jaccard, "boundary_by_cost", lambda *_: 12)
+    got = bag(jaccard_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows)
+    assert got[(101, 4, 101)] == 1
+
+
 def test_jaccard_needed_overlap():
     assert all(needed(m, n, 75) == min(i for i in range(m + n) if 100 * i >= 75 * (m + n - i)) for m in range(1, 30) for n in range(1, 30))
 
