@@ -32,8 +32,8 @@ from ..session import shared_folder
 ROUNDS = 6
 PAD = 50256
 DTYPE = "<u2"
-#: Hash classes of documents, and how many of them share one running total.
-CELLS, CELLS_TOGETHER = 1 << 20, 1 << 10
+#: Hash classes of documents, and the most groups of cells that have a running total of their own.
+CELLS, GROUPS = 1 << 20, 1 << 10
 
 
 class Feistel:
@@ -71,6 +71,29 @@ class Feistel:
         return self._walk(slots, self.keys[::-1])
 
 
+class Ranges:
+    """Bijections of consecutive ranges of ``span`` numbers, each onto itself and with a key of its own."""
+
+    def __init__(self, size: int, span: int, key: str):
+        self.size, self.span, self.key = size, span, key
+
+    def _each(self, x: np.ndarray, way: str) -> np.ndarray:
+        x = np.asarray(x, np.int64)
+        out = np.empty(len(x), np.int64)
+        ranges = x // self.span
+        for k in np.unique(ranges).tolist():
+            own, start = ranges == k, k * self.span
+            order = Feistel(min(self.span, self.size - start), f"{self.key}:{k}")
+            out[own] = start + getattr(order, way)(x[own] - start)
+        return out
+
+    def slots(self, numbers: np.ndarray) -> np.ndarray:
+        return self._each(numbers, "slots")
+
+    def numbers(self, slots: np.ndarray) -> np.ndarray:
+        return self._each(slots, "numbers")
+
+
 def encoder(path: str):
     import tiktoken
     from public_tokenizers import PATTERN
@@ -80,9 +103,10 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
-    """One row for each document that has tokens: doc_id, cell (a hash class of documents),
-    many (its sequences), n_tokens and tokens (its ids, compressed until they are placed)."""
+def sequences(docs: DataFrame, path: str, length: int, place: tuple[str, str] | None = None) -> DataFrame:
+    """One row for each document that has tokens: doc_id, cell (a hash class of documents, or
+    the first column of ``place``), inside (0, or the second one), many (its sequences),
+    n_tokens and tokens (its ids, compressed until they are placed)."""
 
     def encode(batches):
         coder, codec = encoder(path), pa.Codec("zstd")
@@ -99,17 +123,23 @@ def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
                 blobs = [codec.compress(np.array(found, DTYPE).tobytes(), asbytes=True) for found in ids]
                 picked = part.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [picked["doc_id"], picked["cell"], pa.array(many, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["doc_id", "cell", "many", "n_tokens", "tokens"])
+                    [picked["doc_id"], picked["cell"], picked["inside"], pa.array(many, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
+                    ["doc_id", "cell", "inside", "many", "n_tokens", "tokens"])
 
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")
-    return docs.select("doc_id", cell, "text").mapInArrow(encode, "doc_id long, cell long, many long, n_tokens long, tokens binary")
+    cell, inside = (F.col(c) for c in place) if place else (F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)), F.lit(0))
+    return docs.select("doc_id", cell.cast("long").alias("cell"), inside.cast("long").alias("inside"), "text").mapInArrow(
+        encode, "doc_id long, cell long, inside long, many long, n_tokens long, tokens binary")
 
 
 def materialise(docs: DataFrame, path: str, *, length: int = 1024, key: str = "order-1", per_shard: int = 4096,
-                per_record: int = 64) -> DataFrame:
+                per_record: int = 64, place: tuple[str, str] | None = None, within: int | None = None) -> DataFrame:
     """Fixed-stride shards of ``docs`` (doc_id, text) in training order.
 
+    Sequences are numbered by a hash class of their document, or by the two whole-number
+    columns ``place`` of ``docs`` (a dense one, then the place within it). All are permuted
+    together, or, with ``within``, each range of so many numbers on its own, which keeps
+    the order of ``place`` from range to range.
+
     One row for each record of ``per_record`` slots: shard, first_slot, slots, stride (bytes
     of one sequence), doc_ids, parts (number of the sequence in its document), lengths (real
     tokens), payload (slots * stride bytes) and payload_sha256. Rows are written by range of
@@ -117,23 +147,23 @@ def materialise(docs: DataFrame, path: str, *, length: int = 1024, key: str = "o
     """
     spark = docs.sparkSession
     where = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    sequences(docs, path, length).write.parquet(where)
+    sequences(docs, path, length, place).write.parquet(where)
     known = spark.read.parquet(where)
+    size, most = (int(x) for x in known.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.max("cell"), F.lit(0))).first())
+    if not size:
+        return spark.createDataFrame([], SHARD)
     # Dense numbers: cells in order, then documents within a cell. Running totals are taken
-    # within groups of cells and over the 1024 groups, so no window sees all cells.
-    cells = known.groupBy("cell").agg(F.sum("many").alias("total")).withColumn("together", F.floor(F.col("cell") / CELLS_TOGETHER))
+    # within groups of cells and over at most 1024 groups, so no window sees all cells.
+    cells = known.groupBy("cell").agg(F.sum("many").alias("total")).withColumn("together", F.floor(F.col("cell") / -(-(most + 1) // GROUPS)))
     groups = cells.groupBy("together").agg(F.sum("total").alias("sum"))
     before = groups.select("together", (F.sum("sum").over(W.orderBy("together")) - F.col("sum")).alias("before"))
     upto = W.partitionBy("together").orderBy("cell")
     base = cells.withColumn("upto", F.sum("total").over(upto)).join(before, "together").select(
         "cell", (F.col("before") + F.col("upto") - F.col("total")).alias("base"))
-    size = int(groups.agg(F.coalesce(F.sum("sum"), F.lit(0))).first()[0])
-    if not size:
-        return spark.createDataFrame([], SHARD)
-    inside = W.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = known.select("doc_id", "cell", "many", "n_tokens", F.xxhash64("tokens").alias("row"), F.col("tokens"))
+    inside = W.partitionBy("cell").orderBy("inside", F.col("doc_id").asc_nulls_last(), "n_tokens", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = known.select("doc_id", "cell", "inside", "many", "n_tokens", F.xxhash64("tokens").alias("row"), F.col("tokens"))
     numbered = rows.join(base, "cell").withColumn("first", F.col("base") + F.sum("many").over(inside) - F.col("many"))
-    order = Feistel(size, key)
+    order = Ranges(size, within, key) if within else Feistel(size, key)
     stride = length * np.dtype(DTYPE).itemsize
     fill = np.full(length, PAD, DTYPE).tobytes()
 

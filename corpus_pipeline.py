@@ -11,15 +11,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attestry.llm.benchmark_winnowing import decontaminated
-from attestry.llm.mixing import mixed
+from attestry.llm.mixing import mix_slots, mixed
 from attestry.llm.ngram_jaccard import one_of_each
 from attestry.llm.quality_rules import kept_rows
 from attestry.llm.queries import MIX, MIX_BLOCK, table, vocabulary
 from attestry.llm.training_order import materialise
 from attestry.session import shared_folder
 
+#: Sequences that are permuted together; each such range of the training order keeps the mix.
+MIX_RANGE = 4096
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy keeps."""
@@ -42,8 +46,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id shards in training order."""
-    return materialise(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    """Token-id shards in training order: sequences follow the mix, permuted within ranges.
+
+    Rows of a table have no order, so the place of each document in the mix is derived again.
+    """
+    whole = docs.select("doc_id", "source", F.xxhash64("text").alias("text"), F.struct("text").alias("_doc"))
+    placed = mix_slots(whole, MIX, block=MIX_BLOCK).select("doc_id", F.col("_doc.text").alias("text"), "_slot", "_in_block")
+    return materialise(placed, vocabulary("byte_bpe_50k.tiktoken"), place=("_slot", "_in_block"), within=MIX_RANGE)
 
 
 STAGES = [

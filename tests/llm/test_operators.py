@@ -22,7 +22,7 @@ from attestry.llm.queries import vocabulary
 from attestry.llm.substring_dedup import repeated_words
 from attestry.llm.token_counts import token_counts
 from attestry.llm.toxicity import scores, train
-from attestry.llm.training_order import PAD, Feistel, encoder, materialise, read_from, write_shards
+from attestry.llm.training_order import PAD, Feistel, Ranges, encoder, materialise, read_from, write_shards
 
 from .conftest import ITEM
 
@@ -365,3 +365,22 @@ def test_pipeline_stages(spark, sf, docs, nothing):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0, name
         assert stage(spark, docs, sf).count() > 0, name
+
+
+def test_pipeline_keeps_the_mix(spark, sf, monkeypatch):
+    """Three sources of one size, mixed 6:3:2 by blocks of 16: a period is 96, 48 and 32 documents."""
+    monkeypatch.setattr(corpus_pipeline, "MIX_RANGE", 176, raising=False)
+    sources = {k: f"src{k % 3}" for k in range(2100)}
+    made = spark.createDataFrame([(k, f"text number {k}", s) for k, s in sources.items()], "doc_id long, text string, source string")
+    rows = sorted(corpus_pipeline.token_output(spark, made.repartition(4), sf).collect(), key=lambda r: r["first_slot"])
+    ids = [k for r in rows for k in r["doc_ids"]]
+    assert sorted(ids) == sorted(sources)
+    for start in range(0, 7 * 176, 176):
+        assert Counter(sources[k] for k in ids[start : start + 176]) == {"src0": 96, "src1": 48, "src2": 32}
+    assert [sources[k] for k in ids[:16]] != ["src0"] * 16
+    places = {r["doc_id"]: (r["_slot"], r["_in_block"]) for r in mix_slots(
+        made.select("doc_id", "source", F.xxhash64("text").alias("text")), corpus_pipeline.MIX, block=corpus_pipeline.MIX_BLOCK).collect()}
+    in_mix = sorted(ids, key=places.get)
+    order = Ranges(len(ids), 176, "order-1")
+    assert [in_mix[n] for n in order.numbers(np.arange(len(ids)))] == ids
+    assert [ids[slot] for slot in order.slots(np.arange(len(ids)))] == in_mix
