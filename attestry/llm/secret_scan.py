@@ -38,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "learned")
 HINTS = ("passw", "secret", "token", "api")
-#: What may be a credential: an ASCII run of 16 or more that has a digit or inner capitals.
+#: What may be a credential: an ASCII run of 16 or more. The likelihood ratio alone decides.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
@@ -206,8 +206,6 @@ def secret_scan(docs: DataFrame, sample: int = 4096, least_ratio: float = 2.0) -
             starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
             for m in CANDIDATE.finditer(text):
                 value = m.group()
-                if not any(c.isdigit() for c in value):
-                    continue
                 near = bisect_left(starts, m.end())
                 if near and ends[near - 1] > m.start():
                     continue

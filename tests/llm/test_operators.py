@@ -2,7 +2,9 @@
 ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -344,6 +346,28 @@ def test_secret_scan(spark, docs, nothing):
     assert sec.secret_scan(docs).count() == docs.count() and sec.secret_scan(nothing).count() == 0
 
 
+def secret_corpus():
+    """Labelled keys, ordinary long words, and planted keys without a label, half of them without a digit."""
+    rng = random.Random(3)
+    letters, both = string.ascii_letters, string.ascii_letters + string.digits
+    key = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(24))
+    word = lambda: "".join(rng.choice(("ing", "tion", "ment", "ver", "lich", "the", "ous", "an")) for _ in range(8))
+    labelled = [f"set token = {key(both)} here" for _ in range(600)]
+    ordinary = [f"words {word()} and {word()} 4{rng.randrange(10**15):015d} end" for _ in range(600)]
+    planted = [f"look {key(letters if k % 2 else both)} there" for k in range(20)]
+    return labelled, ordinary, planted
+
+
+def test_secret_scan_learns(spark):
+    """Most planted keys are found, digits or not; ordinary words and card numbers are not."""
+    labelled, ordinary, planted = secret_corpus()
+    texts = [*planted, *ordinary, *labelled]
+    got = dict(sec.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "spans").collect())
+    assert {got[k] for k in range(20)} <= {"learned:5:29", ""}
+    assert all(sum(got[k] != "" for k in range(start, 20, 2)) >= 8 for start in (0, 1))
+    assert {got[k] for k in range(20, 20 + len(ordinary))} == {""}
+
+
 def test_grammar_inference():
     examples = [list("ab") * k for k in range(1, 10) for _ in range(2 ** (10 - k))]
     learned = sec.Automaton(examples)
