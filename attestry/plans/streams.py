@@ -88,19 +88,28 @@ def batch_run_progress(spark, folder):
 
 
 def stream_caption_blocks(spark, folder):
-    """Events as captions; one closing row far in the future lets the last blocks out."""
+    """Events as captions; one closing row far in the future lets the last blocks out.
+
+    Files are taken as they were written, not by event time, so any file may hold times
+    older than all before it: the lateness of the replay is the whole span of the table.
+    """
     source, target = _target(spark, "captions"), _target(spark, "blocks")
     captions = load(spark, folder, "events").select(
         F.col("user_id").alias("video_id"), "ts", F.col("event_id").alias("pos"), F.col("props").alias("text")
     )
     captions.write.parquet(f"{source}/part=1")
-    closing = captions.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast("long").alias("video_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"),
+    ends = spark.read.schema(captions.schema).parquet(f"{source}/part=1").agg(F.min("ts").alias("first"), F.max("ts").alias("ts"))
+    span = ends.select(F.coalesce(F.unix_seconds("ts") - F.unix_seconds("first"), F.lit(0))).first()[0] + 3600
+    closing = ends.select(
+        F.lit(-1).cast("long").alias("video_id"), (F.col("ts") + F.make_dt_interval(days=F.lit(30), secs=F.lit(span))).alias("ts"),
         F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"),
     )
     closing.write.parquet(f"{source}/part=2")
     stream = spark.readStream.schema(captions.schema).option("maxFilesPerTrigger", 8).parquet(f"{source}/part=*")
-    blocks.stream_caption_blocks(stream, target, span=BLOCK_SPAN, chars=1000, lateness="1 hour").awaitTermination()
+    query = blocks.stream_caption_blocks(stream, target, span=BLOCK_SPAN, chars=1000, lateness=f"{span} seconds")
+    query.awaitTermination()
+    if late := blocks.late_captions(query):
+        raise RuntimeError(f"{late} captions came too late for their blocks")
     return spark.read.schema(blocks.OUTPUT).parquet(f"{target}/blocks").filter("video_id >= 0")
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from attestry.operators.segment import source_units
+from attestry.plans import streams
 from attestry.sources.pages import page_extract
 from attestry.streaming import blocks, ingest, progress
 
@@ -101,3 +102,23 @@ def test_late_captions_are_counted(spark, tmp_path):
     query.awaitTermination()
     assert blocks.late_captions(query) == 1
     assert "late" not in {r["text"] for r in spark.read.schema(blocks.OUTPUT).parquet(str(tmp_path / "out/blocks")).collect()}
+
+
+def test_caption_query_loses_nothing_over_many_files(spark, tmp_path):
+    """Thirty files, the newest written first, eight a trigger: no caption falls behind the watermark."""
+    base = 1_700_000_000
+    rows = [(k, base + k * 20_000, k % 3, f"caption {k}") for k in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, props string").select(
+        "event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "props")
+    part = 29 - F.floor(F.col("event_id") / 20)
+    for k in range(30):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = streams.stream_caption_blocks(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    for v in range(3):
+        mine = {(r["start_ms"], r["n_captions"], r["text"]) for r in got if r["video_id"] == v}
+        assert mine == greedy([(s * 1000, p, t) for p, s, w, t in rows if w == v], streams.BLOCK_SPAN, 1000)
