@@ -3,17 +3,19 @@
 Formats of credentials are learned, not listed: labelled credentials are written as runs
 of character classes, a prefix tree with frequencies is built from them, and statistically
 compatible states are merged (Hoeffding bound) into a probabilistic automaton. A second
-automaton is learned from ordinary long words. Every candidate of every text is scored by
+automaton is learned from the background: candidate-shaped runs that no base match touches,
+which are ordinary long words and numbers but for a few. Every candidate of every text is scored by
 its log-likelihood ratio a class symbol; those above ``least_ratio`` become spans of kind
 ``learned`` beside the fixed base kinds.
 
 The labelled credentials are a bounded, hash-chosen sample of base matches of the corpus
-(``sample`` of each kind) and its ordinary words likewise; the automata are a few hundred
+(``sample`` of each kind) and its background likewise; the automata are a few hundred
 states whatever the corpus size. Everything else covers all texts whole.
 
 Defined results: a null or empty text has no spans. A learned span never overlaps a base
 span. Rows are independent. Extra columns are ignored. With no labelled credentials
-(an empty table) only base spans are found.
+(an empty table) only base spans are found, and likewise with no background: then no run
+of at most 512 characters is left to be judged. Examples to learn from have 8 to 512 characters.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Runs that may be credentials and overlap no base span."""
+    # Spans that begin before a candidate ends, and the furthest end among them, tell an overlap.
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    for m in CANDIDATE.finditer(text):
+        near = bisect_left(starts, m.end())
+        if not near or ends[near - 1] <= m.start():
+            yield m
+
+
 def symbols(value: str) -> list[str]:
     """A credential as class symbols: up to four leading characters as they are (formats
     have fixed heads), then runs of a class, long ones by length in powers of two."""
@@ -155,7 +167,7 @@ class Automaton:
 
 
 def learned_model(docs: DataFrame, sample: int) -> tuple[Automaton, Automaton] | None:
-    """Automata of credentials and of ordinary words, from at most ``sample`` examples of each."""
+    """Automata of credentials and of the background, from at most ``sample`` examples of each."""
 
     def examples(batches):
         for batch in batches:
@@ -168,11 +180,9 @@ def learned_model(docs: DataFrame, sample: int) -> tuple[Automaton, Automaton] |
                     m = ASSIGN.match(text, start) if kind == 0 else None
                     kinds.append(1)
                     values.append(m[2] if m else text[start:end])
-                # Ordinary words of a text: at most one in 64, by hash, long enough to be candidates.
-                for m in WORD.finditer(text):
-                    if xxhash.xxh32_intdigest(m.group()) % 64 == 0 and not m.group().isdigit():
-                        kinds.append(0)
-                        values.append(m.group())
+                for m in candidates(text, spans):
+                    kinds.append(0)
+                    values.append(m.group())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
 
     # A reservoir of fixed size: each of ``sample`` hash cells of a kind keeps its smallest
@@ -184,12 +194,9 @@ def learned_model(docs: DataFrame, sample: int) -> tuple[Automaton, Automaton] |
     got = defaultdict(list)
     for r in sorted(union.collect()):
         got[r["kind"]].append(symbols(r["value"]))
-    if not got[1]:
+    if not got[1] or not got[0]:
         return None
-    return Automaton(got[1]), Automaton(got[0] or [["l3"]])
-
-
-WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z-]{15,}(?![A-Za-z0-9+/_=-])")
+    return Automaton(got[1]), Automaton(got[0])
 
 
 def secret_scan(docs: DataFrame, sample: int = 4096, least_ratio: float = 2.0) -> DataFrame:
@@ -202,14 +209,8 @@ def secret_scan(docs: DataFrame, sample: int = 4096, least_ratio: float = 2.0) -
         base = base_spans(text)
         every = list(base)
         if model:
-            # Spans that begin before a candidate ends, and the furthest end among them, tell an overlap.
-            starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
-            for m in CANDIDATE.finditer(text):
-                value = m.group()
-                near = bisect_left(starts, m.end())
-                if near and ends[near - 1] > m.start():
-                    continue
-                parts = symbols(value)
+            for m in candidates(text, base):
+                parts = symbols(m.group())
                 if model[0].score(parts) - model[1].score(parts) >= least_ratio:
                     every.append((m.start(), 3, m.end()))
         told = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
