@@ -13,6 +13,7 @@ from .ngram_jaccard import jaccard_components
 from .quality_rules import applied, ledger
 from .secret_scan import secret_scan
 from .substring_dedup import repeated_words
+from .token_alignment import aligned
 from .token_counts import token_counts
 from .toxicity import scores
 from .training_order import materialise
@@ -76,7 +77,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_toxicity, op3_mixing, op4_license_scan, op5_quality_rules, op6_training_order,
-    op7_benchmark_decontamination, op8_substring_dedup, op9_secret_scan, op10_token_counts)}
+    op7_benchmark_decontamination, op8_substring_dedup, op9_secret_scan, op10_token_counts,
+    op11_cross_tokenizer_alignment)}
 ORACLES = oracles.ORACLES
