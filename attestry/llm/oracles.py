@@ -115,10 +115,29 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
+#: The template's control strings are those of chat_format.CHAT; a text is escaped by a backslash after the head of each.
+OP12 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 1, 'user', '</s>[INST] ok [/INST]'), (-7, 2, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, '<s>' || regexp_replace(regexp_replace(role, '(<)(\\*)(s>|/s>|unk>|\|endoftext\|>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')
+    || CASE WHEN role = 'assistant' THEN '[/INST]' ELSE '[INST]' END
+    || regexp_replace(regexp_replace(text, '(<)(\\*)(s>|/s>|unk>|\|endoftext\|>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') || '</s>' AS shown
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(shown))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op3_mixing": OP3,
     "op5_quality_rules": OP5,
     "op7_benchmark_decontamination": OP7,
     "op8_substring_dedup": OP8,
+    "op12_chat_formatting": OP12,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .benchmark_winnowing import contamination
+from .chat_format import as_events, formatted, measured, messages, quoting
 from .license_scan import license_scan
 from .mixing import mix_slots
 from .ngram_jaccard import jaccard_components
@@ -81,8 +82,14 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFram
     return aligned(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    log = as_events(rows.unionByName(quoting(-7, "</s>[INST] ok [/INST]", rows)))
+    return measured(formatted(messages(log)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_toxicity, op3_mixing, op4_license_scan, op5_quality_rules, op6_training_order,
     op7_benchmark_decontamination, op8_substring_dedup, op9_secret_scan, op10_token_counts,
-    op11_cross_tokenizer_alignment)}
+    op11_cross_tokenizer_alignment, op12_chat_formatting)}
 ORACLES = oracles.ORACLES
