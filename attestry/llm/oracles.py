@@ -133,6 +133,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP13 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{FOLDED}') AS w FROM documents),
+lengths AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*)::BIGINT AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{FOLDED}')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), corpus),
+s AS (SELECT item_id, r, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN lengths USING (r), corpus GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM s JOIN lengths USING (r) WHERE score > 0) WHERE rank <= 20
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op3_mixing": OP3,
@@ -140,4 +156,5 @@ ORACLES = {
     "op7_benchmark_decontamination": OP7,
     "op8_substring_dedup": OP8,
     "op12_chat_formatting": OP12,
+    "op13_ranked_search": OP13,
 }

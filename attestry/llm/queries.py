@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .benchmark_winnowing import contamination
 from .chat_format import as_events, formatted, measured, messages, quoting
+from .lexical_search import ranked
 from .license_scan import license_scan
 from .mixing import mix_slots
 from .ngram_jaccard import jaccard_components
@@ -88,8 +89,12 @@ def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return measured(formatted(messages(log)))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_toxicity, op3_mixing, op4_license_scan, op5_quality_rules, op6_training_order,
     op7_benchmark_decontamination, op8_substring_dedup, op9_secret_scan, op10_token_counts,
-    op11_cross_tokenizer_alignment, op12_chat_formatting)}
+    op11_cross_tokenizer_alignment, op12_chat_formatting, op13_ranked_search)}
 ORACLES = oracles.ORACLES
