@@ -6,6 +6,9 @@ are linked, and the text is cut there: between cuts lie the smallest groups of t
 cover the same bytes. As no token is empty, a cut has one token of each side, so a text has
 as many links as groups.
 
+Both tokenizers cut a text before a single space, so a task aligns each different word once
+and a text is the sum of its words.
+
 First pass: documents are aligned by *packets* (hash classes of rows, as many as the counted
 bytes of text ask for), and each packet gives its distinct pairs with their counts, packed by
 bucket of the B id. The pairs of a bucket are merged over packets as a tree, and a *minimal
@@ -30,7 +33,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +52,10 @@ PACKET_BYTES = 4 << 20
 FAN = 512
 #: Characters that a worker aligns at once.
 SLICE_CHARS = 1 << 20
-COMMA, BAR, SEMICOLON = b",|;"
+#: Links of known words at which a task starts afresh: some hundred bytes each.
+REMEMBER = 1_000_000
+#: A space beside other white space, or at the end.
+ODD = re.compile(r"\s | (?:\s|\Z)")
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -100,86 +108,123 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        every = range(model.get_piece_size())
-        self.bytes = [
-            bytes([int(model.id_to_piece(n)[3:5], 16)]) if model.is_byte(n) else model.id_to_piece(n).replace("▁", " ").encode()
-            for n in every
-        ]
+        pieces = [model.id_to_piece(n) for n in range(model.get_piece_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
+        #: No merge crosses from a character to a space after it.
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
         self.encode = lambda texts: model.encode(texts, num_threads=1)
 
 
 class Aligner:
-    """Both tokenizers and what alignment needs of their vocabularies; one for each task."""
+    """Both tokenizers and the alignment of every word met so far; one for each task.
+
+    Both tokenizers cut a text before a single space, so a text is aligned word by word, and
+    a word (with the space before it) only once. A text in which a space stands beside other
+    white space or at an end is one word as a whole.
+    """
 
     def __init__(self, left: str, right: str):
         self.left, self.right = BytePairs(left), Pieces(right)
         self.width = [np.array([len(b) for b in side.bytes], np.int64) for side in (self.left, self.right)]
         self.right_size = len(self.right.bytes)
-        digits = len(str(max(map(len, self.width))))
-        self.digits = np.zeros((max(map(len, self.width)), digits + 1), np.uint8)
-        for n in range(len(self.digits)):
-            shown = str(n).encode()
-            self.digits[n, : len(shown)] = list(shown)
-
-    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of either side; both empty for a text that has no alignment."""
-        spaced = [" " + t if t else "" for t in texts]
-        ids = [self.left.encode(spaced), self.right.encode([t or "" for t in texts])]
-        out: tuple[list, list] = ([], [])
-        for text, a, b in zip(spaced, *ids, strict=True):
-            whole = text.encode()
-            fits = text and all(
-                b"".join(map(side.bytes.__getitem__, tokens)) == whole for side, tokens in ((self.left, a), (self.right, b)))
-            out[0].append(np.array(a if fits else [], np.int64))
-            out[1].append(np.array(b if fits else [], np.int64))
-        return out
-
-    def slices(self, texts: list[str | None]) -> Iterator[tuple[int, Alignment]]:
-        """The alignment of runs of texts, each with the place of its first text."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        #: By word: tokens of A and of B, links, whether the bytes agree.
+        self.sizes = np.zeros((3, 0), np.int64)
+        self.fits = np.zeros(0, bool)
+        self.first = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.uint64)
+        self.shown: list[bytes] = []
+
+    def learn(self, words: list[str]) -> None:
+        """Align new words and put them behind the known ones."""
+        spaced = [" " + w for w in words]
+        ids = self.left.encode(spaced), self.right.encode(words)
+        fits = np.array([
+            b"".join(map(self.left.bytes.__getitem__, a)) == b"".join(map(self.right.bytes.__getitem__, b)) == w.encode()
+            for w, a, b in zip(spaced, *ids, strict=True)], bool)
+        ids = tuple([x if ok else [] for x, ok in zip(side, fits.tolist(), strict=True)] for side in ids)
+        counts = [np.fromiter(map(len, side), np.int64, len(side)) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, counts, strict=True)]
+        ends = [np.cumsum(width[x]) for width, x in zip(self.width, flat, strict=True)]
+        cuts = []
+        for mine, other in (ends, ends[::-1]):
+            there = np.zeros(int(mine[-1]) + 1 if len(mine) else 1, bool)
+            there[other] = True
+            cuts.append(np.flatnonzero(there[mine]))
+        edges = np.searchsorted(cuts[0], np.concatenate([[0], np.cumsum(counts[0])]))
+        groups, begin = [], [0, 0]
+        for a, b in zip((cuts[0] + 1).tolist(), (cuts[1] + 1).tolist(), strict=True):
+            groups.append(b"%s|%s" % tuple(",".join(map(str, x[s:e].tolist())).encode() for x, s, e in zip(flat, begin, (a, b))))
+            begin = [a, b]
+        self.number.update(zip(words, count(len(self.number))))
+        self.sizes = np.concatenate([self.sizes, [*counts, np.diff(edges)]], axis=1)
+        self.fits = np.append(self.fits, fits)
+        self.first = np.append(self.first, self.first[-1] + edges[1:])
+        self.pairs = np.append(self.pairs, (flat[0][cuts[0]] * self.right_size + flat[1][cuts[1]]).astype(np.uint64))
+        self.shown += [b";".join(groups[s:e]) for s, e in zip(edges.tolist(), edges[1:].tolist())]
+
+    def slices(self, texts: list[str | None]) -> Iterator[Alignment]:
+        """The alignment of runs of texts."""
         start, held = 0, 0
         for row, text in enumerate(texts):
             held += len(text or "")
             if held >= SLICE_CHARS or row == len(texts) - 1:
-                yield start, Alignment(self, *self.tokens(texts[start : row + 1]))
+                yield Alignment(self, texts[start : row + 1])
                 start, held = row + 1, 0
 
 
 class Alignment:
-    """Links of some texts that are laid end to end."""
+    """Some texts as the numbers of their words."""
 
-    def __init__(self, by: Aligner, left: list[np.ndarray], right: list[np.ndarray]):
+    def __init__(self, by: Aligner, texts: list[str | None]):
+        if len(by.pairs) > REMEMBER:
+            by.forget()
         self.by = by
-        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
-        self.ids = [np.concatenate(side) if side else np.empty(0, np.int64) for side in (left, right)]
-        ends = [np.cumsum(width[ids]) for width, ids in zip(by.width, self.ids, strict=True)]
-        total = int(ends[0][-1]) if len(ends[0]) else 0
-        self.cuts = []
-        for mine, other in (ends, ends[::-1]):
-            there = np.zeros(total + 1, bool)
-            there[other] = True
-            self.cuts.append(np.flatnonzero(there[mine]))
-        self.pairs = (self.ids[0][self.cuts[0]] * by.right_size + self.ids[1][self.cuts[1]]).astype(np.uint64)
-        #: First link of every text, and the end of the last.
-        self.edges = np.searchsorted(self.cuts[0], np.concatenate([[0], np.cumsum(self.sizes[0])]))
+        whole = [not by.right.apart or ODD.search(" " + t) is not None for t in texts if t]
+        words = [[t] if one else t.split(" ") for t, one in zip(filter(None, texts), whole, strict=True)]
+        new = list(set(chain.from_iterable(words)) - by.number.keys())
+        if new:
+            by.learn(new)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[[k for k, t in enumerate(texts) if t]] = list(map(len, words))
+        self.words = np.fromiter(map(by.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        self.edges = np.concatenate([[0], np.cumsum(sizes)])
+        misfits = self.sums(~by.fits)
+        if misfits.any():  # such a text has no tokens at all
+            self.words = self.words[np.repeat(misfits == 0, sizes)]
+            self.edges = np.concatenate([[0], np.cumsum(np.where(misfits == 0, sizes, 0))])
+        #: The words that occur, how often, and their links one after another.
+        times = np.bincount(self.words, minlength=len(by.shown))
+        self.met = np.flatnonzero(times)
+        self.times, self.n_links = times[self.met], by.sizes[2, self.met]
+        upto = np.cumsum(self.n_links)
+        self.pairs = by.pairs[np.repeat(by.first[self.met] - (upto - self.n_links), self.n_links) + np.arange(upto[-1] if len(upto) else 0)]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, and how often each is linked here (a pair may come several times)."""
+        return self.pairs, np.repeat(self.times, self.n_links)
+
+    def sums(self, by_word: np.ndarray) -> np.ndarray:
+        """Sum over every text of a value that each known word has."""
+        upto = np.concatenate([[0], np.cumsum(by_word[self.words], dtype=np.int64)])
+        return upto[self.edges[1:]] - upto[self.edges[:-1]]
+
+    def sums_of_links(self, by_link: np.ndarray) -> np.ndarray:
+        """Sum over every text of a value for each of ``pairs``."""
+        upto = np.concatenate([[0], np.cumsum(by_link, dtype=np.int64)])
+        ends = np.cumsum(self.n_links)
+        by_word = np.zeros(len(self.by.shown), np.int64)
+        by_word[self.met] = upto[ends] - upto[ends - self.n_links]
+        return self.sums(by_word)
 
     def digests(self) -> list[str]:
         """SHA-256 of every text's groups as ``a1,a2|b1;a3|b2``; '' without tokens."""
-        a, b = self.ids
-        place_a = np.arange(len(a)) + np.concatenate([[0], self.cuts[1] + 1])[np.searchsorted(self.cuts[0], np.arange(len(a)))]
-        place_b = np.arange(len(b)) + (self.cuts[0] + 1)[np.searchsorted(self.cuts[1], np.arange(len(b)))]
-        shown = np.empty((len(a) + len(b), self.by.digits.shape[1]), np.uint8)
-        shown[place_a], shown[place_b] = self.by.digits[a], self.by.digits[b]
-        shown[:, -1] = COMMA
-        shown[place_a[self.cuts[0]], -1], shown[place_b[self.cuts[1]], -1] = BAR, SEMICOLON
-        solid = shown != 0
-        data = shown[solid].tobytes()
-        at = np.concatenate([[0], np.cumsum(solid.sum(axis=1))])[np.concatenate([[0], np.cumsum(self.sizes[0] + self.sizes[1])])]
-        return [hashlib.sha256(data[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum of a value per link over every text."""
-        upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return upto[self.edges[1:]] - upto[self.edges[:-1]]
+        parts = list(map(self.by.shown.__getitem__, self.words.tolist()))
+        edges = self.edges.tolist()
+        return [hashlib.sha256(b";".join(parts[s:e])).hexdigest() if e > s else "" for s, e in zip(edges, edges[1:])]
 
 
 class PerfectHash:
@@ -344,7 +389,7 @@ def aligned(docs: DataFrame, left: str, right: str, *, packet_bytes: int = PACKE
 
     def ask(group: pa.Table) -> pa.Table:
         by = aligner()
-        found = [np.unique(some.pairs, return_counts=True) for _, some in by.slices(group["text"].to_pylist())]
+        found = [summed([keys], [counts]) for keys, counts in (some.counted() for some in by.slices(group["text"].to_pylist()))]
         keys, counts = summed([k for k, _ in found], [c for _, c in found])
         bucket = (mixed(keys % np.uint64(by.right_size)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -382,15 +427,14 @@ def aligned(docs: DataFrame, left: str, right: str, *, packet_bytes: int = PACKE
         order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
         out: dict[str, list] = {name: [] for name in ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256")}
-        for _, some in by.slices(group["text"].to_pylist()):
+        for some in by.slices(group["text"].to_pylist()):
             at = np.searchsorted(keys, some.pairs)
             if not np.array_equal(keys[at], some.pairs):
                 raise ValueError("a pair was not asked for")
-            out["n_a"].append(some.sizes[0])
-            out["n_b"].append(some.sizes[1])
-            out["n_groups"].append(np.diff(some.edges))
-            out["n_best"].append(some.sums(best[at]))
-            out["count_sum"].append(some.sums(counts[at]))
+            for name, by_word in zip(("n_a", "n_b", "n_groups"), by.sizes, strict=True):
+                out[name].append(some.sums(by_word))
+            out["n_best"].append(some.sums_of_links(best[at]))
+            out["count_sum"].append(some.sums_of_links(counts[at]))
             out["groups_sha256"] += some.digests()
         columns = {name: pa.array(np.concatenate(v) if name != "groups_sha256" else v) for name, v in out.items()}
         return pa.table({"doc_id": group["doc_id"].cast(pa.int64()).combine_chunks(), **columns, "n_links": columns["n_groups"]}).select(

@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against a plain walk over both libraries' tokens."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ from attestry.llm.token_alignment import PerfectHash, aligned, byte_alphabet, ve
 
 LEFT, RIGHT = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-HARD = ["<|endoftext|> and </s><s>", "it's we'LL 12345 ½ ﬁ", "a  b   c\n\n\td ", "héllo wörld", "日本語テキスト", "👩‍👩‍👧 emoji‍", "a▁b", "▁", " ", "\x00\x01", "x" * 3000, " " * 500, "<0x41>"]
+HARD = ["<|endoftext|> and </s><s>", "it's we'LL 12345 ½ ﬁ", "a  b   c\n\n\td ", "héllo wörld", "日本語テキスト", "👩‍👩‍👧 emoji‍", "a▁b", "▁", " ", "\x00\x01", "x" * 3000, " " * 500, "<0x41>", "a ", "a  ", " a", "  a  b c   ", "\n \n a", "a\u00a0 b", ", .  ,"]
 
 
 def brute(rows):
@@ -63,7 +64,9 @@ def test_alignment(docs, rows, options):
 
 
 def test_alignment_of_hard_texts(spark):
-    rows = list(enumerate(HARD)) + [(50, HARD[1]), (50, HARD[1])]
+    rng = random.Random(8)
+    blanks = ["".join(rng.choice([" ", " ", "\n", "a", "bc", "\u00a0", "1", "'s", ".", "é"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    rows = list(enumerate(HARD + blanks)) + [(50, HARD[1]), (50, HARD[1])]
     assert result(aligned(spark.createDataFrame(rows, "doc_id long, text string"), LEFT, RIGHT)) == brute(rows)
 
 
