@@ -94,19 +94,3 @@ def take_while_fits(items: Column, size: Callable[[Column], Column], budget: Col
         )
 
     return F.aggregate(items, state, step, lambda acc: acc["n"])
-
-
-def take_what_fits(items: Column, size: Callable[[Column], Column], budget: int) -> Column:
-    """0-based positions kept when an item that overflows is skipped, not a stop."""
-    state = {"n": F.lit(0), "used": F.lit(0).cast("long")}
-
-    def step(acc: Column, item: Column) -> dict[str, Column]:
-        used = acc["used"] + size(item).cast("long")
-        fits = used <= budget
-        return {
-            "n": acc["n"] + 1,
-            "used": F.when(fits, used).otherwise(acc["used"]),
-            "kept": F.when(fits, F.array_append(acc["kept"], acc["n"])).otherwise(acc["kept"]),
-        }
-
-    return growing_fold(items, state, "kept", "int", step)

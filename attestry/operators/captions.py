@@ -1,7 +1,7 @@
 """Caption snippets to transcript lines, blocks, samples and chunks.
 
-Lines stay rows. A transcript is a document, one row per video; blocks, samples and
-chunks are folds over that row. Feeds without an end are cut by the caption stream.
+Lines, captions, blocks and chunks are rows, so a video may have any number of them; only
+``transcript_text`` makes one row of a video. Feeds without an end are cut by the caption stream.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.fold import let, pack_starts, take_what_fits
+from ..functions.fold import let
 from ..functions.text import clock, hits, is_blank, lines_of, numbered, strip, watch_link
-from .extract import cut_into_chunks
+from .packing import packed
 from .prefix import running
-from .segment import with_units
+from .segment import source_units
 
 SEPARATOR = "\n\n"
 
@@ -99,94 +99,47 @@ def captions_array(text: Column) -> Column:
     )
 
 
-def caption_parse(texts: DataFrame) -> DataFrame:
-    """One row per caption line: (video_id, n, time, url, seconds, text)."""
-    return (
-        texts.select("video_id", F.posexplode_outer(captions_array(F.col("text"))).alias("n", "_c"))
-        .filter(F.col("_c").isNotNull())
-        .select("video_id", (F.col("n") + 1).alias("n"), "_c.*")
-    )
-
-
-def _join_block(captions: Column, n: Column) -> Column:
-    first = F.get(captions, F.lit(0))
-    return F.struct(
-        n.alias("unit_no"),
-        numbered("S", n).alias("unit_id"),
-        F.array_join(F.transform(captions, lambda c: c["text"]), " ").alias("text"),
-        first["url"].alias("url"),
-        first["time"].alias("time"),
-        first["seconds"].alias("seconds"),
-        F.size(captions).alias("n_captions"),
-    )
-
-
-def with_blocks(texts: DataFrame, *, seconds: int = P.BLOCK_SECONDS, chars: int = P.BLOCK_CHARS) -> DataFrame:
-    """Replace ``text`` by ``units``: caption blocks, or plain source units when the text
-    has no caption line. A block closes ``seconds`` after its own start."""
-
-    def blocks(captions: Column) -> Column:
-        cuts = pack_starts(captions, lambda c: F.length(c["text"]), lambda c: c["seconds"], chars, seconds, 1)
-        return let(
-            cuts,
-            lambda at: F.transform(
-                at,
-                lambda start, i: _join_block(
-                    F.slice(captions, start, F.coalesce(F.get(at, i + 1), F.size(captions) + 1) - start), i + 1
-                ),
-            ),
-        )
-
-    keep = [c for c in texts.columns if c not in ("text", "url")]
-    source = texts if "url" in texts.columns else texts.withColumn("url", F.lit(""))
-    cut = source.withColumn("_blocks", let(captions_array(F.col("text")), blocks))
-    plain = with_units(cut).select(*keep, "_blocks", "units")
-    as_blocks = F.transform(
-        "units",
-        lambda u: F.struct(
-            u["unit_no"].alias("unit_no"), u["unit_id"].alias("unit_id"), u["text"].alias("text"),
-            u["url"].alias("url"), F.lit(None).cast("string").alias("time"),
-            F.lit(None).cast("long").alias("seconds"), F.lit(0).alias("n_captions"),
-        ),
-    )
-    return plain.select(
-        *keep, F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(as_blocks).alias("units")
-    )
-
-
-def sampled(units: Column, budget: int) -> Column:
-    """(units, sampled): every unit when they fit, else an even spread over the timeline."""
-    total = F.aggregate(units, F.lit(0).cast("long"), lambda acc, u: acc + F.length(u["text"]))
-    longest = F.array_max(F.transform(units, lambda u: F.length(u["text"])))
-
-    def pick(count: Column) -> Column:
-        spots = F.sort_array(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(0), count - 1),
-                    lambda i: F.bround(i * (F.size(units) - 1) / F.greatest(count - 1, F.lit(1))).cast("int"),
-                )
-            )
-        )
-        chosen = F.transform(spots, lambda at: F.get(units, at))
-        return let(
-            chosen,
-            lambda every: F.transform(
-                take_what_fits(every, lambda u: F.length(u["text"]), budget), lambda at: F.get(every, at)
-            ),
-        )
-
-    count = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(longest, F.lit(1)))).cast("int")
-    whole = (total <= budget) | (F.size(units) == 0)
-    return F.struct(
-        F.when(whole, units).otherwise(let(count, pick)).alias("units"), (~whole).alias("sampled")
-    )
+def caption_parse(lines: DataFrame) -> DataFrame:
+    """One row per caption in lines (video_id, pos, line), numbered from 1 within its video:
+    (video_id, n, time, url, seconds, text)."""
+    parts = lines.select("video_id", "pos", F.posexplode(captions_array(F.col("line"))).alias("_part", "_c"))
+    counted = running(parts.select("video_id", "pos", "_part", "_c.*"), ["video_id"], "pos", ties=["_part"], number="n")
+    return counted.select("video_id", F.col("n").cast("int").alias("n"), "time", "url", "seconds", "text")
+
+
+def caption_blocks(lines: DataFrame, *, seconds: int = P.BLOCK_SECONDS, chars: int = P.BLOCK_CHARS, **options) -> DataFrame:
+    """Captions joined into blocks, one row each; a block closes ``seconds`` after its own
+    start. A video without any caption in its lines has plain source units instead."""
+    captions = caption_parse(lines)
+    packs = packed(captions, ["video_id"], "n", F.length("text"), max_size=chars, at=F.col("seconds"), max_span=seconds,
+                   joiner=1, name="unit_no", **options)
+    first = F.min_by(F.struct("url", "time", "seconds"), "n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda c: c["text"]), " ")
+    blocks = packs.groupBy("video_id", "unit_no").agg(joined.alias("text"), first.alias("_f"), F.count(F.lit(1)).alias("n_captions"))
+    silent = lines.join(captions.select("video_id").distinct(), "video_id", "left_anti")
+    plain = source_units(transcript_text(silent).select("video_id", "text", F.lit("").alias("url")))
+    return blocks.select(
+        "video_id", F.col("unit_no").cast("int").alias("unit_no"), numbered("S", F.col("unit_no")).alias("unit_id"), "text",
+        "_f.*", F.col("n_captions").cast("int").alias("n_captions"),
+    ).select("video_id", "unit_no", "unit_id", "text", "url", "time", "seconds", "n_captions").unionByName(plain.select(
+        "video_id", "unit_no", "unit_id", "text", "url", F.lit(None).cast("string").alias("time"),
+        F.lit(None).cast("long").alias("seconds"), F.lit(0).alias("n_captions")))
 
 
 def timeline_sample(blocks: DataFrame, *, budget: int = P.MODEL_BUDGET) -> DataFrame:
-    keep = [c for c in blocks.columns if c != "units"]
-    cut = blocks.select(*keep, let(F.col("units"), lambda u: sampled(u, budget)).alias("_s"))
-    return cut.select(*keep, "_s.*")
+    """Every block of a video when they fit, else an even spread over its timeline; ``sampled``
+    tells which. As many blocks are taken as fit at the longest one's length, so together they
+    fit too; only a single block can be too long, and is then left out."""
+    totals = blocks.groupBy("video_id").agg(
+        F.sum(F.length("text")).alias("_total"), F.max(F.length("text")).alias("_longest"), F.count(F.lit(1)).alias("_n"))
+    count = F.greatest(F.lit(1), F.expr(f"{budget} div greatest(_longest, 1)"))
+    over = totals.filter(F.col("_total") > budget).withColumn("_count", count)
+    spot = F.bround(F.col("i") * (F.col("_n") - 1) / F.greatest(F.col("_count") - 1, F.lit(1))).cast("int") + 1
+    spots = over.select("video_id", "_n", "_count", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("i")).select(
+        "video_id", spot.alias("unit_no")).distinct()
+    whole = blocks.join(totals.filter(F.col("_total") <= budget).select("video_id"), "video_id").withColumn("sampled", F.lit(False))
+    spread = blocks.filter(F.length("text") <= budget).join(spots, ["video_id", "unit_no"]).withColumn("sampled", F.lit(True))
+    return whole.unionByName(spread)
 
 
 def is_closing_promo(text: Column) -> Column:
@@ -194,25 +147,28 @@ def is_closing_promo(text: Column) -> Column:
 
 
 def closing_promo_trim(blocks: DataFrame) -> DataFrame:
-    """Leave out a short closing call to action; ``promo_trimmed`` tells where."""
-    keep = [c for c in blocks.columns if c != "units"]
-    promo = F.coalesce(is_closing_promo(F.get("units", F.size("units") - 1)["text"]), F.lit(False))
-    return blocks.select(
-        *keep,
-        F.when(promo, F.slice("units", F.lit(1), F.size("units") - 1)).otherwise(F.col("units")).alias("units"),
-        promo.alias("promo_trimmed"),
-    )
+    """Blocks without a short closing call to action."""
+    return blocks.join(closing_promos(blocks).filter("promo").select("video_id", "unit_no"), ["video_id", "unit_no"], "left_anti")
 
 
-def caption_chunks(blocks: DataFrame, *, chars: int = P.CAPTION_CHUNK_CHARS,
-                   seconds: int = P.CAPTION_CHUNK_SECONDS) -> DataFrame:
-    """One row per chunk of blocks: by size, or by time since the chunk's start."""
-    return cut_into_chunks(
-        blocks,
-        lambda units: pack_starts(
-            units, lambda u: F.length(u["text"]), lambda u: F.coalesce(u["seconds"], F.lit(0)), chars, seconds
-        ),
-    )
+def closing_promos(blocks: DataFrame) -> DataFrame:
+    """The last block of each video, (video_id, unit_no), and whether it is a ``promo``."""
+    last = blocks.groupBy("video_id").agg(F.max_by(F.struct("unit_no", "text"), "unit_no").alias("_u"))
+    return last.select("video_id", "_u.unit_no", is_closing_promo(F.col("_u.text")).alias("promo"))
+
+
+def caption_chunks(blocks: DataFrame, *, chars: int = P.CAPTION_CHUNK_CHARS, seconds: int = P.CAPTION_CHUNK_SECONDS,
+                   **options) -> DataFrame:
+    """Blocks, numbered from 1 by ``unit_no``, with the chunk they belong to: a chunk closes by
+    size, or by time since its own start."""
+    return packed(blocks, ["video_id"], "unit_no", F.length("text"), max_size=chars,
+                  at=F.coalesce("seconds", F.lit(0)), max_span=seconds, name="chunk_no", **options)
+
+
+def chunk_units(chunks: DataFrame) -> DataFrame:
+    """One row per chunk, which its own limits keep small, with its blocks as ``units``."""
+    unit = F.struct("unit_no", "unit_id", "text", "url", "time", "seconds", "n_captions")
+    return chunks.groupBy("video_id", F.col("chunk_no").cast("int").alias("chunk_no")).agg(F.sort_array(F.collect_list(unit)).alias("units"))
 
 
 def track_select(tracks: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import captions as K
-from ..operators.segment import explode_units
+from ..session import written
 from . import oracle_views as V
 from .views import caption_tracks, turn_captions
 
+CLOSING = "video_id % 3 = 0"
+
 
 def speech_snippets(spark, folder):
     segments = turn_captions(spark, folder).withColumn("end_s", F.col("start_s") + F.col("duration_s"))
@@ -31,43 +33,37 @@ def transcript_rejects(spark, folder):
 
 
 def caption_parse(spark, folder):
-    return K.caption_parse(transcript_texts(spark, folder))
-
-
-def blocks(spark, folder):
-    return K.with_blocks(transcript_texts(spark, folder).select("video_id", "text"))
+    return K.caption_parse(transcript_lines(spark, folder))
 
 
 def caption_blocks(spark, folder):
-    return explode_units(blocks(spark, folder))
+    return K.caption_blocks(transcript_lines(spark, folder))
 
 
-def timeline_sample(spark, folder):
-    return explode_units(K.timeline_sample(blocks(spark, folder), budget=4000)).select(
-        "video_id", "sampled", "unit_no", "unit_id", "text"
-    )
+def blocks(spark, folder):
+    """Blocks that several steps read."""
+    return written(caption_blocks(spark, folder), "blocks")
 
 
-def _promo_blocks(spark, folder):
-    """Blocks, in some videos followed by a closing call to action."""
-    call = "Please subscribe and like and join, 訂閱 按讚"
-    last = F.col("units")[F.size("units") - 1]
-    closing = last.withField("text", F.lit(call)).withField("unit_id", F.lit("S999"))
-    return blocks(spark, folder).withColumn(
-        "units",
-        F.when(F.col("video_id") % 3 == 0, F.array_append("units", closing)).otherwise(F.col("units")),
-    )
+def timeline_sample(spark, folder):
+    return K.timeline_sample(blocks(spark, folder), budget=4000).select("video_id", "sampled", "unit_no", "unit_id", "text")
 
 
 def closing_promo_trim(spark, folder):
-    return K.closing_promo_trim(_promo_blocks(spark, folder)).select(
-        "video_id", "promo_trimmed", F.size("units").alias("n_units"),
-        F.get("units", F.size("units") - 1)["unit_id"].alias("last_unit"),
-    )
+    """Promotions at the end of videos; some of the given ones get a closing call to action."""
+    cut = blocks(spark, folder)
+    call = "Please subscribe and like and join, 訂閱 按讚"
+    calls = cut.groupBy("video_id").agg((F.max("unit_no") + 1).alias("unit_no")).filter(CLOSING).select(
+        "video_id", "unit_no", F.lit("S999").alias("unit_id"), F.lit(call).alias("text"))
+    every = cut.select("video_id", "unit_no", "unit_id", "text").unionByName(calls)
+    promos = K.closing_promos(every).select("video_id", F.col("promo").alias("promo_trimmed"))
+    last = K.closing_promo_trim(every).groupBy("video_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_units"), F.max_by("unit_id", "unit_no").alias("last_unit"))
+    return promos.join(last, "video_id")
 
 
 def chunks(spark, folder):
-    return K.caption_chunks(blocks(spark, folder))
+    return K.chunk_units(K.caption_chunks(caption_blocks(spark, folder)))
 
 
 def caption_chunks(spark, folder):

@@ -34,40 +34,6 @@ def test_transcript_text_is_cut_at_the_limit(spark):
     assert len(whole["text"]) == 88 and not whole["truncated"]
 
 
-def texts(spark, n, step, body="Claim number %d shows a change with an explanation."):
-    lines = [
-        f"[{i * step // 3600:02d}:{i * step // 60 % 60:02d}:{i * step % 60:02d}]"
-        f"(https://www.youtube.com/watch?v=abcdefghijk&t={i * step}s) {body % i}"
-        for i in range(n)
-    ]
-    return spark.createDataFrame([(1, "\n\n".join(lines))], "video_id long, text string")
-
-
-def test_blocks_measure_time_from_their_own_start(spark):
-    units = K.with_blocks(texts(spark, 10, 20)).first()["units"]
-    assert [u["seconds"] for u in units] == [0, 40, 80, 120, 160]
-    assert all(u["n_captions"] == 2 for u in units)
-
-
-def test_noise_captions_and_fallback(spark):
-    df = spark.createDataFrame(
-        [(1, "[00:00:01](https://www.youtube.com/watch?v=abcdefghijk&t=1s) [Music]\nPlain sentence here.")],
-        "video_id long, text string")
-    units = K.with_blocks(df).first()["units"]
-    assert len(units) == 2 and units[1]["text"] == "Plain sentence here." and units[0]["time"] is None
-
-
-def test_sample_covers_the_end(spark):
-    cut = K.timeline_sample(K.with_blocks(texts(spark, 120, 40)), budget=3000).first()
-    assert cut["sampled"] and cut["units"][-1]["seconds"] == 119 * 40
-    assert sum(len(u["text"]) for u in cut["units"]) <= 3000
-
-
-def test_chunks_by_time_and_size(spark):
-    chunks = K.caption_chunks(K.with_blocks(texts(spark, 12, 40))).orderBy("chunk_no").collect()
-    assert [len(c["units"]) for c in chunks] == [3, 3, 3, 3]
-
-
 def test_context_window_and_decoded_time(spark):
     frames = spark.createDataFrame([(1, "F001", 24, 25.0), (1, "F002", 99, None)],
                                    "video_id long, frame_id string, seconds long, decoded_s double")
