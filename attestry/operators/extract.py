@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.counts import document_frequencies, with_best_units
 from ..functions.fold import let, pack_starts, take_while_fits
 from .segment import explode_units, source_units, tokens_of, with_units
 
 
 def token_df(units: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """Units of a scope that contain each token; partial counts are made map-side."""
+    """Units of a scope of any size that contain each token; partial counts are made map-side."""
     return (
         units.select(scope, F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"))
         .groupBy(scope, "token")
@@ -50,47 +50,16 @@ def unit_scores(units: DataFrame, scope: str, unit: str) -> DataFrame:
     )
 
 
-def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
-    """(doc_id, units, picks): the ``top`` best-scored units as (unit_no, score, rank).
+def document_df(docs: DataFrame, **options) -> DataFrame:
+    """``token_df`` of whole documents, counted in their rows: (doc_id, token, df)."""
+    return document_frequencies(with_units(docs, **options))
 
-    Documents are hashed by id once, before they are taken apart; every later count,
-    sum, rank and join is keyed by the document and reuses that partitioning.
-    """
-    spread = with_units(docs.repartition("doc_id"), **options).select("doc_id", "units")
-    # Documents without units stay in (as a unit without number), so that both sides of
-    # the closing inner join read the very same exchange.
-    tokens = (
-        spread.select("doc_id", F.explode_outer("units").alias("u"))
-        .select("doc_id", F.col("u.unit_no").alias("unit_no"), F.coalesce("u.text", F.lit("")).alias("text"))
-        .select("doc_id", "unit_no", tokens_of(F.col("text")).alias("tokens"), cue(F.col("text")).alias("cue"))
-        .select(
-            "doc_id", "unit_no", F.size("tokens").alias("n_tokens"), "cue",
-            F.explode_outer(F.array_distinct("tokens")).alias("token"),
-        )
-    )
-    # The hash leads the sort, so that rows are told apart by its prefix; the true keys
-    # follow it and keep the count exact.
-    same = W.partitionBy("hash", "doc_id", "token")
-    counted = tokens.withColumn("hash", F.xxhash64("doc_id", "token")).withColumn(
-        "df", F.when(F.col("token").isNotNull(), F.count(F.lit(1)).over(same))
-    )
-    scores = counted.groupBy("doc_id", "unit_no").agg(
-        (
-            F.coalesce(F.sum("df"), F.lit(0)) / F.greatest(F.max("n_tokens"), F.lit(1)) + F.max("cue")
-        ).alias("score")
-    )
-    best = W.partitionBy("doc_id").orderBy(F.desc("score"), "unit_no")
-    chosen = (
-        scores.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= top)
-        .groupBy("doc_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.when(F.col("unit_no").isNotNull(), F.struct("unit_no", "score", "rank")))
-            ).alias("picks")
-        )
-    )
-    return spread.join(chosen, "doc_id")
+
+def with_picks(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
+    """(doc_id, units, picks): the ``top`` best-scored units as (unit_no, score, rank), ties to
+    the earlier, counted in the document's row."""
+    units = with_units(docs, **options).select("doc_id", "units")
+    return with_best_units(units.withColumn("cues", F.transform("units", lambda u: cue(u["text"]))), top)
 
 
 def key_sentences(docs: DataFrame, *, top: int = P.KEY_SENTENCES, **options) -> DataFrame:
@@ -228,6 +197,6 @@ def chunk_pack(docs: DataFrame, *, budget: int = P.MODEL_BUDGET, chunk_chars: in
 
 
 __all__ = [
-    "char_budget", "chunk_pack", "extractive_summary", "fact_clues", "key_sentences",
+    "char_budget", "chunk_pack", "document_df", "extractive_summary", "fact_clues", "key_sentences",
     "source_units", "token_df", "unit_scores",
 ]

@@ -24,7 +24,7 @@ def unit_tokens(spark, folder):
 
 
 def token_df(spark, folder):
-    return X.token_df(S.source_units(plain_documents(spark, folder)))
+    return X.document_df(plain_documents(spark, folder))
 
 
 def key_sentences(spark, folder):
