@@ -53,7 +53,8 @@ FAN = 512
 #: Characters that a worker aligns at once.
 SLICE_CHARS = 1 << 20
 #: Links of known words at which a task starts afresh: some hundred bytes each.
-REMEMBER = 1_000_000
+REMEMBER = 2_000_000
+COMMA, BAR, SEMICOLON = b",|;"
 #: A space beside other white space, or at the end.
 ODD = re.compile(r"\s | (?:\s|\Z)")
 
@@ -127,6 +128,10 @@ class Aligner:
         self.left, self.right = BytePairs(left), Pieces(right)
         self.width = [np.array([len(b) for b in side.bytes], np.int64) for side in (self.left, self.right)]
         self.right_size = len(self.right.bytes)
+        most = max(map(len, self.width))
+        self.digits = np.zeros((most, len(str(most))), np.uint8)
+        for n in range(most):
+            self.digits[n, : len(str(n))] = list(b"%d" % n)
         self.forget()
 
     def forget(self) -> None:
@@ -155,16 +160,31 @@ class Aligner:
             there[other] = True
             cuts.append(np.flatnonzero(there[mine]))
         edges = np.searchsorted(cuts[0], np.concatenate([[0], np.cumsum(counts[0])]))
-        groups, begin = [], [0, 0]
-        for a, b in zip((cuts[0] + 1).tolist(), (cuts[1] + 1).tolist(), strict=True):
-            groups.append(b"%s|%s" % tuple(",".join(map(str, x[s:e].tolist())).encode() for x, s, e in zip(flat, begin, (a, b))))
-            begin = [a, b]
         self.number.update(zip(words, count(len(self.number))))
         self.sizes = np.concatenate([self.sizes, [*counts, np.diff(edges)]], axis=1)
         self.fits = np.append(self.fits, fits)
         self.first = np.append(self.first, self.first[-1] + edges[1:])
         self.pairs = np.append(self.pairs, (flat[0][cuts[0]] * self.right_size + flat[1][cuts[1]]).astype(np.uint64))
-        self.shown += [b";".join(groups[s:e]) for s, e in zip(edges.tolist(), edges[1:].tolist())]
+        self.shown += self.groups(flat, cuts, counts)
+
+    def groups(self, flat: list[np.ndarray], cuts: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
+        """``a1,a2|b1;a3|b2`` of every word."""
+        marks, places = [], []
+        for side, other in ((0, 1), (1, 0)):
+            last = np.zeros(len(flat[side]), np.int64)
+            last[cuts[side]] = 1
+            # Tokens of the other side up to the group before this one (A), or up to this one (B).
+            groups = np.cumsum(last) - last + side
+            places.append(np.arange(len(last)) + np.concatenate([[0], cuts[other] + 1])[groups])
+            marks.append(np.where(last == 1, BAR if side == 0 else SEMICOLON, COMMA))
+        shown = np.empty((len(flat[0]) + len(flat[1]), self.digits.shape[1] + 1), np.uint8)
+        for ids, mark, place in zip(flat, marks, places, strict=True):
+            shown[place, :-1] = self.digits[ids]
+            shown[place, -1] = mark
+        solid = shown != 0
+        data = shown[solid].tobytes()
+        upto = np.concatenate([[0], np.cumsum(solid.sum(axis=1))])[np.concatenate([[0], np.cumsum(counts[0] + counts[1])])]
+        return [data[s : e - 1] if e > s else b"" for s, e in zip(upto.tolist(), upto[1:].tolist())]
 
     def slices(self, texts: list[str | None]) -> Iterator[Alignment]:
         """The alignment of runs of texts."""
