@@ -18,43 +18,63 @@ def frame_time(df: DataFrame) -> DataFrame:
     return df.withColumn("at_s", F.coalesce(F.col("decoded_s"), F.col("seconds").cast("double")))
 
 
-def distinct_enough(captions: DataFrame, most: int) -> DataFrame:
-    """Captions of one interval tie on distance, so only the first ``most`` of them can be
-    among a frame's nearest. Exact, and cut map-side before the copies are shuffled."""
-    same = W.partitionBy("video_id", "start_s", "duration_s").orderBy("pos")
-    return captions.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= most).drop("_copy")
+def dyadic_nodes(low: Column, high: Column) -> Column:
+    """The buckets from ``low`` up to, not including, ``high`` as few whole nodes: array of
+    (level, node), a node of level k being 2^k buckets. There are two of a level at most."""
+    def of_level(k: Column) -> Column:
+        left = -F.call_function("shiftright", -low, k)
+        right = F.call_function("shiftright", high, k)
+        ends = F.array(F.when((left < right) & (left % 2 != 0), left), F.when((left < right) & (right % 2 != 0), right - 1))
+        return F.transform(F.array_compact(ends), lambda node: F.struct(k.alias("level"), node.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), _level(high - low)), of_level))
+
+
+def _level(buckets: Column) -> Column:
+    """The largest level of a node within so many buckets."""
+    return F.length(F.bin(buckets)) - 1
 
 
 def caption_context_join(frames: DataFrame, captions: DataFrame, *, window: float = P.CONTEXT_SECONDS,
                          nearest: int = P.CONTEXT_CAPTIONS, bucket: float = BUCKET_SECONDS) -> DataFrame:
     """Per frame the ``nearest`` captions within ``window`` seconds of their interval.
 
-    Equi-join on (video, time bucket), so a long video spreads over its buckets; a
-    caption is copied to the buckets its widened interval touches, a frame to none.
+    A dyadic interval index, so that a video spreads over its time and a caption of any
+    length makes few rows: it is copied to the buckets that its widened ends touch (level
+    -1), and what lies between them is cut into nodes of 2^k buckets. A frame asks its own
+    bucket, and once each level that its video has. Within a node all captions are at
+    distance 0 and only the first can be among the nearest, as of captions of one interval.
     """
     clean = captions.select(
         "video_id", "pos", "start_s",
         F.greatest(F.coalesce("duration_s", F.lit(0.0)), F.lit(0.0)).alias("duration_s"),
         F.trim(F.regexp_replace("text", r"[\r\n]", " ")).alias("text"),
-    ).filter("text <> ''")
-    spans = distinct_enough(clean, nearest).withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("start_s") - window) / bucket),
-                F.floor((F.col("start_s") + F.col("duration_s") + window) / bucket),
-            )
-        ),
-    )
-    points = frame_time(frames).withColumn("_bucket", F.floor(F.col("at_s") / bucket))
+    ).filter("text <> '' and start_s is not null")
+    place = lambda second: F.floor(second / bucket).cast("long")
+    start, end = F.col("start_s"), F.col("start_s") + F.col("duration_s")
+    placed = clean.withColumns({"_s": place(start), "_e": place(end), "_lo": place(start - window), "_hi": place(end + window)})
+    inside = F.col("_e") - F.col("_s") - 1
+    edge = lambda low, high: F.transform(F.sequence(low, high), lambda at: F.struct(F.lit(-1).alias("level"), at.alias("node")))
+    nodes = F.when(inside > 0, F.concat(
+        edge(F.col("_lo"), F.col("_s")), edge(F.col("_e"), F.col("_hi")), dyadic_nodes(F.col("_s") + 1, F.col("_e")),
+    )).otherwise(edge(F.col("_lo"), F.col("_hi")))
+    spans = placed.select("video_id", "pos", "start_s", "duration_s", "text", F.explode(nodes).alias("_n")).select("*", "_n.level", "_n.node").drop("_n")
+    alike = F.when(F.col("level") < 0, F.struct("start_s", "duration_s"))
+    first = W.partitionBy("video_id", "level", "node", alike).orderBy("pos")
+    spans = spans.withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= nearest).drop("_copy")
+
+    levels = placed.filter(inside > 0).groupBy("video_id").agg(F.max(_level(inside)).alias("_most"))
+    points = frame_time(frames).select("video_id", "frame_id", "at_s").join(levels, "video_id", "left")
+    points = points.withColumn("level", F.explode(F.sequence(F.lit(-1), F.coalesce("_most", F.lit(-1))))).withColumn(
+        "node", F.call_function("shiftright", place(F.col("at_s")), F.greatest(F.col("level"), F.lit(0))))
     distance = F.greatest(
         F.col("start_s") - F.col("at_s"),
         F.col("at_s") - F.col("start_s") - F.col("duration_s"),
         F.lit(0.0),
     )
     pairs = (
-        points.select("video_id", "frame_id", "at_s", "_bucket")
-        .join(spans, ["video_id", "_bucket"])
+        points.select("video_id", "frame_id", "at_s", "level", "node")
+        .join(spans, ["video_id", "level", "node"])
         .withColumn("distance", distance)
         .filter(F.col("distance") <= window)
     )
