@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.normalize import longest_common_text, normalize, similarity
+from ..functions.shared_text import shared_text
 from ..functions.text import hits
 
 BUCKET_SECONDS = 60
@@ -87,60 +88,34 @@ def caption_context_join(frames: DataFrame, captions: DataFrame, *, window: floa
     )
 
 
-def useful_overlap(shared: Column) -> Column:
-    return (F.length(shared) >= 4) | ((F.length(shared) >= 2) & shared.rlike(r"(?U)\d"))
-
-
-def first_lines(ocr: DataFrame, most: int | None = None) -> DataFrame:
-    """The OCR lines a frame keeps: all, or its first ``most``."""
-    if most is None:
-        return ocr
-    order = W.partitionBy("video_id", "frame_id").orderBy("ocr_pos")
-    return ocr.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
-
-
 def ocr_pairs(context: DataFrame, ocr: DataFrame) -> DataFrame:
     """Every OCR line of a frame with each of its captions (at most ten), and the
     text they share."""
-    lines = first_lines(ocr).select("video_id", "frame_id", "ocr_pos", F.col("text").alias("ocr"))
+    lines = ocr.select("video_id", "frame_id", "ocr_pos", F.col("text").alias("ocr"))
     return context.join(lines, ["video_id", "frame_id"]).withColumn(
         "shared", longest_common_text(F.col("ocr"), F.col("caption"))
     )
 
 
-def overlap_match(frames: DataFrame, context: DataFrame, ocr: DataFrame) -> DataFrame:
+def overlap_match(frames: DataFrame, context: DataFrame, lines: str = "lines") -> DataFrame:
     """Best (OCR line, caption) per frame; else the nearest caption as temporal only.
 
-    Frames with neither are not candidates.
+    ``lines`` is the frame's array of lines, so its text is matched in its own row. Frames
+    with neither a match nor a caption are not candidates.
     """
-    best = (
-        ocr_pairs(context, ocr)
-        .filter(useful_overlap(F.col("shared")))
-        .groupBy("video_id", "frame_id")
-        .agg(
-            F.max_by(
-                F.struct("shared", "ocr", "caption", F.col("start_s").alias("caption_s")),
-                F.struct(F.length("shared"), -F.col("ocr_pos"), -F.col("rank")),
-            ).alias("m")
-        )
-    )
-    nearest = context.filter("rank = 1").select(
-        "video_id", "frame_id", F.col("caption").alias("near"), F.col("start_s").alias("near_s")
-    )
-    whole = first_lines(ocr).groupBy("video_id", "frame_id").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("ocr_pos", "text"))), lambda o: o["text"]), " "
-        ).alias("ocr_text")
-    )
     key = ["video_id", "frame_id"]
-    joined = frames.select(*key).join(best, key, "left").join(nearest, key, "left").join(whole, key, "left")
+    captions = context.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "caption", F.col("start_s").alias("caption_s")))).alias("_captions"))
+    joined = frames.select(*key, F.col(lines).alias("_lines")).join(captions, key)
+    matched = joined.withColumn("m", shared_text(F.col("_lines"), F.transform("_captions", lambda c: c["caption"])))
     found = F.col("m").isNotNull()
-    return joined.filter(found | F.col("near").isNotNull()).select(
+    caption = F.get("_captions", F.coalesce("m.text", F.lit(0)))
+    return matched.select(
         *key,
         F.when(found, F.col("m.shared")).otherwise("").alias("shared"),
-        F.when(found, F.col("m.ocr")).otherwise(F.coalesce("ocr_text", F.lit(""))).alias("ocr"),
-        F.when(found, F.col("m.caption")).otherwise(F.col("near")).alias("caption"),
-        F.when(found, F.col("m.caption_s")).otherwise(F.col("near_s")).alias("caption_s"),
+        F.when(found, F.get("_lines", F.col("m.line"))).otherwise(F.coalesce(F.array_join("_lines", " "), F.lit(""))).alias("ocr"),
+        caption["caption"].alias("caption"),
+        caption["caption_s"].alias("caption_s"),
         F.when(found, "text-overlap").otherwise("temporal-only").alias("association"),
     )
 

@@ -53,8 +53,8 @@ def text_normalize(spark, folder):
 
 
 def matched(spark, folder):
-    frames = turn_frames(spark, folder)
-    return A.overlap_match(frames, context(spark, folder), frame_ocr_lines(frames))
+    frames = turn_frames(spark, folder).withColumn("lines", F.filter(F.split("ocr", "\n"), lambda line: line != ""))
+    return A.overlap_match(frames, context(spark, folder))
 
 
 def overlap_match(spark, folder):

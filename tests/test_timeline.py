@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from attestry.functions.normalize import common_text, fold_text, normalize, normalizer
+from attestry.functions.shared_text import best_shared
 from attestry.operators import align as A
 from attestry.operators import captions as K
 from attestry.operators import evidence as E
@@ -81,13 +82,27 @@ def test_folding(spark):
 
 
 def test_overlap_needs_four_characters_or_a_digit(spark):
-    frames = spark.createDataFrame([(1, "F1", 1, None), (1, "F2", 1, None), (2, "F1", 1, None)],
-                                   "video_id long, frame_id string, seconds long, decoded_s double")
+    frames = spark.createDataFrame([(1, "F1", 1, None, ["x", "42"]), (1, "F2", 1, None, ["zzz", "y"]), (1, "F3", 1, None, None), (2, "F1", 1, None, ["42"])],
+                                   "video_id long, frame_id string, seconds long, decoded_s double, lines array<string>")
     captions = spark.createDataFrame([(1, 0, "c", 1.0, 1.0, "total 42 items")], SNIPPET)
-    ocr = spark.createDataFrame([(1, "F1", 0, "42"), (1, "F2", 0, "zzz")], "video_id long, frame_id string, ocr_pos int, text string")
-    got = {r["frame_id"]: (r["shared"], r["association"]) for r in
-           A.overlap_match(frames, A.caption_context_join(frames, captions), ocr).collect()}
-    assert got == {"F1": ("42", "text-overlap"), "F2": ("", "temporal-only")}
+    got = {(r["video_id"], r["frame_id"]): (r["shared"], r["ocr"], r["association"]) for r in
+           A.overlap_match(frames, A.caption_context_join(frames, captions)).collect()}
+    assert got == {(1, "F1"): ("42", "42", "text-overlap"), (1, "F2"): ("", "zzz y", "temporal-only"), (1, "F3"): ("", "", "temporal-only")}
+
+
+def test_best_shared_text_equals_all_pairs():
+    rng = random.Random(12)
+    for letters in ("ab", "abc1", "abcdefgh12"):
+        for _ in range(400):
+            lines, captions = (["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 9, 25]))) for _ in range(rng.randint(0, 5))] for _ in range(2))
+            pairs = [(common_text(a, b), n, m) for n, a in enumerate(lines) for m, b in enumerate(captions)]
+            useful = [p for p in pairs if len(p[0]) >= 4 or (len(p[0]) >= 2 and re.search(r"\d", p[0]))]
+            assert best_shared(lines, captions) == max(useful, key=lambda p: (len(p[0]), -p[1], -p[2]), default=None)
+
+
+def test_shared_text_of_long_texts_is_linear():
+    repeated = best_shared(["ab" * 20_000, "x" * 20_000], ["b" + "ab" * 15_000, "x" * 9_000])
+    assert repeated == ("b" + "ab" * 15_000, 0, 0)
 
 
 def test_novelty_equals_brute_force(spark):
