@@ -34,8 +34,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -135,16 +136,17 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        #: By word: tokens of A and of B, links, whether the bytes agree.
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.row = np.zeros(0, np.int64)  # by number
+        #: By row: tokens of A and of B, links, whether the bytes agree.
         self.sizes = np.zeros((3, 0), np.int64)
         self.fits = np.zeros(0, bool)
         self.first = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.uint64)
         self.shown: list[bytes] = []
 
-    def learn(self, words: list[str]) -> None:
-        """Align new words and put them behind the known ones."""
+    def one_by_one(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of either side of all words, their numbers by word, and which words fit."""
         spaced = [" " + w for w in words]
         ids = self.left.encode(spaced), self.right.encode(words)
         fits = np.array([
@@ -152,7 +154,39 @@ class Aligner:
             for w, a, b in zip(spaced, *ids, strict=True)], bool)
         ids = tuple([x if ok else [] for x, ok in zip(side, fits.tolist(), strict=True)] for side in ids)
         counts = [np.fromiter(map(len, side), np.int64, len(side)) for side in ids]
-        flat = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, counts, strict=True)]
+        return [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, counts, strict=True)], counts, fits
+
+    def at_once(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray] | None:
+        """The same, A's from one text of all words; None where that cannot be taken apart again."""
+        joined = " " + " ".join(words)
+        data = joined.encode()
+        ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
+        left, right = self.left.encode([joined])[0], self.right.encode(words)
+        sizes = np.fromiter(map(len, right), np.int64, len(right))
+        flat = [np.array(left, np.int64), np.fromiter(chain.from_iterable(right), np.int64, int(sizes.sum()))]
+        counts = []
+        for side, width, ids in zip((self.left, self.right), self.width, flat, strict=True):
+            upto = np.cumsum(width[ids])
+            last = np.searchsorted(upto, ends)
+            if upto[-1] != len(data) or not np.array_equal(upto[last], ends) or b"".join(map(side.bytes.__getitem__, ids.tolist())) != data:
+                return None
+            counts.append(np.diff(np.append(-1, last)))
+        return (flat, counts, np.ones(len(words), bool)) if np.array_equal(counts[1], sizes) else None
+
+    def learn(self, words: list[str], odd: set[str]) -> None:
+        """Align new words, among them odd texts as one word each."""
+        alone = np.array([w in odd or w[-1].isspace() or "▁" in w for w in words], bool)
+        plain = [w for w, one in zip(words, alone.tolist(), strict=True) if not one]
+        found = [self.at_once(plain)] if plain else []
+        if found and found[0] is None:
+            found, alone = [], np.ones(len(words), bool)
+        if alone.any():
+            found.append(self.one_by_one([w for w, one in zip(words, alone.tolist(), strict=True) if one]))
+        rows = np.empty(len(words), np.int64)
+        rows[np.argsort(alone, kind="stable")] = np.arange(len(words))
+        self.row = np.append(self.row, len(self.shown) + rows)
+        flat, counts = ([np.concatenate([f[part][side] for f in found]) for side in (0, 1)] for part in (0, 1))
+        fits = np.concatenate([f[2] for f in found])
         ends = [np.cumsum(width[x]) for width, x in zip(self.width, flat, strict=True)]
         cuts = []
         for mine, other in (ends, ends[::-1]):
@@ -160,7 +194,6 @@ class Aligner:
             there[other] = True
             cuts.append(np.flatnonzero(there[mine]))
         edges = np.searchsorted(cuts[0], np.concatenate([[0], np.cumsum(counts[0])]))
-        self.number.update(zip(words, count(len(self.number))))
         self.sizes = np.concatenate([self.sizes, [*counts, np.diff(edges)]], axis=1)
         self.fits = np.append(self.fits, fits)
         self.first = np.append(self.first, self.first[-1] + edges[1:])
@@ -205,12 +238,13 @@ class Alignment:
         self.by = by
         whole = [not by.right.apart or ODD.search(" " + t) is not None for t in texts if t]
         words = [[t] if one else t.split(" ") for t, one in zip(filter(None, texts), whole, strict=True)]
-        new = list(set(chain.from_iterable(words)) - by.number.keys())
-        if new:
-            by.learn(new)
         sizes = np.zeros(len(texts), np.int64)
         sizes[[k for k, t in enumerate(texts) if t]] = list(map(len, words))
-        self.words = np.fromiter(map(by.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        numbers = np.fromiter(map(by.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        new = len(by.number) - len(by.row)
+        if new:
+            by.learn(list(islice(reversed(by.number), new))[::-1], {w[0] for w, one in zip(words, whole, strict=True) if one})
+        self.words = by.row[numbers]
         self.edges = np.concatenate([[0], np.cumsum(sizes)])
         misfits = self.sums(~by.fits)
         if misfits.any():  # such a text has no tokens at all
