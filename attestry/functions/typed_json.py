@@ -11,21 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fold import let
+
 #: JSON type names of the leaf types.
 _LEAVES = {"string": "STRING", "boolean": "BOOLEAN", "bigint": "BIGINT"}
 
 
-def _read(value: Column, kind: T.DataType) -> Column:
-    found = F.schema_of_variant(value)
+def _read(value: Column, kind: T.DataType, path: str = "$") -> Column:
+    """What ``value`` has at ``path``, by type. An object is bound once for all its fields."""
     if isinstance(kind, T.StructType):
-        fields = [
-            _read(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in kind.fields
-        ]
-        return F.when(F.startswith(found, F.lit("OBJECT")), F.struct(*fields))
+        def fields(held: Column) -> Column:
+            read = [_read(held, f.dataType, f"$.{f.name}").alias(f.name) for f in kind.fields]
+            return F.when(F.startswith(F.schema_of_variant(held), F.lit("OBJECT")), F.struct(*read))
+
+        return let(value if path == "$" else F.try_variant_get(value, path, "variant"), fields)
     if isinstance(kind, T.ArrayType):
-        return F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda item: _read(item, kind.elementType))
+        return F.transform(F.try_variant_get(value, path, "array<variant>"), lambda item: _read(item, kind.elementType))
     name = kind.simpleString()
-    return F.when(found == _LEAVES[name], F.try_variant_get(value, "$", name))
+    found = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.when(found == _LEAVES[name], F.try_variant_get(value, path, name))
 
 
 def typed_json(text: Column, schema: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.fold import let
 from ..functions.text import is_blank, numbered, strip
 from ..functions.typed_json import typed_json
 from ..session import written
@@ -120,21 +121,19 @@ def comparison_validate(answers: DataFrame, units: DataFrame, *, group: str = "s
 
     One bad item rejects the whole answer.
     """
-    parsed = answers.select("answer_id", group, typed_json(F.col("answer"), ANSWER_SCHEMA).alias("a")).select(
-        "answer_id", group, *[F.col(f"a.{s}").alias(s) for s in SECTIONS]
-    )
-    shape = F.coalesce(*[
-        F.when(F.col(s).isNull() | (F.size(s) > 5), F.struct(
-            F.lit(i).alias("section"), F.lit(-1).alias("item"), F.lit("bad section").alias("rule")))
-        for i, s in enumerate(SECTIONS)
-    ])
-    listed = parsed.select("answer_id", group, *[
-        F.when(F.size(s) <= 5, F.col(s)).alias(s) for s in SECTIONS
-    ])
+    def judged(answer: Column) -> Column:
+        shape = F.coalesce(*[
+            F.when(answer[s].isNull() | (F.size(answer[s]) > 5), F.struct(
+                F.lit(i).alias("section"), F.lit(-1).alias("item"), F.lit("bad section").alias("rule")))
+            for i, s in enumerate(SECTIONS)
+        ], F.when(answer.isNull(), F.struct(F.lit(0).alias("section"), F.lit(-1).alias("item"), F.lit("bad section").alias("rule"))))
+        return F.struct(shape.alias("_shape"), *[F.when(F.size(answer[s]) <= 5, answer[s]).alias(s) for s in SECTIONS])
+
+    # Every answer has a row of each section, which carries the answer's shape along.
+    listed = answers.select("answer_id", group, let(typed_json(F.col("answer"), ANSWER_SCHEMA), judged).alias("a")).select("answer_id", group, "a.*")
     items = (
-        _cited(listed, ["answer_id"], group, units)
-        .filter(F.col("item").isNotNull())
-        .groupBy("answer_id", "section", "item")
+        _cited(listed, ["answer_id", "_shape"], group, units)
+        .groupBy("answer_id", group, "_shape", "section", "item")
         .agg(
             F.max("text").alias("text"),
             F.count("ref").alias("refs"),
@@ -143,19 +142,18 @@ def comparison_validate(answers: DataFrame, units: DataFrame, *, group: str = "s
         )
     )
     rule = (
-        F.when(F.col("text").isNull() | (F.length(strip(F.col("text"))) < 8) | (F.length("text") > 400), "bad text")
+        F.when(F.col("item").isNull(), None)
+        .when(F.col("text").isNull() | (F.length(strip(F.col("text"))) < 8) | (F.length("text") > 400), "bad text")
         .when((F.col("refs") == 0) | (F.col("unknown") > 0), "unknown source")
         .when((F.col("section") < 2) & (F.col("documents") < 2), "needs two documents")
     )
-    broken = (
+    broken = F.when(F.col("rule").isNotNull(), F.struct("section", "item", "rule"))
+    first = F.array_min(F.array_compact(F.array("_shape", "_broken")))
+    return (
         items.withColumn("rule", rule)
-        .filter(F.col("rule").isNotNull())
-        .groupBy("answer_id")
-        .agg(F.min(F.struct("section", "item", "rule")).alias("broken"))
-    )
-    first = F.array_min(F.array_compact(F.array(shape, F.col("broken"))))
-    return parsed.join(broken, "answer_id", "left").select(
-        "answer_id", group, first.isNull().alias("accepted"), first["rule"].alias("rule")
+        .groupBy("answer_id", group, "_shape")
+        .agg(F.min(broken).alias("_broken"))
+        .select("answer_id", group, first.isNull().alias("accepted"), first["rule"].alias("rule"))
     )
 
 

@@ -25,34 +25,35 @@ def reply_decode(replies: DataFrame, *, vision: bool = False) -> DataFrame:
 
     A text reply must have ended normally; a vision reply is taken as it is.
     """
-    rows = replies.withColumn("_e", typed_json(F.col("raw"), ENVELOPE_SCHEMA))
-    choice = F.get("_e.choices", F.lit(0))
-    candidate = F.get("_e.candidates", F.lit(0))
-    spoken = F.array_join(
-        F.transform(
-            F.filter(candidate["content"]["parts"], lambda p: ~F.coalesce(p["thought"], F.lit(False))),
-            lambda p: F.coalesce(p["text"], F.lit("")),
-        ),
-        "",
-    )
     provider = F.col("provider")
-    answer = (
-        F.when(provider == "ollama", F.col("_e.message.content"))
-        .when(provider == "openai", choice["message"]["content"])
-        .when(provider == "gemini", spoken)
-    )
-    ended = F.lit(True) if vision else (
-        F.when(provider == "ollama", F.coalesce(F.col("_e.done_reason"), F.lit("")) != "length")
-        .when(provider == "openai", (F.coalesce(choice["finish_reason"], F.lit("")) == "stop")
-              & (F.coalesce(choice["message"]["refusal"], F.lit("")) == ""))
-        .otherwise(F.coalesce(candidate["finishReason"], F.lit("")) == "STOP")
-    )
-    reason = F.when(~ended, "not finished").when(answer.isNull(), "no answer")
-    return (
-        rows.withColumn("reject_reason", reason)
-        .withColumn("answer", F.when(F.col("reject_reason").isNull(), answer))
-        .drop("_e")
-    )
+
+    def judged(reply: Column) -> Column:
+        choice, candidate = F.get(reply["choices"], F.lit(0)), F.get(reply["candidates"], F.lit(0))
+        spoken = F.array_join(
+            F.transform(
+                F.filter(candidate["content"]["parts"], lambda p: ~F.coalesce(p["thought"], F.lit(False))),
+                lambda p: F.coalesce(p["text"], F.lit("")),
+            ),
+            "",
+        )
+        answer = (
+            F.when(provider == "ollama", reply["message"]["content"])
+            .when(provider == "openai", choice["message"]["content"])
+            .when(provider == "gemini", spoken)
+        )
+        ended = F.lit(True) if vision else (
+            F.when(provider == "ollama", F.coalesce(reply["done_reason"], F.lit("")) != "length")
+            .when(provider == "openai", (F.coalesce(choice["finish_reason"], F.lit("")) == "stop")
+                  & (F.coalesce(choice["message"]["refusal"], F.lit("")) == ""))
+            .otherwise(F.coalesce(candidate["finishReason"], F.lit("")) == "STOP")
+        )
+        return let(
+            F.struct(answer.alias("answer"), F.when(~ended, "not finished").when(answer.isNull(), "no answer").alias("reason")),
+            lambda r: F.struct(r["reason"].alias("reject_reason"), F.when(r["reason"].isNull(), r["answer"]).alias("answer")),
+        )
+
+    kept = [c for c in replies.columns if c not in ("reject_reason", "answer")]
+    return replies.select(*kept, let(typed_json(F.col("raw"), ENVELOPE_SCHEMA), judged).alias("_r")).select(*kept, "_r.*")
 
 
 def _bad_item(item: Column, allowed: Column) -> Column:
@@ -65,19 +66,18 @@ def _bad_item(item: Column, allowed: Column) -> Column:
 
 def summary_reply_check(replies: DataFrame) -> DataFrame:
     """(answer JSON, allowed ids) → first broken rule of a chunk summary, if any."""
-    rows = replies.withColumn("_a", typed_json(F.col("answer"), SUMMARY_SCHEMA))
-    a = F.col("_a")
-    items = F.concat(F.array(a["overview"]), a["points"], a["facts"])
-    reasons = let(
-        F.col("allowed"), lambda allowed: F.array_compact(F.transform(items, lambda i: _bad_item(i, allowed)))
-    )
-    shape = a.isNull() | a["points"].isNull() | a["facts"].isNull() | a["uncertainties"].isNull()
-    reason = (
-        F.when(F.coalesce(shape, F.lit(True)), "bad shape")
-        .when(F.size(reasons) > 0, F.get(reasons, F.lit(0)))
-        .when(~F.size(a["points"]).between(1, 6) | (F.size(a["facts"]) > 4), "bad item count")
-    )
-    return rows.withColumn("reject_reason", reason).drop("_a")
+    def judged(a: Column, allowed: Column) -> Column:
+        items = F.concat(F.array(a["overview"]), a["points"], a["facts"])
+        shape = a.isNull() | a["points"].isNull() | a["facts"].isNull() | a["uncertainties"].isNull()
+        return let(
+            F.array_compact(F.transform(items, lambda i: _bad_item(i, allowed))),
+            lambda reasons: F.when(F.coalesce(shape, F.lit(True)), "bad shape")
+            .when(F.size(reasons) > 0, F.get(reasons, F.lit(0)))
+            .when(~F.size(a["points"]).between(1, 6) | (F.size(a["facts"]) > 4), "bad item count"),
+        )
+
+    parsed = typed_json(F.col("answer"), SUMMARY_SCHEMA)
+    return replies.withColumn("reject_reason", let(parsed, lambda a: let(F.col("allowed"), lambda allowed: judged(a, allowed))))
 
 
 def _rendered(item: Column) -> Column:
@@ -87,20 +87,18 @@ def _rendered(item: Column) -> Column:
 
 def summary_render(replies: DataFrame) -> DataFrame:
     """Accepted chunk summaries as text, with source marks after every statement."""
-    a = typed_json(F.col("answer"), SUMMARY_SCHEMA)
     bullets = lambda items: F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), _rendered(i))), "\n")
-    rows = replies.withColumn("_a", a)
-    a = F.col("_a")
-    return rows.withColumn(
-        "draft",
-        F.concat(
+
+    def draft(a: Column) -> Column:
+        return F.concat(
             F.lit("## 一句話摘要\n\n"), _rendered(a["overview"]),
             F.lit("\n\n## 重點\n\n"), bullets(a["points"]),
             F.lit("\n\n## 重要數字／日期／條件\n\n"),
             F.when(F.size(a["facts"]) > 0, bullets(a["facts"])).otherwise("未提供"),
             F.lit("\n\n## 待確認事項\n\n"), a["uncertainties"],
-        ),
-    ).drop("_a")
+        )
+
+    return replies.withColumn("draft", let(typed_json(F.col("answer"), SUMMARY_SCHEMA), draft))
 
 
 def cited_ids(text: Column) -> Column:

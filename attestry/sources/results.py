@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.fold import let
 from ..functions.text import is_blank
 from ..operators.runs import guard_columns
 
@@ -80,24 +81,29 @@ def results_load(spark: SparkSession, path: str, *, array: bool = False) -> tupl
         )
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
     kind = lambda v, at="$": F.schema_of_variant(F.try_variant_get(v, at, "variant"))
-    converted = F.lit(False)
-    for name in _TEXT:
-        converted = converted | ~F.coalesce(kind("_v", f"$.{name}"), F.lit("VOID")).isin("STRING", "VOID")
-    facts = F.coalesce(F.try_variant_get("_v", "$.facts", "array<variant>"), F.array())
-    rows = records.select(
-        parsed.alias("_r"), converted.alias("_converted"),
-        F.exists(facts, lambda x: ~F.coalesce(kind(x), F.lit("VOID")).isin("STRING")).alias("_odd"),
-    ).select("_r.*", "_converted", "_odd")
-    files = _bad_file(F.coalesce("file", F.lit("")))
-    for name in ("summary_file", "sources_file"):
-        files = files | _bad_file(F.coalesce(name, F.lit("")))
-    reason = (
-        F.when(F.col(_BROKEN).isNotNull() | F.col("_converted"), "bad field type")
-        .when(F.col("url").isNull() | F.col("success").isNull(), "missing url or success")
-        .when(files, "bad file name")
-        .when(F.col("_odd"), "bad facts")
-    )
-    judged = rows.withColumn("reason", reason).drop("_converted", "_odd")
-    valid = as_results(judged.filter(F.col("reason").isNull()).drop(_BROKEN, "reason"))
+
+    def checks(v: Column) -> Column:
+        converted = F.lit(False)
+        for name in _TEXT:
+            converted = converted | ~F.coalesce(kind(v, f"$.{name}"), F.lit("VOID")).isin("STRING", "VOID")
+        facts = F.coalesce(F.try_variant_get(v, "$.facts", "array<variant>"), F.array())
+        odd = F.exists(facts, lambda x: ~F.coalesce(kind(x), F.lit("VOID")).isin("STRING"))
+        return F.struct(converted.alias("_converted"), odd.alias("_odd"))
+
+    def judged(row: Column, found: Column) -> Column:
+        files = F.lit(False)
+        for name in ("file", "summary_file", "sources_file"):
+            files = files | _bad_file(F.coalesce(row[name], F.lit("")))
+        reason = (
+            F.when(row[_BROKEN].isNotNull() | found["_converted"], "bad field type")
+            .when(row["url"].isNull() | row["success"].isNull(), "missing url or success")
+            .when(files, "bad file name")
+            .when(found["_odd"], "bad facts")
+        )
+        return F.struct(row.alias("row"), reason.alias("reason"))
+
+    rows = records.select(let(parsed, lambda r: let(let(F.col("_v"), checks), lambda k: judged(r, k))).alias("_r"))
+    rows_with_reason = rows.select("_r.row.*", "_r.reason")
+    valid = as_results(rows_with_reason.filter(F.col("reason").isNull()).drop(_BROKEN, "reason"))
     texts = {c: F.coalesce(c, F.lit("")) for c in _TEXT}
-    return valid.withColumns(texts), judged.filter(F.col("reason").isNotNull())
+    return valid.withColumns(texts), rows_with_reason.filter(F.col("reason").isNotNull())

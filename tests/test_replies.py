@@ -162,3 +162,12 @@ def test_replies_to_unknown_chunks_are_rejected_not_lost(spark):
     assert [r["reject_reason"] for r in N.note_validate(other, cut).collect()] == ["unknown chunk"]
     quote = spark.createDataFrame([(1, 7, 1, "eyes")], "video_id long, chunk_no int, note_no int, evidence string")
     assert [r["refs"] for r in N.quote_locate(quote, cut).collect()] == [[]]
+
+
+def test_a_reply_is_parsed_once_in_each_branch(spark):
+    """Parsing is bound, not repeated for every field that is read."""
+    raw = spark.range(3).selectExpr("id as doc_id", "'openai' as provider", "cast(id as string) as raw", "array('S001') as allowed")
+    answers = raw.withColumnRenamed("raw", "answer")
+    for frame in (R.reply_decode(raw), R.summary_reply_check(answers), R.summary_render(answers)):
+        frame = frame.withColumn("n", F.rand())  # keeps the plan from being evaluated ahead
+        assert frame._jdf.queryExecution().analyzed().toString().count("try_parse_json") <= 1
