@@ -109,6 +109,8 @@ MODE_EXTRACT = "基本摘錄"
 LABEL_FAILED = "失敗"
 LABEL_RUNNING = "整理中"
 LABEL_DONE = "完成"
+PARTS_HEAD = "## 各段重點（保留全文脈絡）"
+PART_HEAD = "### 第 %d 段"
 SUMMARY_HEAD = "## 重點摘錄（原文選句，非 AI 改寫）"
 SUMMARY_EMPTY = "可用文字不足，無法產生可靠摘要。"
 FACTS_HEAD = "## 數字／日期／條件線索（請核對原文）"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import answers as M
 from ..operators import compare as C
 from ..operators import extract as X
 from ..operators import notes as N
@@ -13,7 +14,7 @@ from ..session import written
 from . import oracle_views as V
 from .captions import chunks
 from .views import (
-    comparison_answers, envelope_replies, note_replies, note_verdicts, plain_documents, saved_pages, turn_frames,
+    chunk_replies, comparison_answers, envelope_replies, merge_replies, note_replies, note_verdicts, plain_documents, saved_pages, turn_frames,
 )
 
 
@@ -76,6 +77,12 @@ def citation_link(spark, folder):
     return R.citation_link(drafts(spark, folder), source_units(plain_documents(spark, folder))).select("doc_id", "linked")
 
 
+def merged_answer(spark, folder):
+    docs = plain_documents(spark, folder)
+    chunks = written(X.chunk_pack(docs), "chunks")
+    return M.merged_answers(chunks, chunk_replies(chunks), merge_replies(chunks), source_units(docs), X.extractive_summary(docs))
+
+
 def visual_note_check(spark, folder):
     no = F.col("pos")
     item = F.struct(
@@ -145,6 +152,7 @@ QUERIES = {
     "summary_render": summary_render,
     "citation_check": citation_check,
     "citation_link": citation_link,
+    "merged_answer": merged_answer,
     "visual_note_check": visual_note_check,
     "quote_locate": quote_locate,
     "note_validate": note_validate,
@@ -154,6 +162,11 @@ QUERIES = {
 }
 
 _NL = "chr(10)"
+_SUMMARY = (
+    "'## 一句話摘要' || chr(10) || chr(10) || {said} || chr(10) || chr(10) || '## 重點' || chr(10) || chr(10) || '- ' || {said}"
+    " || chr(10) || chr(10) || '## 重要數字／日期／條件' || chr(10) || chr(10) || '未提供' || chr(10) || chr(10)"
+    " || '## 待確認事項' || chr(10) || chr(10) || '無'"
+)
 
 ORACLES = {
     "balanced_excerpts": f"with {V.EXCERPTS} select * from ex",
@@ -201,6 +214,28 @@ select d.doc_id, coalesce(cited, 0) as cited, coalesce(unknown, 0) as unknown,
     "citation_link": f"""with {V.REPLIES}, {V.PLAIN}, {V.UNITS}
 select d.doc_id, case when a.doc_id is null then draft else replace(draft, '[S001]', '[S001](' || a.url || ')') end as linked
 from draft d left join u a on a.doc_id = d.doc_id and a.unit_id = 'S001'""",
+    "merged_answer": rf"""with recursive {V.PLAIN}, {V.UNITS}, {V.TOKENS}, {V.PACKED},
+k as (select doc_id, string_agg('- [' || unit_id || '] ' || text, chr(10) order by unit_no) as t
+  from ranked where rank <= 6 group by 1),
+f as (select doc_id, string_agg('- [' || unit_id || '] ' || text, chr(10) order by unit_no) as t from facts group by 1),
+c as (select *, (doc_id * 3 + chunk_no) % 17 = 0 as missing, (doc_id * 3 + chunk_no) % 13 = 0 as wrong,
+  'Part ' || chunk_no || ' has ' || n_units || ' units [' || first_unit || ']' as said from packed),
+p as (select doc_id, count(*) as n, min_by(first_unit, chunk_no) as a, max_by(first_unit, chunk_no) as b,
+    min_by(case when missing then 'no reply' when wrong then 'unknown source' end, chunk_no) filter (missing or wrong) as broken,
+    list(first_unit) as firsts, any_value(said) as one,
+    string_agg('### 第 ' || chunk_no || ' 段' || chr(10) || chr(10) || {_SUMMARY.format(said="said")}, chr(10) || chr(10) order by chunk_no) as parts
+  from c group by 1),
+m as (select *, 'Whole of ' || n || ' parts ' || case when doc_id % 7 = 0 then '[S002]' else '[' || a || '] [' || b || ']' end as whole,
+  case when broken is not null then 'chunk: ' || broken when n = 1 then null when doc_id % 5 = 0 then 'merge: no reply'
+    when doc_id % 7 = 0 and not list_contains(firsts, 'S002') then 'merge: unknown source' end as reason from p)
+select d.doc_id, coalesce(n, 0) as n_chunks, case when n is not null and reason is null then 'model' else 'extract' end as mode,
+  case when n is null then 'no units' else reason end as reason, case when n is not null and reason is null then false end as flagged,
+  case when n is not null and reason is null then regexp_replace(case when n = 1 then {_SUMMARY.format(said="one")}
+    else {_SUMMARY.format(said="whole")} || chr(10) || chr(10) || '## 各段重點（保留全文脈絡）' || chr(10) || chr(10) || parts end,
+    '\[(S\d+)\]', '[\1](' || d.url || ')', 'g')
+  else '## 重點摘錄（原文選句，非 AI 改寫）' || chr(10) || chr(10) || coalesce(k.t, '可用文字不足，無法產生可靠摘要。')
+    || coalesce(chr(10) || chr(10) || '## 數字／日期／條件線索（請核對原文）' || chr(10) || chr(10) || f.t, '') end as answer
+from d left join m on m.doc_id = d.doc_id left join k on k.doc_id = d.doc_id left join f on f.doc_id = d.doc_id""",
     "visual_note_check": f"""with {V.FRAMES},
 r as (select *, case when pos % 3 = 2 then 'bad shape' when pos % 5 = 4 then 'other frame'
   when pos % 7 = 3 then 'bad title'

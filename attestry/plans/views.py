@@ -229,6 +229,29 @@ def envelope_replies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _summary_json(text, refs):
+    item = F.concat(F.lit('{"text":"'), text, F.lit('","sources":["'), F.array_join(refs, '","'), F.lit('"]}'))
+    return F.concat(F.lit('{"overview":'), item, F.lit(',"points":['), item, F.lit('],"facts":[],"uncertainties":"無"}'))
+
+
+def chunk_replies(chunks: DataFrame) -> DataFrame:
+    """One reply per chunk that cites its first unit; some cite an unknown one, some are missing."""
+    n = F.col("doc_id") * 3 + F.col("chunk_no")
+    refs = F.array(F.when(n % 13 == 0, "S99999").otherwise(F.col("first_unit")))
+    text = F.format_string("Part %d has %d units", "chunk_no", "n_units")
+    return chunks.filter(n % 17 != 0).select("doc_id", "chunk_no", _summary_json(text, refs).alias("answer"))
+
+
+def merge_replies(chunks: DataFrame) -> DataFrame:
+    """One reply over all parts of a document of several; some are missing or cite a unit that
+    no part does."""
+    ends = chunks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("first_unit", "chunk_no").alias("a"), F.max_by("first_unit", "chunk_no").alias("b"))
+    refs = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("S002"))).otherwise(F.array("a", "b"))
+    return ends.filter("n > 1 and doc_id % 5 <> 0").select(
+        "doc_id", _summary_json(F.format_string("Whole of %d parts", "n"), refs).alias("answer"))
+
+
 def comparison_answers(units: DataFrame) -> DataFrame:
     """One comparison answer per excerpt; even documents cite a neighbour, odd ones only
     themselves, and some break the other rules."""
