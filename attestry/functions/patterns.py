@@ -109,6 +109,8 @@ MODE_EXTRACT = "基本摘錄"
 LABEL_FAILED = "失敗"
 LABEL_RUNNING = "整理中"
 LABEL_DONE = "完成"
+NO_OUTLINE = "章節標題未通過檢查，請看下方已驗證引文的重點。"
+NO_MORE_POINTS = "沒有額外可確認的重點。"
 PARTS_HEAD = "## 各段重點（保留全文脈絡）"
 PART_HEAD = "### 第 %d 段"
 SUMMARY_HEAD = "## 重點摘錄（原文選句，非 AI 改寫）"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -126,6 +127,21 @@ def extractive_summary(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def scope_extracts(units: DataFrame, scope: str, *, top: int = P.KEY_SENTENCES, limit: int = P.FACT_CLUES) -> DataFrame:
+    """(scope, summary): the extract of units in rows (scope, unit_no, unit_id, text), for scopes
+    of any size; a scope gathers no more than its ``top`` sentences and ``limit`` clues."""
+    texts = units.select(scope, "unit_no", "unit_id", "text")
+    best = W.partitionBy(scope).orderBy(F.desc("score"), "unit_no")
+    ranked = unit_scores(texts, scope, "unit_no").withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top)
+    keys = texts.join(ranked.select(scope, "unit_no"), [scope, "unit_no"]).withColumn("_kind", F.lit("key"))
+    first = W.partitionBy(scope).orderBy("unit_no")
+    clues = texts.filter(F.col("text").rlike(P.FACT)).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit)
+    chosen = keys.unionByName(clues.drop("_n").withColumn("_kind", F.lit("clue")))
+    listed = lambda kind: F.array_compact(F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.struct("unit_no", "unit_id", "text")))))
+    return chosen.groupBy(scope).agg(listed("key").alias("_keys"), listed("clue").alias("_clues")).select(
+        scope, summary_text(F.col("_keys"), F.col("_clues")).alias("summary"))
+
+
 def _labelled_size(u: Column) -> Column:
     return F.length(u["unit_id"]) + F.length(u["text"]) + 3
 

@@ -15,6 +15,7 @@ from ..functions.fold import growing_fold, let
 from ..functions.normalize import normalize, normalize_each
 from ..functions.text import strip
 from ..functions.typed_json import typed_json
+from .extract import scope_extracts
 
 KEY = ["video_id", "chunk_no"]
 NOTES_SCHEMA = (
@@ -221,3 +222,32 @@ def note_timeline_merge(gated: DataFrame, blocks: DataFrame, replies: DataFrame,
                  F.lit(")："), F.col("u.text")).alias("line"),
     )
     return notes.unionByName(unsure).unionByName(failed)
+
+
+#: Sections of a video's report, in order.
+REPORT_SECTIONS = ("summary", "outline", "point", "uncertain", "extract", "failed")
+
+
+def video_report(merged: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The whole report of every video in ``blocks``, one row per line: (video_id, section_no,
+    section, n, line), ordered by (section_no, n).
+
+    ``merged`` are the rows of ``note_timeline_merge``. An outline or points that are missing
+    beside the other have a fixed line. A video with neither falls back to the extract of its
+    blocks, and keeps only the quotes that are still to be checked.
+    """
+    state = merged.groupBy("video_id").agg(
+        F.bool_or(F.col("section") == "outline").alias("_outline"), F.bool_or(F.col("section") == "point").alias("_point"))
+    videos = blocks.select("video_id").distinct().join(state, "video_id", "left").select(
+        "video_id", F.coalesce("_outline", F.lit(False)).alias("_outline"), F.coalesce("_point", F.lit(False)).alias("_point"))
+    videos = videos.withColumn("_told", F.col("_outline") | F.col("_point"))
+    lines = merged.join(videos.select("video_id", "_told"), "video_id").filter(F.col("_told") | (F.col("section") == "extract"))
+    place = W.partitionBy("video_id", "section").orderBy("chunk_no", "at_s", "n")
+    lines = lines.select("video_id", "section", F.row_number().over(place).alias("n"), "line")
+    fixed = videos.filter("_told and not (_outline and _point)").select(
+        "video_id", F.when(F.col("_outline"), "point").otherwise("outline").alias("section"), F.lit(1).alias("n"),
+        F.when(F.col("_outline"), P.NO_MORE_POINTS).otherwise(P.NO_OUTLINE).alias("line"))
+    silent = blocks.join(videos.filter("not _told"), "video_id", "left_semi")
+    extract = scope_extracts(silent, "video_id").select("video_id", F.lit("summary").alias("section"), F.lit(1).alias("n"), F.col("summary").alias("line"))
+    number = F.array_position(F.array(*map(F.lit, REPORT_SECTIONS)), F.col("section")) - 1
+    return lines.unionByName(fixed).unionByName(extract).select("video_id", number.cast("int").alias("section_no"), "section", "n", "line")

@@ -62,8 +62,12 @@ def closing_promo_trim(spark, folder):
     return promos.join(last, "video_id")
 
 
+def chunks_of(blocks):
+    return K.chunk_units(K.caption_chunks(blocks))
+
+
 def chunks(spark, folder):
-    return K.chunk_units(K.caption_chunks(caption_blocks(spark, folder)))
+    return chunks_of(caption_blocks(spark, folder))
 
 
 def caption_chunks(spark, folder):

@@ -12,7 +12,7 @@ from ..operators import replies as R
 from ..operators.segment import source_units
 from ..session import written
 from . import oracle_views as V
-from .captions import chunks
+from .captions import blocks, chunks, chunks_of
 from .views import (
     chunk_replies, comparison_answers, envelope_replies, merge_replies, note_replies, note_verdicts, plain_documents, saved_pages, turn_frames,
 )
@@ -133,12 +133,22 @@ def claim_gate(spark, folder):
     return gated(spark, folder).withColumn("refs", F.array_join("refs", " "))
 
 
-def note_timeline_merge(spark, folder):
-    cut = written(chunks(spark, folder), "chunks")
-    rows = cut.select("video_id", F.explode("units").alias("u")).select("video_id", "u.*")
+def _merged(blocks):
+    cut = written(chunks_of(blocks), "chunks")
     checked = written(N.note_validate(note_replies(cut), cut), "validated")
     gate = written(N.claim_gate(checked, note_verdicts(N.explode_notes(checked, "points"))), "gated")
-    return N.note_timeline_merge(gate, rows, checked, cut)
+    return N.note_timeline_merge(gate, blocks, checked, cut)
+
+
+def note_timeline_merge(spark, folder):
+    return _merged(blocks(spark, folder))
+
+
+def video_report(spark, folder):
+    """Reports, of which some videos have lost all notes of their replies."""
+    cut = blocks(spark, folder)
+    lost = (F.col("video_id") % 6 == 1) & F.col("section").isin("outline", "point")
+    return N.video_report(_merged(cut).filter(~lost), cut)
 
 
 QUERIES = {
@@ -159,6 +169,7 @@ QUERIES = {
     "note_validate_points": note_validate_points,
     "claim_gate": claim_gate,
     "note_timeline_merge": note_timeline_merge,
+    "video_report": video_report,
 }
 
 _NL = "chr(10)"
@@ -168,6 +179,52 @@ _SUMMARY = (
     " || '## 待確認事項' || chr(10) || chr(10) || '無'"
 )
 
+_MERGED = f"""with recursive {V.GATED},
+ready as (
+  select *, case when section = 'outline' then 'outline' when extractive then 'extract' else 'point' end as sec,
+    replace(lower(regexp_replace(text, '\\s+', '', 'g')), 'ß', 'ss') as marker from gated where not failed),
+kept as (
+  select * from ready qualify row_number() over (partition by video_id, sec = 'outline', marker order by chunk_no, at_s, n) = 1),
+lost as (select distinct video_id, chunk_no from lack where failed
+  union select video_id, chunk_no from val where n_points = 0),
+m as (
+select video_id, sec as section, chunk_no, at_s, cast(n as integer) as n, case sec
+  when 'outline' then '- **' || title || '** ' || links
+  when 'extract' then '- 原句參考（AI 解讀未通過核對）：' || evidence || ' ' || links
+  else '- ' || text || ' ' || links || {_NL} || '  字幕依據：「' || evidence || '」' end as line from kept
+union all
+select video_id, 'uncertain', min(chunk_no), 0, 0, '- unclear in part ' || chunk_no % 2 from val
+  where video_id % 2 = 0 group by video_id, chunk_no % 2
+union all
+select o.video_id, 'failed', o.chunk_no, o.seconds, cast(o.n - 1 as integer), '- [' || time || '](' || url || ')：' || text
+from off o join lost l on l.video_id = o.video_id and l.chunk_no = o.chunk_no)"""
+_REPORT = r""",
+shown as (select * from m where not (video_id % 6 = 1 and section in ('outline', 'point'))),
+v_v as (select b.video_id, coalesce(bool_or(section = 'outline'), false) as o, coalesce(bool_or(section = 'point'), false) as p
+  from (select distinct video_id from b) b left join shown s on s.video_id = b.video_id group by 1),
+v_t as (select video_id, unit_no, unit_id, text, regexp_extract_all(lower(text), '[a-z]{3,}|[一-鿿]{2}') as tokens
+  from b where video_id in (select video_id from v_v as v where not o and not p)),
+v_x as (select video_id, unit_no, unnest(list_distinct(tokens)) as token from v_t as t),
+v_xf as (select video_id, token, count(*) as df from v_x as x group by 1, 2),
+v_xs as (select x.video_id, unit_no, sum(df) as s from v_x as x join v_xf as xf on xf.video_id = x.video_id and xf.token = x.token group by 1, 2),
+v_r as (select t.*, row_number() over (partition by t.video_id order by coalesce(s, 0) / greatest(len(tokens), 1)
+    + case when regexp_matches(text, '\d|重要|建議|注意|結論|截止|步驟') then 1.0 else 0.0 end desc, t.unit_no) as rank
+  from v_t as t left join v_xs as xs on xs.video_id = t.video_id and xs.unit_no = t.unit_no),
+v_k as (select video_id, string_agg('- [' || unit_id || '] ' || text, chr(10) order by unit_no) as line from v_r as r where rank <= 6 group by 1),
+v_c as (select * from v_t as t where regexp_matches(text, '(?i)\b\d{4}[-/]\d{1,2}|\d+(?:\.\d+)?\s*(?:%|元|萬|億|美元|天|小時)|截止|報名|deadline|price|\$\d')
+  qualify row_number() over (partition by video_id order by unit_no) <= 8),
+v_f as (select video_id, string_agg('- [' || unit_id || '] ' || text, chr(10) order by unit_no) as line from v_c as c group by 1),
+v_out as (
+  select shown.video_id, section, cast(row_number() over (partition by shown.video_id, section order by chunk_no, at_s, n) as integer) as n, line
+  from shown join v_v as v on v.video_id = shown.video_id where o or p or section = 'extract'
+  union all select video_id, 'point', 1, '沒有額外可確認的重點。' from v_v as v where o and not p
+  union all select video_id, 'outline', 1, '章節標題未通過檢查，請看下方已驗證引文的重點。' from v_v as v where p and not o
+  union all select k.video_id, 'summary', 1, '## 重點摘錄（原文選句，非 AI 改寫）' || chr(10) || chr(10) || k.line
+    || coalesce(chr(10) || chr(10) || '## 數字／日期／條件線索（請核對原文）' || chr(10) || chr(10) || f.line, '')
+  from v_k as k left join v_f as f on f.video_id = k.video_id)
+select video_id, cast(list_position(['summary', 'outline', 'point', 'uncertain', 'extract', 'failed'], section) - 1 as integer) as section_no,
+  section, n, line from v_out as out"""
+
 ORACLES = {
     "balanced_excerpts": f"with {V.EXCERPTS} select * from ex",
     "cross_source_summary": f"""with {V.EXCERPTS},
@@ -250,22 +307,6 @@ select video_id, frame_id, reject_reason, reject_reason is null as has_note from
   array_to_string(refs, ' ') as refs from rules where good""",
     "claim_gate": f"""with recursive {V.GATED} select video_id, chunk_no, cast(n as integer) as n, title, text, evidence,
   array_to_string(refs, ' ') as refs, extractive, failed, section from gated""",
-    "note_timeline_merge": f"""with recursive {V.GATED},
-ready as (
-  select *, case when section = 'outline' then 'outline' when extractive then 'extract' else 'point' end as sec,
-    replace(lower(regexp_replace(text, '\\s+', '', 'g')), 'ß', 'ss') as marker from gated where not failed),
-kept as (
-  select * from ready qualify row_number() over (partition by video_id, sec = 'outline', marker order by chunk_no, at_s, n) = 1),
-lost as (select distinct video_id, chunk_no from lack where failed
-  union select video_id, chunk_no from val where n_points = 0)
-select video_id, sec as section, chunk_no, at_s, cast(n as integer) as n, case sec
-  when 'outline' then '- **' || title || '** ' || links
-  when 'extract' then '- 原句參考（AI 解讀未通過核對）：' || evidence || ' ' || links
-  else '- ' || text || ' ' || links || {_NL} || '  字幕依據：「' || evidence || '」' end as line from kept
-union all
-select video_id, 'uncertain', min(chunk_no), 0, 0, '- unclear in part ' || chunk_no % 2 from val
-  where video_id % 2 = 0 group by video_id, chunk_no % 2
-union all
-select o.video_id, 'failed', o.chunk_no, o.seconds, cast(o.n - 1 as integer), '- [' || time || '](' || url || ')：' || text
-from off o join lost l on l.video_id = o.video_id and l.chunk_no = o.chunk_no""",
+    "note_timeline_merge": _MERGED + " select * from m",
+    "video_report": _MERGED + _REPORT,
 }
