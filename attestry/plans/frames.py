@@ -8,9 +8,11 @@ from ..functions.normalize import normalize
 from ..operators import align as A
 from ..operators import evidence as E
 from ..operators import frames as Fr
+from ..operators import integrity as I
 from ..operators import layout as L
 from ..session import written
 from . import oracle_views as V
+from .captions import transcript_texts
 from .views import (
     event_candidates, frame_boxes, frame_ocr_lines, ocr_boxes, plain_documents, short_captions,
     turn_frames, vector_features,
@@ -135,6 +137,31 @@ def evidence_records(spark, folder):
     return E.evidence_records(written(notes, "notes"), frames, short_captions(spark, folder))
 
 
+def bundle_verify(spark, folder):
+    """Saved bundles, some of which have since lost or changed one thing."""
+    kind = F.col("video_id") % 10
+    frames = turn_frames(spark, folder).select("video_id", "frame_id", "file", "ocr")
+    named = F.when((kind == 9) & (F.col("frame_id") == "F000"), F.concat(F.lit("../"), "file")).otherwise(F.col("file"))
+    records = written(evidence_records(spark, folder).join(
+        frames.select("video_id", "frame_id", named.alias("frame_file")), ["video_id", "frame_id"]), "records")
+    texts = transcript_texts(spark, folder).select("video_id", F.lit("transcript.json").alias("name"), "text").filter(kind != 7)
+    report = E.evidence_stats(records).select("video_id", F.lit("evidence.html").alias("name"), F.concat_ws(" ", "total", "decoders").alias("text"))
+    capture = report.filter("video_id % 2 = 0").select("video_id", F.lit("capture.json").alias("name"), F.col("video_id").cast("string").alias("text"))
+    contents = frames.select("video_id", F.col("file").alias("name"), F.col("ocr").alias("text")).unionByName(texts).unionByName(report).unionByName(capture)
+    contents = written(contents, "contents")
+    hashed = lambda text: F.sha2(text, 256).alias("sha256")
+    headers = I.bundle_header(records, contents.select("video_id", "name", hashed(F.col("text"))))
+    changed = (
+        ((kind == 1) & (F.col("name") == "frames/F001.jpg")) | ((kind == 2) & (F.col("name") == "transcript.json"))
+        | ((kind == 4) & (F.col("name") == "capture.json"))
+    )
+    files = contents.filter(~((kind == 3) & (F.col("name") == "evidence.html"))).select(
+        "video_id", "name", hashed(F.when(changed, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
+    headers = headers.withColumn("schema_tag", F.when(kind == 6, "other").otherwise(F.col("schema_tag")))
+    records = records.withColumn("summary", F.when(kind == 5, F.concat("summary", F.lit("x"))).otherwise(F.col("summary")))
+    return I.bundle_verify(written(headers, "headers"), records, files)
+
+
 def evidence_stats(spark, folder):
     return E.evidence_stats(evidence_records(spark, folder))
 
@@ -159,6 +186,7 @@ QUERIES = {
     "unnoted_frame_lines": unnoted_frame_lines,
     "evidence_records": evidence_records,
     "evidence_stats": evidence_stats,
+    "bundle_verify": bundle_verify,
 }
 
 _NOTE_STAMP = """lpad(cast(seconds // 3600 as varchar), 2, '0') || ':' || lpad(cast(seconds // 60 % 60 as varchar), 2, '0')
@@ -262,6 +290,19 @@ select b.video_id, b.frame_id, 'hint' as kind, {_LINE_LINK} || hints || '（依
 union all
 select video_id, frame_id, 'ocr', {_LINE_LINK} || replace(ocr, chr(10), '、') || '（OCR 可能誤字）' from bare""",
     "evidence_records": f"with {V.EVIDENCE} select * from record",
+    "bundle_verify": f"""with {V.MATCH},
+rec as (select video_id, frame_id, case when video_id % 10 = 9 and frame_id = 'F000' then '../' else '' end || 'frames/' || frame_id || '.jpg' as file from matched),
+now as (select video_id, 'frames/' || frame_id || '.jpg' as file, sha256(ocr) as saved,
+  sha256(ocr || case when video_id % 10 = 1 and frame_id = 'F001' then 'x' else '' end) as seen from fr),
+sound as (select distinct video_id, video_id % 10 as kind from rec where video_id % 10 not in (5, 6))
+select rec.video_id, rec.file as name, case when now.file is null then 'missing or unsafe' else 'hash mismatch' end as error
+from rec join sound on sound.video_id = rec.video_id left join now on now.video_id = rec.video_id and now.file = rec.file
+where now.file is null or saved <> seen
+union all select video_id, 'transcript.json', case kind when 2 then 'hash mismatch' else 'transcript unavailable' end from sound where kind in (2, 7)
+union all select video_id, 'evidence.html', 'missing or unsafe' from sound where kind = 3
+union all select video_id, 'capture.json', 'hash mismatch' from sound where kind = 4
+union all select distinct video_id, case video_id % 10 when 5 then '(records)' else '(header)' end,
+  case video_id % 10 when 5 then 'hash mismatch' else 'unsupported schema' end from rec where video_id % 10 in (5, 6)""",
     "evidence_stats": f"""with {V.EVIDENCE} select video_id, count(*) as total,
   count(*) filter (where association = 'text-overlap') as text_overlap,
   count(*) filter (where association <> 'text-overlap') as temporal_only,
