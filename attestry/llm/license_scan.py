@@ -46,8 +46,8 @@ NOTICES = {
 }
 BASE_SURE = {"cc-by": 0.7, "gpl": 0.9, "reserved": 0.8}
 TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:")
-EXPRESSION = re.compile(r"[ \t]*((?:[A-Za-z0-9.+:_-]+|[()]|[ \t]+)+)")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
+STEP = re.compile(rf"[ \t]*({TOKEN.pattern})")
 #: Operators by how tightly they bind.
 BINDS = {"or": 1, "and": 2, "with": 3}
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -97,7 +97,8 @@ def postfix(expression: str) -> list[str]:
 
 def choices(expression: str) -> list[frozenset[str]]:
     """The sets of licences, any one of which satisfies the expression. ``with`` binds an
-    exception to its licence, ``and`` joins sets, ``or`` offers alternatives."""
+    exception to its licence, ``and`` joins sets, ``or`` offers alternatives. There may be
+    exponentially many, so the scan takes ``leaves`` instead."""
     stack: list[list[frozenset[str]]] = []
     for token in postfix(expression):
         if token not in BINDS:
@@ -116,12 +117,38 @@ def choices(expression: str) -> list[frozenset[str]]:
     return stack.pop()
 
 
-def _leading_expression(text: str) -> str:
-    """The longest leading run of tokens that can be an expression: it ends before a second
-    licence in a row, which is the prose after the tag."""
+def leaves(expression: str) -> list[str]:
+    """The licences that an expression is built from, each with its exception where it has one;
+    ValueError if it is malformed. Walks the parsed expression once, without expanding it."""
+    found: dict[str, None] = {}
+    stack: list[str | None] = []  # a licence, or None for a compound
+    for token in postfix(expression):
+        if token not in BINDS:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            if left is None or right is None or " with " in left or " with " in right:
+                raise ValueError("with joins one licence and one exception")
+            stack.append(f"{left} with {right}")
+        else:
+            found |= dict.fromkeys(x for x in (left, right) if x is not None)
+            stack.append(None)
+    if stack[0] is not None:
+        found[stack[0]] = None
+    return list(found)
+
+
+def _leading_expression(text: str, at: int) -> str:
+    """The longest run of tokens from ``at`` that can be an expression: it ends before a second
+    licence in a row, which is the prose after the tag, and before the next tag, so that no
+    text is read for two tags."""
     kept, operand, depth = [], True, 0
-    for token in TOKEN.findall(text):
+    while step := STEP.match(text, at):
+        token, at = step[1], step.end()
         word = token.lower()
+        if word in TAGS:
+            break
         if word in BINDS:
             if operand:
                 break
@@ -183,11 +210,10 @@ def scan(text: str | None, phrases, tags) -> tuple:
     lower = text.encode("utf-8", "surrogatepass").lower().decode("latin-1")
     if "license-" in lower or "licence-" in lower:
         for end, _ in tags.iter(lower):
-            m = EXPRESSION.match(lower, end + 1)
-            expression = _leading_expression(m[1]) if m else ""
+            expression = _leading_expression(lower, end + 1)
             surety = max(surety, 1.0)
             try:
-                labels.update(label for choice in choices(expression) for label in choice)
+                labels.update(leaves(expression))
                 expressions.append(expression)
             except ValueError:
                 labels.add("unparsed")
