@@ -3,15 +3,13 @@
 Texts are hashed word by word into k-grams; of every ``window - k + 1`` consecutive
 k-grams the smallest hash is kept. Whatever ``window`` words two texts share, they keep the
 same fingerprint inside them, so joining fingerprints misses no shared window. A hit names
-an item and a diagonal (place in the document less place in the item); the hit is extended
-by comparing the words along the diagonal, exactly, and every run of a whole item window
-is covered. Items shorter than ``window`` words are one window each; they are found by
+an item; it is extended to every whole window of the item in the document, by window hashes
+and then word by word, each place of the document once. Items shorter than ``window`` words are one window each; they are found by
 their own length's grams, for the lengths that occur.
 
 The fingerprints of the benchmark are broadcast only if a count shows that they are few;
-else the join is shuffled. A document's matches are gathered per document (at most its own
-words times the items of a fingerprint); documents are read again for the extension and
-joined once.
+else the join is shuffled. The items that a document hits are gathered per document;
+documents are hashed in one pass for all item lengths, and read again for the extension.
 
 Defined results: null or wordless texts have no words and no hits; a null item_id or a
 wordless item is left out; items with equal text all count; repeated rows have equal
@@ -58,14 +56,12 @@ def winnowed(words: Column, k: int, window: int) -> Column:
 
 
 def fingerprints(benchmark: DataFrame, k: int, window: int) -> DataFrame:
-    """(size, hash, item_id, place, words): the kept grams of long items (size k), the whole of short ones."""
+    """(size, short, hash, item_id, words), one row for each item and hash: the kept grams of
+    long items (size k), the whole of short ones."""
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    long_ = items.filter(F.size("words") >= window).select("item_id", "words", grams(F.col("words"), k).alias("g"), F.explode(winnowed(F.col("words"), k, window)).alias("hash"))
-    placed = long_.select(F.lit(k).alias("size"), F.lit(False).alias("short"), "hash", "item_id", "words", F.explode(
-        F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get(F.col("g"), i) == F.col("hash"))).alias("place"))
-    short = items.filter(F.size("words") < window).select(
-        F.size("words").alias("size"), F.lit(True).alias("short"), _whole(F.col("words"), window).alias("hash"), "item_id", "words", F.lit(0).alias("place"))
-    return placed.unionByName(short)
+    whole = F.size("words") < window
+    kept = F.when(whole, F.array(_whole(F.col("words"), window))).otherwise(winnowed(F.col("words"), k, window))
+    return items.select(F.when(whole, F.size("words")).otherwise(k).alias("size"), whole.alias("short"), F.explode(kept).alias("hash"), "item_id", "words")
 
 
 def _whole(words: Column, window: int) -> Column:
@@ -94,47 +90,60 @@ def _judged(docs: DataFrame, benchmark: DataFrame, k: int, window: int) -> DataF
     sizes = prints.groupBy("size", "short").agg(F.sum(F.lit(64) + F.size("words") * 24).alias("bytes")).collect()
     few = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    words = words_of(F.col("text"))
-    asked = [
-        keyed.select("doc_id", "h", F.lit(r["size"]).alias("size"), F.lit(r["short"]).alias("short"), F.explode(
-            F.array_distinct(grams(words, r["size"])) if r["short"] else winnowed(words, k, window)).alias("hash"))
-        for r in sorted(sizes)
-    ]
-    if not asked:
+    if not sizes:
         return _verdict(keyed.select("doc", F.lit(None).cast(HITS).alias("hits")), window)
-    probes = asked[0]
-    for more in asked[1:]:
-        probes = probes.unionByName(more)
+
+    def asked(words: Column) -> Column:
+        """The document's hashes of every kind that the benchmark has."""
+        def of_kind(size: int, short: bool) -> Column:
+            found = F.array_distinct(grams(words, size)) if short else winnowed(words, k, window)
+            return F.transform(found, lambda h: F.struct(F.lit(size).alias("size"), F.lit(short).alias("short"), h.alias("hash")))
+
+        return F.concat(*(of_kind(r["size"], r["short"]) for r in sorted(sizes)))
+
+    probes = keyed.select("doc_id", "h", F.explode(let(words_of(F.col("text")), asked)).alias("_p")).select("doc_id", "h", "_p.*")
     met = probes.join(F.broadcast(prints) if few else prints, ["size", "short", "hash"])
-    hits = met.groupBy("doc_id", "h").agg(F.collect_set(F.struct("item_id", "place", "size", "words")).alias("hits"))
+    hits = met.groupBy("doc_id", "h").agg(F.collect_set(F.struct("item_id", "words")).alias("hits"))
     left, right = keyed.drop("text").alias("d"), hits.alias("m")
     joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.h").eqNullSafe(F.col("m.h")), "left")
     return _verdict(joined.select("d.doc", "m.hits"), window)
 
 
-HITS = "array<struct<item_id:bigint,place:int,size:int,words:array<string>>>"
+HITS = "array<struct<item_id:bigint,words:array<string>>>"
 
 
 def _verdict(rows: DataFrame, window: int) -> DataFrame:
-    """Extend the hits of each row along their diagonals, exactly."""
-
-    def diagonals(w: Column, hit: Column) -> Column:
-        """Where the hit's gram stands in the document, as differences of places."""
-        head = F.get(hit["words"], hit["place"])
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.get(w, i) == head) & (
-            F.slice(w, i + 1, hit["size"]) == F.slice(hit["words"], hit["place"] + 1, hit["size"])))
-        return F.transform(at, lambda i: F.struct(hit["item_id"].alias("item_id"), hit["words"].alias("words"), (i - hit["place"]).alias("shift")))
-
-    def covered(w: Column, line: Column) -> Column:
-        """Document places of every whole window of the item on this diagonal."""
-        size = F.least(F.size(line["words"]), F.lit(window))
-        starts = F.filter(F.sequence(F.lit(0), F.size(line["words"]) - size), lambda j: (j + line["shift"] >= 0) & (
-            F.slice(w, F.greatest(j + line["shift"], F.lit(0)) + 1, size) == F.slice(line["words"], j + 1, size)))
-        return F.struct(line["item_id"].alias("item_id"), F.flatten(F.transform(starts, lambda j: F.sequence(j + line["shift"], j + line["shift"] + size - 1))).alias("places"))
+    """Where whole windows of the items that were hit stand in each row, exactly.
+
+    A document window is looked for among the item's windows by its hash, and compared word
+    by word where that is found; however often words repeat, each place is looked at once.
+    """
+    nowhere = F.array().cast("array<int>")
+
+    def of_long(w: Column, own: Column, item: Column) -> Column:
+        """Starts in the document (its windows hashed: ``own``) of any window of a long item."""
+        def among(theirs: Column) -> Column:
+            same = lambda i: F.exists(F.sequence(F.lit(0), F.size(theirs) - 1), lambda j: (F.get(theirs, j) == F.get(own, i)) & (
+                F.slice(w, i + 1, window) == F.slice(item["words"], j + 1, window)))
+            return let(F.array_intersect(own, theirs), lambda common: F.when(F.size(common) > 0, F.filter(
+                F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(common, F.get(own, i)) & same(i))).otherwise(nowhere))
+
+        return let(grams(item["words"], window), among)
+
+    def of_short(w: Column, item: Column) -> Column:
+        size, head = F.size(item["words"]), F.get(item["words"], F.lit(0))
+        return F.when(F.size(w) >= size, F.filter(F.sequence(F.lit(0), F.size(w) - size), lambda i: (F.get(w, i) == head) & (
+            F.slice(w, i + 1, size) == item["words"]))).otherwise(nowhere)
+
+    def covered(w: Column, own: Column, item: Column) -> Column:
+        """Document places inside any occurrence of a window of the item."""
+        size = F.least(F.size(item["words"]), F.lit(window))
+        starts = F.when(F.size(item["words"]) >= window, of_long(w, own, item)).otherwise(of_short(w, item))
+        return F.struct(item["item_id"].alias("item_id"), F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + size - 1)))).alias("places"))
 
     def found(w: Column) -> Column:
-        lines = F.array_distinct(F.flatten(F.transform("hits", lambda hit: diagonals(w, hit))))
-        return let(lines, lambda each: F.filter(F.transform(each, lambda line: covered(w, line)), lambda c: F.size(c["places"]) > 0))
+        return let(grams(w, window), lambda own: let(
+            F.transform("hits", lambda item: covered(w, own, item)), lambda each: F.filter(each, lambda c: F.size(c["places"]) > 0)))
 
     none = F.array().cast("array<struct<item_id:bigint,places:array<int>>>")
     row = let(words_of(F.col("doc.text")), lambda w: F.struct(
