@@ -12,45 +12,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from .state import use_rocksdb
+
+BUCKET_SECONDS = 60
 OUTPUT = "video_id long, start_ms long, n_captions int, text string"
 OPEN = "start_ms long, n_captions int, text string"
-WAITING = "at_ms long, pos long, text string"
+WAITING = "at_ms array<long>, pos array<long>, text array<string>"
 
 
 class BlockProcessor(StatefulProcessor):
-    """Open block and waiting captions of one video."""
+    """Open block and waiting captions of one video.
+
+    Captions wait in buckets of ``bucket_ms``, each an entry of its own, so that a timer reads
+    and rewrites only the buckets that the watermark has reached.
+    """
 
-    def __init__(self, span_ms: int, chars: int) -> None:
-        self.span_ms, self.chars = span_ms, chars
+    def __init__(self, span_ms: int, chars: int, bucket_ms: int) -> None:
+        self.span_ms, self.chars, self.bucket_ms = span_ms, chars, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.block = handle.getValueState("block", OPEN)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getMapState("waiting", "bucket long", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = []
+        arrived: dict[int, list[tuple[int, int, str]]] = {}
         for batch in rows:
-            arrived += list(zip(batch["at_ms"].astype("int64").tolist(), batch["pos"].astype("int64").tolist(), batch["text"].tolist()))
-        if arrived:
-            self.waiting.appendList(arrived)
-            self._wake(min(a[0] for a in arrived))
+            for at, pos, text in zip(batch["at_ms"].astype("int64").tolist(), batch["pos"].astype("int64").tolist(), batch["text"].tolist()):
+                arrived.setdefault(at // self.bucket_ms, []).append((at, pos, text))
+        for bucket, captions in arrived.items():
+            self._put(bucket, self._held(bucket) + captions)
+            self._wake(min(captions)[0])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(w) for w in self.waiting.get()]
-        due = sorted(w for w in held if w[0] <= passed)
-        later = [w for w in held if w[0] > passed]
         block = self.block.get() if self.block.exists() else None
         done = []
-        for at, _, text in due:
-            if block and (at - block[0] >= self.span_ms or len(block[2]) + len(text) > self.chars):
-                done.append(block)
-                block = None
-            block = (block[0], block[1] + 1, block[2] + " " + text) if block else (at, 1, text)
+        for bucket in sorted(k[0] for k in self.waiting.keys() if k[0] * self.bucket_ms <= passed):
+            captions = sorted(self._held(bucket))
+            later = [c for c in captions if c[0] > passed]
+            for at, _, text in captions[: len(captions) - len(later)]:
+                if block and (at - block[0] >= self.span_ms or len(block[2]) + len(text) > self.chars):
+                    done.append(block)
+                    block = None
+                block = (block[0], block[1] + 1, block[2] + " " + text) if block else (at, 1, text)
+            if later:
+                self._put(bucket, later)
+                self._wake(later[0][0])
+            else:
+                self.waiting.removeKey((bucket,))
         if block and passed >= block[0] + self.span_ms:
             done.append(block)
             block = None
@@ -59,17 +72,19 @@ class BlockProcessor(StatefulProcessor):
             self._wake(block[0] + self.span_ms)
         else:
             self.block.clear()
-        if due:
-            self.waiting.clear()
-            if later:
-                self.waiting.put(later)
-        if later:
-            self._wake(min(w[0] for w in later))
         if done:
             yield pd.DataFrame(
                 [(key[0], b[0], b[1], b[2]) for b in done], columns=["video_id", "start_ms", "n_captions", "text"]
             )
 
+    def _held(self, bucket: int) -> list[tuple[int, int, str]]:
+        if not self.waiting.containsKey((bucket,)):
+            return []
+        return list(zip(*(list(column) for column in self.waiting.getValue((bucket,)))))
+
+    def _put(self, bucket: int, captions: list[tuple[int, int, str]]) -> None:
+        self.waiting.updateValue((bucket,), tuple(list(column) for column in zip(*captions)))
+
     def _wake(self, at_ms: int) -> None:
         self.handle.registerTimer(int(at_ms))
 
@@ -81,7 +96,7 @@ def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness
     """(video_id, ts, pos, text) stream → closed blocks."""
     timed = captions.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
     return timed.groupBy("video_id").transformWithStateInPandas(
-        statefulProcessor=BlockProcessor(span * 1000, chars),
+        statefulProcessor=BlockProcessor(span * 1000, chars, max(span, BUCKET_SECONDS) * 1000),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
@@ -91,11 +106,7 @@ def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness
 def stream_caption_blocks(captions: DataFrame, target: str, *, span: int = 35, chars: int = 1000,
                           lateness: str = "10 minutes", available_now: bool = True) -> StreamingQuery:
     """Append closed blocks to ``target``/blocks. Needs the RocksDB state store."""
-    spark = captions.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    use_rocksdb(captions.sparkSession)
     writer = (
         caption_block_stream(captions, span=span, chars=chars, lateness=lateness)
         .writeStream.outputMode("append")
@@ -106,7 +117,34 @@ def stream_caption_blocks(captions: DataFrame, target: str, *, span: int = 35, c
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+class LateCaptions(StreamingQueryListener):
+    """Captions left out because the watermark had passed them when they came, summed over all
+    batches of every query: ``spark.streams.addListener(LateCaptions())`` before it starts. A
+    report that is delivered twice counts once."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, dict[int, int]] = {}
+
+    def count(self, query: StreamingQuery) -> int:
+        return sum(self.dropped.get(str(query.runId), {}).values())
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        late = sum(state.numRowsDroppedByWatermark for state in report.stateOperators)
+        if late:
+            self.dropped.setdefault(str(report.runId), {})[report.batchId] = late
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def late_captions(query: StreamingQuery) -> int:
-    """Captions left out because the watermark had passed them when they came, over the
-    reports the query keeps (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    """Late captions over the reports the query keeps
+    (``spark.sql.streaming.numRecentProgressUpdates``); ``LateCaptions`` counts all."""
     return sum(state.numRowsDroppedByWatermark for report in query.recentProgress for state in report.stateOperators)

@@ -122,3 +122,49 @@ def test_caption_query_loses_nothing_over_many_files(spark, tmp_path):
     for v in range(3):
         mine = {(r["start_ms"], r["n_captions"], r["text"]) for r in got if r["video_id"] == v}
         assert mine == greedy([(s * 1000, p, t) for p, s, w, t in rows if w == v], streams.BLOCK_SPAN, 1000)
+
+
+def test_a_replayed_batch_stores_the_same_pages(spark, tmp_path):
+    """The last batch is run again from the state before it, as after a failure."""
+    page = lambda i, url: (i, url, f"<title>t{i}</title><p>Body of page number {i} here.</p>")
+    target = str(tmp_path / "out")
+    schema = spark.createDataFrame([], PAGE).schema
+    run = lambda: ingest.stream_page_ingest(ingest.page_stream(spark, f"{tmp_path}/in/day=*", schema), target).awaitTermination()
+    for day, rows in enumerate([[page(1, "https://e.com/a")], [page(2, "https://e.com/a"), page(3, "https://e.com/b"), page(None, "https://e.com/c")]]):
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(str(tmp_path / "in" / f"day={day}"))
+        run()
+    stored = lambda: sorted((r["canonical"], r["page_id"] or 0) for r in spark.read.parquet(f"{target}/raw").collect())
+    before = stored()
+    assert before == [("https://e.com/a", 1), ("https://e.com/b", 3), ("https://e.com/c", 0)]
+    commits = sorted(p for p in (tmp_path / "out/checkpoint/commits").iterdir() if p.name.isdigit())
+    for name in (commits[-1].name, f".{commits[-1].name}.crc"):
+        (commits[-1].parent / name).unlink(missing_ok=True)
+    run()
+    assert stored() == before
+
+
+def test_late_captions_of_all_batches_are_counted(spark, tmp_path):
+    """More batches than the query keeps reports of."""
+    listener = blocks.LateCaptions()
+    spark.streams.addListener(listener)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        base = 1_700_000_000
+        for day in range(8):
+            rows = [(1, base + day * 9000, day, "on time"), (1, base + 1, 100 + day, "late")]
+            spark.createDataFrame(rows, "video_id long, s long, pos long, text string").select(
+                "video_id", F.timestamp_seconds("s").alias("ts"), "pos", "text").coalesce(1).write.parquet(str(tmp_path / f"in/day={day}"))
+        stream = spark.readStream.schema("video_id long, ts timestamp, pos long, text string").option("maxFilesPerTrigger", 1).parquet(
+            str(tmp_path / "in/day=*"))
+        query = blocks.stream_caption_blocks(stream, str(tmp_path / "out"), lateness="10 minutes")
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        late = listener.count(query)
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    blocks_there = spark.read.schema(blocks.OUTPUT).parquet(str(tmp_path / "out/blocks")).collect()
+    shown = sum(r["text"].count("late") for r in blocks_there)
+    # Each file's late caption is dropped, or shown if it came before the watermark moved.
+    assert late > blocks.late_captions(query) and late + shown in (7, 8)
