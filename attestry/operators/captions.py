@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.fold import let
 from ..functions.text import clock, hits, is_blank, lines_of, numbered, strip, watch_link
+from ..session import written
 from .packing import packed
 from .prefix import running
 from .segment import source_units
@@ -110,7 +111,7 @@ def caption_parse(lines: DataFrame) -> DataFrame:
 def caption_blocks(lines: DataFrame, *, seconds: int = P.BLOCK_SECONDS, chars: int = P.BLOCK_CHARS, **options) -> DataFrame:
     """Captions joined into blocks, one row each; a block closes ``seconds`` after its own
     start. A video without any caption in its lines has plain source units instead."""
-    captions = caption_parse(lines)
+    captions = written(caption_parse(lines), "captions")
     packs = packed(captions, ["video_id"], "n", F.length("text"), max_size=chars, at=F.col("seconds"), max_span=seconds,
                    joiner=1, name="unit_no", **options)
     first = F.min_by(F.struct("url", "time", "seconds"), "n")

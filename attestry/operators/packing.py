@@ -93,14 +93,14 @@ def packed(rows: DataFrame, keys: list[str], number: str, size: Column, *, max_s
     """Add ``name``, the number from 1 of each row's pack within its key, in the order of
     ``number``, which counts a key's rows from 1 (``prefix.running``). ``size`` is a positive number for every row; ``joiner`` is added
     between items; without ``max_span`` only the size closes a pack. A null ``at`` never
-    closes a pack, nor does a pack that opens at one close by time."""
+    closes a pack, nor does a pack that opens at one close by time. ``rows`` are read more than
+    once: pass a written table where they are costly to make."""
     reach = math.ceil((max_size + 2 * joiner) / (1 + joiner)) + 2
     if width <= reach:
         raise ValueError("a stretch must be longer than the longest pack")
     timed = at is not None and max_span is not None
     numbers = [size.cast("long").alias("_size"), (at if timed else F.lit(None)).cast("double").alias("_at")]
-    numbered = written(rows.select("*", *numbers, F.col(number).cast("long").alias("_n")).withColumn(
-        "_stretch", F.expr(f"(_n - 1) div {width}")), "packing")
+    numbered = rows.select("*", *numbers, F.col(number).cast("long").alias("_n")).withColumn("_stretch", F.expr(f"(_n - 1) div {width}"))
     columns = [F.col(c) for c in rows.columns]
     last = numbered.agg(F.max("_stretch")).first()[0] or 0
     key = F.struct(*keys).alias("_key")

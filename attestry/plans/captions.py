@@ -67,7 +67,7 @@ def chunks_of(blocks):
 
 
 def chunks(spark, folder):
-    return chunks_of(caption_blocks(spark, folder))
+    return chunks_of(blocks(spark, folder))
 
 
 def caption_chunks(spark, folder):
