@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from ..sources import pages as P
 from ..sources import results as S
-from ..sources.tables import load
+from ..sources.tables import load, table_stream
 from ..streaming import blocks, ingest, progress
 from . import oracle_views as V
 from .views import saved_pages
@@ -52,19 +52,21 @@ def results_load(spark, folder):
     )
 
 
-def stream_page_ingest(spark, folder):
+def _ingested(spark, folder):
+    """The pages table, whose parts arrive together, whenever their files were written."""
     target = _target(spark, "ingest")
-    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
-    query = ingest.stream_page_ingest(ingest.page_stream(spark, folder, schema, glob="pages.parquet"), target)
-    query.awaitTermination()
+    pages = table_stream(spark, folder, "pages").withColumn("arrived_at", F.current_timestamp())
+    ingest.stream_page_ingest(pages, target).awaitTermination()
+    return target
+
+
+def stream_page_ingest(spark, folder):
+    target = _ingested(spark, folder)
     return spark.read.parquet(f"{target}/raw").select("canonical")
 
 
 def stream_page_units(spark, folder):
-    target = _target(spark, "ingest")
-    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
-    query = ingest.stream_page_ingest(ingest.page_stream(spark, folder, schema, glob="pages.parquet"), target)
-    query.awaitTermination()
+    target = _ingested(spark, folder)
     return spark.read.parquet(f"{target}/units").select("page_id", "unit_no", "unit_id", "url", "text")
 
 
@@ -77,8 +79,7 @@ def _run_events(events):
 
 def stream_run_progress(spark, folder):
     target = _target(spark, "progress")
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = table_stream(spark, folder, "events")
     progress.stream_run_progress(_run_events(events), target).awaitTermination()
     return progress.latest_progress(spark, target)
 

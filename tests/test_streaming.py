@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from attestry.operators.segment import source_units
@@ -168,3 +170,21 @@ def test_late_captions_of_all_batches_are_counted(spark, tmp_path):
     shown = sum(r["text"].count("late") for r in blocks_there)
     # Each file's late caption is dropped, or shown if it came before the watermark moved.
     assert late > blocks.late_captions(query) and late + shown in (7, 8)
+
+
+def test_tables_of_many_files_are_streamed_whole(spark, tmp_path):
+    """Tables that are folders; the pages' smaller ids lie in the newer file."""
+    page = lambda i, url: (i, url, f"<title>t{i}</title><p>Body of page number {i} here.</p>")
+    for part, rows in enumerate([[page(7, "https://e.com/a"), page(8, "https://e.com/b")], [page(1, "https://e.com/a"), page(2, "https://e.com/c")]]):
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages.parquet"))
+        for file in (tmp_path / "pages.parquet").glob("part-*"):
+            if part == 0:
+                os.utime(file, (1_600_000_000, 1_600_000_000))
+    events = spark.createDataFrame([(k, k * 60, k % 2, "error" if k % 3 == 0 else "view") for k in range(12)],
+                                   "event_id long, s long, user_id long, event_type string").select(
+        "event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path)
+    assert sorted(r["canonical"] for r in streams.stream_page_ingest(spark, folder).collect()) == [f"https://e.com/{x}" for x in "abc"]
+    assert {r["page_id"] for r in streams.stream_page_units(spark, folder).collect()} == {1, 2, 8}
+    assert sum(r["events"] for r in streams.stream_run_progress(spark, folder).collect()) == 12
