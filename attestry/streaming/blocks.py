@@ -25,8 +25,9 @@ WAITING = "at_ms array<long>, pos array<long>, text array<string>"
 class BlockProcessor(StatefulProcessor):
     """Open block and waiting captions of one video.
 
-    Captions wait in buckets of ``bucket_ms``, each an entry of its own, so that a timer reads
-    and rewrites only the buckets that the watermark has reached.
+    Captions wait in buckets of ``bucket_ms``, each an entry of its own with a timer at its end.
+    A bucket is written when captions arrive and read once more, when the watermark has passed
+    it: every access to state is a call out of Python, so a video costs few of them per bucket.
     """
 
     def __init__(self, span_ms: int, chars: int, bucket_ms: int) -> None:
@@ -43,33 +44,34 @@ class BlockProcessor(StatefulProcessor):
             for at, pos, text in zip(batch["at_ms"].astype("int64").tolist(), batch["pos"].astype("int64").tolist(), batch["text"].tolist()):
                 arrived.setdefault(at // self.bucket_ms, []).append((at, pos, text))
         for bucket, captions in arrived.items():
-            self._put(bucket, self._held(bucket) + captions)
-            self._wake(min(captions)[0])
+            if self.waiting.containsKey((bucket,)):
+                captions = self._held(bucket) + captions
+            else:
+                self._wake((bucket + 1) * self.bucket_ms)
+            self.waiting.updateValue((bucket,), tuple(list(column) for column in zip(*captions)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        block = self.block.get() if self.block.exists() else None
+        # No caption before ``reached`` waits after this call, and none can still come.
+        reached = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
+        passed = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= reached)
+        block = self.block.get()
+        if not passed and not (block and reached >= block[0] + self.span_ms):
+            return  # an earlier timer has done the work of this one
         done = []
-        for bucket in sorted(k[0] for k in self.waiting.keys() if k[0] * self.bucket_ms <= passed):
-            captions = sorted(self._held(bucket))
-            later = [c for c in captions if c[0] > passed]
-            for at, _, text in captions[: len(captions) - len(later)]:
+        for bucket in passed:
+            for at, _, text in sorted(self._held(bucket)):
                 if block and (at - block[0] >= self.span_ms or len(block[2]) + len(text) > self.chars):
                     done.append(block)
                     block = None
                 block = (block[0], block[1] + 1, block[2] + " " + text) if block else (at, 1, text)
-            if later:
-                self._put(bucket, later)
-                self._wake(later[0][0])
-            else:
-                self.waiting.removeKey((bucket,))
-        if block and passed >= block[0] + self.span_ms:
+            self.waiting.removeKey((bucket,))
+        if block and reached >= block[0] + self.span_ms:
             done.append(block)
             block = None
         if block:
             self.block.update(tuple(block))
-            self._wake(block[0] + self.span_ms)
+            self._wake(-(-(block[0] + self.span_ms) // self.bucket_ms) * self.bucket_ms)
         else:
             self.block.clear()
         if done:
@@ -78,13 +80,8 @@ class BlockProcessor(StatefulProcessor):
             )
 
     def _held(self, bucket: int) -> list[tuple[int, int, str]]:
-        if not self.waiting.containsKey((bucket,)):
-            return []
         return list(zip(*(list(column) for column in self.waiting.getValue((bucket,)))))
 
-    def _put(self, bucket: int, captions: list[tuple[int, int, str]]) -> None:
-        self.waiting.updateValue((bucket,), tuple(list(column) for column in zip(*captions)))
-
     def _wake(self, at_ms: int) -> None:
         self.handle.registerTimer(int(at_ms))
 
@@ -93,10 +90,16 @@ class BlockProcessor(StatefulProcessor):
 
 
 def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness: str) -> DataFrame:
-    """(video_id, ts, pos, text) stream → closed blocks."""
+    """(video_id, ts, pos, text) stream → closed blocks.
+
+    Captions wait about as long as ``lateness``: a bucket is an eighth of it, so a video holds
+    few buckets however long it is, and blocks come out at most a bucket after the watermark.
+    A checkpoint belongs to one ``span`` and ``lateness``.
+    """
     timed = captions.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
+    wait = captions.sparkSession.range(1).select(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.lit(lateness).cast("interval"))).first()[0] // 8
     return timed.groupBy("video_id").transformWithStateInPandas(
-        statefulProcessor=BlockProcessor(span * 1000, chars, max(span, BUCKET_SECONDS) * 1000),
+        statefulProcessor=BlockProcessor(span * 1000, chars, max(span, BUCKET_SECONDS, wait) * 1000),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",

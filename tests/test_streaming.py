@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from attestry.operators.segment import source_units
@@ -188,3 +189,50 @@ def test_tables_of_many_files_are_streamed_whole(spark, tmp_path):
     assert sorted(r["canonical"] for r in streams.stream_page_ingest(spark, folder).collect()) == [f"https://e.com/{x}" for x in "abc"]
     assert {r["page_id"] for r in streams.stream_page_units(spark, folder).collect()} == {1, 2, 8}
     assert sum(r["events"] for r in streams.stream_run_progress(spark, folder).collect()) == 12
+
+
+def test_a_caption_costs_few_state_calls():
+    """A month of captions of one video, all waiting until the watermark passes them at once."""
+    calls, timers = [], set()
+
+    class State(dict):
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("get", "getValue"):
+                    return dict.get(self, args[0] if args else ())
+                if name in ("exists", "containsKey"):
+                    return dict.__contains__(self, args[0] if args else ())
+                if name in ("update", "updateValue"):
+                    self[args[0] if len(args) > 1 else ()] = args[-1]
+                elif name in ("clear", "removeKey"):
+                    dict.pop(self, args[0] if args else (), None)
+            return call
+
+    class Value(State):
+        get = update = clear = property(lambda self: None)
+
+        def __getattribute__(self, name):
+            return State.__getattr__(self, name) if name in ("get", "update", "clear") else super().__getattribute__(name)
+
+    class Map(State):
+        def keys(self):
+            calls.append("keys")
+            return list(dict.keys(self))
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: Value())
+        getMapState = staticmethod(lambda *a: Map())
+        registerTimer = staticmethod(lambda at: (calls.append("timer"), timers.add(at)))
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**14)
+
+    base, hour, span = 1_700_000_000_000, 3_600_000, 12 * 3600
+    rows = [(base + k * 7 * hour, k, f"caption {k}") for k in range(100)]
+    processor = blocks.BlockProcessor(span * 1000, 1000, 90 * hour)
+    processor.init(Handle)
+    list(processor.handleInputRows((1,), iter([pd.DataFrame(rows[::-1], columns=["at_ms", "pos", "text"])]), Times))
+    got = [frame for at in sorted(timers) for frame in processor.handleExpiredTimer((1,), Times, at)]
+    assert {tuple(r)[1:] for r in pd.concat(got).itertuples(index=False)} == greedy(rows, span, 1000)
+    assert len(calls) < len(rows)
