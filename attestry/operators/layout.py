@@ -26,17 +26,16 @@ def ocr_normalize(boxes: DataFrame, keys: list[str], *, most: int | None = None,
     clean = boxes.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(
         (F.col("text") != "") & (F.col("confidence") >= min_confidence)
     )
-    first = W.partitionBy(*keys).orderBy("pos")
-    placed = clean.withColumn("n", F.row_number().over(first))
-    return (
-        (placed if most is None else placed.filter(F.col("n") <= most))
-        .select(
-            *keys, "n", "pos", "text",
-            F.bround("confidence", 3).alias("confidence"),
-            _mean(F.col("corners"), "x").alias("x"),
-            _mean(F.col("corners"), "y").alias("y"),
-        )
+    # The rows that are sorted for their numbers hold no corners.
+    narrow = clean.select(
+        *keys, "pos", "text",
+        F.bround("confidence", 3).alias("confidence"),
+        _mean(F.col("corners"), "x").alias("x"),
+        _mean(F.col("corners"), "y").alias("y"),
     )
+    placed = narrow.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("pos")))
+    first = placed if most is None else placed.filter(F.col("n") <= most)
+    return first.select(*keys, "n", "pos", "text", "confidence", "x", "y")
 
 
 def _items(items: DataFrame, keys: list[str]) -> DataFrame:

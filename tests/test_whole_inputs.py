@@ -139,3 +139,16 @@ def test_long_transcripts_are_whole_unless_limited(spark):
     whole, part = transcript_text(lines).first(), transcript_text(lines, max_chars=1000).first()
     assert len(whole["text"]) == 3000 * 202 - 2 and not whole["truncated"]
     assert len(part["text"]) == 1000 and part["truncated"]
+
+
+def test_ocr_rows_are_numbered_without_their_corners(spark):
+    """What the window sorts and holds per box is what comes out of it."""
+    boxes = spark.createDataFrame(
+        [(1, 2, " b ", 0.9, [(0.0, 0.0), (4.0, 2.0)]), (1, 1, "a", 0.9, [(0.0, 0.0), (2.0, 6.0)])],
+        "frame_id long, pos long, text string, confidence double, corners array<struct<x:double,y:double>>")
+    items = L.ocr_normalize(boxes, ["frame_id"])
+    assert [tuple(r) for r in items.orderBy("n").collect()] == [(1, 1, 1, "a", 0.9, 1.0, 3.0), (1, 2, 2, "b", 0.9, 2.0, 1.0)]
+    node = items._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    assert "corners" not in node.children().head().output().mkString(" ")
