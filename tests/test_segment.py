@@ -104,3 +104,16 @@ def test_budget_stops_at_the_first_overflow(spark):
     sizes = [len(f"[{r['unit_id']}] {r['text']}") for r in kept]
     assert [r["unit_no"] for r in kept] == [1, 2] and sum(sizes) <= 150
     assert all(r["truncated"] for r in kept)
+
+
+def test_documents_cut_before_give_the_same_rows(spark):
+    from attestry.operators import extract as X
+    from attestry.operators import segment as S
+
+    docs = spark.createDataFrame(
+        [(1, "First sentence of the text. Second one costs $5 today.\nThird line here.", "https://e.com/1"), (2, "", "https://e.com/2"), (3, None, None)],
+        "doc_id long, text string, url string")
+    cut = S.with_units(docs).select("doc_id", "units")
+    for made in (S.source_units, X.chunk_pack, X.extractive_summary):
+        want = made(docs.select("doc_id", "text", "url"))
+        assert want.count() > 0 and sorted(map(str, made(cut).select(want.columns).collect())) == sorted(map(str, want.collect()))
