@@ -105,6 +105,22 @@ def test_folds_stay_near_linear(spark):
     assert run(80_000) < 8
 
 
+def test_a_text_is_cut_into_tokens_once_however_many_it_has(spark):
+    from attestry.operators.extract import unit_scores
+
+    def run(n):
+        words = ["".join(chr(97 + k // 26**place % 26) for place in range(4)) for k in range(n)]
+        rows = [(1, 1, " ".join(words)), (1, 2, f"{words[0]} {words[0]} 5"), (1, 3, None)]
+        units = spark.createDataFrame(rows, "video_id long, unit_no int, text string")
+        began = time.perf_counter()
+        scores = {r["unit_no"]: r["score"] for r in unit_scores(units, "video_id", "unit_no").collect()}
+        assert scores == {1: (n + 1) / n, 2: 2 / 2 + 1, 3: 0}
+        return time.perf_counter() - began
+
+    run(10)
+    assert run(12_000) < 8
+
+
 def test_video_ids_are_percent_decoded(spark):
     from attestry.operators.urls import source_route
 
