@@ -15,6 +15,7 @@ from ..functions.fold import growing_fold, let
 from ..functions.normalize import normalize, normalize_each
 from ..functions.text import strip
 from ..functions.typed_json import typed_json
+from ..session import written
 from .extract import scope_extracts
 
 KEY = ["video_id", "chunk_no"]
@@ -234,8 +235,10 @@ def video_report(merged: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``merged`` are the rows of ``note_timeline_merge``. An outline or points that are missing
     beside the other have a fixed line. A video with neither falls back to the extract of its
-    blocks, and keeps only the quotes that are still to be checked.
+    blocks, and keeps only the quotes that are still to be checked. Both the merged rows and the
+    blocks without notes are read several times, so they are written out once.
     """
+    merged = written(merged, "merged")
     state = merged.groupBy("video_id").agg(
         F.bool_or(F.col("section") == "outline").alias("_outline"), F.bool_or(F.col("section") == "point").alias("_point"))
     videos = blocks.select("video_id").distinct().join(state, "video_id", "left").select(
@@ -247,7 +250,7 @@ def video_report(merged: DataFrame, blocks: DataFrame) -> DataFrame:
     fixed = videos.filter("_told and not (_outline and _point)").select(
         "video_id", F.when(F.col("_outline"), "point").otherwise("outline").alias("section"), F.lit(1).alias("n"),
         F.when(F.col("_outline"), P.NO_MORE_POINTS).otherwise(P.NO_OUTLINE).alias("line"))
-    silent = blocks.join(videos.filter("not _told"), "video_id", "left_semi")
+    silent = written(blocks.join(videos.filter("not _told"), "video_id", "left_semi").select("video_id", "unit_no", "unit_id", "text"), "silent")
     extract = scope_extracts(silent, "video_id").select("video_id", F.lit("summary").alias("section"), F.lit(1).alias("n"), F.col("summary").alias("line"))
     number = F.array_position(F.array(*map(F.lit, REPORT_SECTIONS)), F.col("section")) - 1
     return lines.unionByName(fixed).unionByName(extract).select("video_id", number.cast("int").alias("section_no"), "section", "n", "line")
