@@ -8,8 +8,11 @@ order, and close blocks by the batch rule: a block ends before a caption that st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -17,17 +20,37 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from .state import use_rocksdb
 
 BUCKET_SECONDS = 60
+SHARDS = 1024
+OUTPUT_ROWS = 10_000
 OUTPUT = "video_id long, start_ms long, n_captions int, text string"
-OPEN = "start_ms long, n_captions int, text string"
-WAITING = "at_ms array<long>, pos array<long>, text array<string>"
+OPEN = pa.schema([("video_id", pa.int64()), ("start_ms", pa.int64()), ("n_captions", pa.int64()), ("text", pa.large_string())])
+WAITING = pa.schema([("video_id", pa.int64()), ("at_ms", pa.int64()), ("pos", pa.int64()), ("text", pa.large_string())])
+
+
+def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(column, kind) for column, kind in zip(columns, schema.types)], schema=schema)
+
+
+def _value(batch: pa.RecordBatch) -> tuple[bytes]:
+    return (batch.serialize().to_pybytes(),)
+
+
+def _table(values: list[tuple[bytes]], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(value[0]), schema) for value in values], schema)
+
+
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    return zip(*(column.to_numpy().tolist() for column in table.columns))
 
 
 class BlockProcessor(StatefulProcessor):
-    """Open block and waiting captions of one video.
+    """Open blocks and waiting captions of one key: a shard of videos or, where the rows name
+    none, the video that is the key.
 
-    Captions wait in buckets of ``bucket_ms``, each an entry of its own with a timer at its end.
-    A bucket is written when captions arrive and read once more, when the watermark has passed
-    it: every access to state is a call out of Python, so a video costs few of them per bucket.
+    Captions wait in pieces, those of one bucket of ``bucket_ms`` that arrived together. A piece is
+    written once and read once, when the watermark has passed its bucket; a key waits for one timer,
+    at the first end of a bucket or an open block. Every access to state is a call out of Python, so
+    a key costs few of them. Pieces and open blocks are kept as the bytes of record batches.
     """
 
     def __init__(self, span_ms: int, chars: int, bucket_ms: int) -> None:
@@ -35,70 +58,93 @@ class BlockProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.block = handle.getValueState("block", OPEN)
-        self.waiting = handle.getMapState("waiting", "bucket long", WAITING)
+        self.open = handle.getValueState("open", "blocks binary")
+        self.kept = handle.getValueState("kept", "pieces long, wake_ms long")
+        self.waiting = handle.getMapState("waiting", "bucket long, piece long", "captions binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list[tuple[int, int, str]]] = {}
+        pieces, wake = self.kept.get() or (0, None)
+        ends = set() if wake is None else {wake}
         for batch in rows:
-            for at, pos, text in zip(batch["at_ms"].astype("int64").tolist(), batch["pos"].astype("int64").tolist(), batch["text"].tolist()):
-                arrived.setdefault(at // self.bucket_ms, []).append((at, pos, text))
-        for bucket, captions in arrived.items():
-            if self.waiting.containsKey((bucket,)):
-                captions = self._held(bucket) + captions
-            else:
-                self._wake((bucket + 1) * self.bucket_ms)
-            self.waiting.updateValue((bucket,), tuple(list(column) for column in zip(*captions)))
+            videos = batch["video_id"].astype("int64").to_numpy() if "video_id" in batch else np.full(len(batch), key[0])
+            at, pos = (batch[c].astype("int64").to_numpy() for c in ("at_ms", "pos"))
+            arrived, buckets = _batch((videos, at, pos, batch["text"].tolist()), WAITING), at // self.bucket_ms
+            for bucket in np.unique(buckets).tolist():
+                self.waiting.updateValue((bucket, pieces), _value(arrived.filter(pa.array(buckets == bucket))))
+                ends.add(self._end(bucket))
+                pieces += 1
+        self._keep(pieces, wake, ends)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # No caption before ``reached`` waits after this call, and none can still come.
         reached = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms
-        passed = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= reached)
-        block = self.block.get()
-        if not passed and not (block and reached >= block[0] + self.span_ms):
+        pieces, wake = self.kept.get()
+        if wake is None or wake > reached:
             return  # an earlier timer has done the work of this one
-        done = []
-        for bucket in passed:
-            for at, _, text in sorted(self._held(bucket)):
+        held = self.open.get()
+        blocks = {video: block for video, *block in _rows(_table([held], OPEN))} if held else {}
+        done, ends = [], set()
+        for bucket, keys in groupby(sorted(self.waiting.keys()), lambda k: k[0]):
+            if self._end(bucket) > reached:
+                ends.add(self._end(bucket))
+                break
+            keys = list(keys)
+            captions = _table([self.waiting.getValue(k) for k in keys], WAITING)
+            for video, at, _, text in _rows(captions.sort_by([(name, "ascending") for name in WAITING.names])):
+                block = blocks.get(video)
                 if block and (at - block[0] >= self.span_ms or len(block[2]) + len(text) > self.chars):
-                    done.append(block)
+                    done.append((video, *block))
                     block = None
-                block = (block[0], block[1] + 1, block[2] + " " + text) if block else (at, 1, text)
-            self.waiting.removeKey((bucket,))
-        if block and reached >= block[0] + self.span_ms:
-            done.append(block)
-            block = None
-        if block:
-            self.block.update(tuple(block))
-            self._wake(-(-(block[0] + self.span_ms) // self.bucket_ms) * self.bucket_ms)
-        else:
-            self.block.clear()
+                blocks[video] = (block[0], block[1] + 1, block[2] + " " + text) if block else (at, 1, text)
+            for k in keys:
+                self.waiting.removeKey(k)
+            if len(done) >= OUTPUT_ROWS:
+                yield self._closed(done)
+                done = []
+        for video, block in list(blocks.items()):
+            if reached >= block[0] + self.span_ms:
+                done.append((video, *blocks.pop(video)))
         if done:
-            yield pd.DataFrame(
-                [(key[0], b[0], b[1], b[2]) for b in done], columns=["video_id", "start_ms", "n_captions", "text"]
-            )
+            yield self._closed(done)
+        if blocks:
+            self.open.update(_value(_batch(zip(*((video, *block) for video, block in blocks.items())), OPEN)))
+            ends.add(self._end((min(block[0] for block in blocks.values()) + self.span_ms - 1) // self.bucket_ms))
+        else:
+            self.open.clear()
+        self._keep(pieces, wake, ends)
+
+    def _end(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket_ms
 
-    def _held(self, bucket: int) -> list[tuple[int, int, str]]:
-        return list(zip(*(list(column) for column in self.waiting.getValue((bucket,)))))
+    def _keep(self, pieces: int, wake: int | None, ends: set[int]) -> None:
+        """Keep the number of pieces written, and wake at the first of ``ends``."""
+        first = min(ends, default=None)
+        if first is not None and first != wake:
+            self.handle.registerTimer(first)
+        self.kept.update((pieces, first))
 
-    def _wake(self, at_ms: int) -> None:
-        self.handle.registerTimer(int(at_ms))
+    def _closed(self, done: list[tuple[int, int, int, str]]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(OPEN.names, map(list, zip(*done)))))
 
     def close(self) -> None:
         pass
 
 
-def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness: str) -> DataFrame:
+def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness: str, shards: int = SHARDS) -> DataFrame:
     """(video_id, ts, pos, text) stream → closed blocks.
 
-    Captions wait about as long as ``lateness``: a bucket is an eighth of it, so a video holds
-    few buckets however long it is, and blocks come out at most a bucket after the watermark.
-    A checkpoint belongs to one ``span`` and ``lateness``.
+    Videos are dealt to ``shards`` keys, as each key costs calls and frames of its own, however few
+    its captions are. They wait about as long as ``lateness``: a bucket is an eighth of it, so a
+    shard holds few buckets however long it is, and blocks come out at most a bucket after the
+    watermark. A task holds one bucket of one shard at a time. A checkpoint belongs to one
+    ``span``, ``lateness`` and ``shards``.
     """
-    timed = captions.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
+    timed = captions.withWatermark("ts", lateness).select(
+        F.pmod(F.xxhash64("video_id"), F.lit(shards)).alias("shard"), "video_id", "ts", F.unix_millis("ts").alias("at_ms"), "pos", "text"
+    )
     wait = captions.sparkSession.range(1).select(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.lit(lateness).cast("interval"))).first()[0] // 8
-    return timed.groupBy("video_id").transformWithStateInPandas(
+    return timed.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=BlockProcessor(span * 1000, chars, max(span, BUCKET_SECONDS, wait) * 1000),
         outputStructType=OUTPUT,
         outputMode="Append",
@@ -107,11 +153,11 @@ def caption_block_stream(captions: DataFrame, *, span: int, chars: int, lateness
 
 
 def stream_caption_blocks(captions: DataFrame, target: str, *, span: int = 35, chars: int = 1000,
-                          lateness: str = "10 minutes", available_now: bool = True) -> StreamingQuery:
+                          lateness: str = "10 minutes", shards: int = SHARDS, available_now: bool = True) -> StreamingQuery:
     """Append closed blocks to ``target``/blocks. Needs the RocksDB state store."""
     use_rocksdb(captions.sparkSession)
     writer = (
-        caption_block_stream(captions, span=span, chars=chars, lateness=lateness)
+        caption_block_stream(captions, span=span, chars=chars, lateness=lateness, shards=shards)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{target}/blocks")

@@ -236,3 +236,67 @@ def test_a_caption_costs_few_state_calls():
     got = [frame for at in sorted(timers) for frame in processor.handleExpiredTimer((1,), Times, at)]
     assert {tuple(r)[1:] for r in pd.concat(got).itertuples(index=False)} == greedy(rows, span, 1000)
     assert len(calls) < len(rows)
+
+
+def test_videos_share_the_state_of_their_shard():
+    """Sixty videos under one key; captions arrive in two parts and the watermark moves on in steps."""
+    calls, timers, now = [], set(), [0]
+
+    class Value:
+        value = None
+        get = lambda self: (calls.append("get"), self.value)[1]
+        update = lambda self, value: (calls.append("update"), setattr(self, "value", value))
+        clear = lambda self: (calls.append("clear"), setattr(self, "value", None))
+
+    class Map(dict):
+        keys = lambda self: (calls.append("keys"), list(dict.keys(self)))[1]
+        getValue = lambda self, key: (calls.append("getValue"), self[key])[1]
+        updateValue = lambda self, key, value: (calls.append("updateValue"), self.update({key: value}))
+        removeKey = lambda self, key: (calls.append("removeKey"), self.pop(key))
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: Value())
+        getMapState = staticmethod(lambda *a: Map())
+        registerTimer = staticmethod(lambda at: (calls.append("timer"), timers.add(at)))
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: now[0])
+
+    span, bucket = 35, 100_000
+    rows = [(v, -150_000 + k * 9_000 + v, k, f"caption {k} of {v} " + "x" * (k % 5 * 40)) for v in range(60) for k in range(40)]
+    processor = blocks.BlockProcessor(span * 1000, 200, bucket)
+    processor.init(Handle)
+    got = []
+    for begin in range(2):
+        frames = [pd.DataFrame(rows[begin + 2 * k : begin + 2 * k + 800 : 2], columns=["video_id", "at_ms", "pos", "text"]) for k in (800, 0, 400)]
+        list(processor.handleInputRows((7,), iter(frames), Times))
+    for now[0] in range(-150_000, 500_000, 70_000):
+        while due := [at for at in timers if at <= now[0]]:
+            for at in sorted(due):
+                got += processor.handleExpiredTimer((7,), Times, at)
+                timers.discard(at)
+        latest = max((start for frame in got for start in frame["start_ms"]), default=now[0])
+        assert latest <= now[0]
+    got = list(pd.concat(got).itertuples(index=False, name=None))
+    for v in range(60):
+        assert {r[1:] for r in got if r[0] == v} == greedy([r[1:] for r in rows if r[0] == v], span, 200)
+    assert len(got) == len(set(got)) and len(calls) < len(rows) / 10
+
+
+def test_a_stream_of_many_videos_keeps_few_keys(spark, tmp_path):
+    base = 1_700_000_000
+    rows = [(v, base + i * 20 + v % 7, i, f"caption {i} of video {v}") for v in range(300) for i in range(4)]
+    df = spark.createDataFrame(rows, "video_id long, s long, pos long, text string").select(
+        "video_id", F.timestamp_seconds("s").alias("ts"), "pos", "text")
+    for part in range(2):
+        df.filter(F.col("pos") % 2 == part).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
+    spark.createDataFrame([(-1, base + 10_000_000, 0, "")], "video_id long, s long, pos long, text string").select(
+        "video_id", F.timestamp_seconds("s").alias("ts"), "pos", "text").coalesce(1).write.parquet(str(tmp_path / "in/part=9"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*"))
+    query = blocks.stream_caption_blocks(stream, str(tmp_path / "out"), shards=4)
+    query.awaitTermination()
+    got = spark.read.schema(blocks.OUTPUT).parquet(str(tmp_path / "out/blocks")).filter("video_id >= 0").collect()
+    for v in range(300):
+        mine = {(r["start_ms"], r["n_captions"], r["text"]) for r in got if r["video_id"] == v}
+        assert mine == greedy([(s * 1000, p, t) for w, s, p, t in rows if w == v], 35, 1000)
+    assert max(state.numRowsTotal for report in query.recentProgress for state in report.stateOperators) < 300
